@@ -101,10 +101,21 @@ def panel_pack(
     return {panel: builders[panel](window) for panel, window in shown.items()}
 
 
-def sink_panels(spans: DataFrame, path: str, *, as_of: object, mode: str = "overwrite", **options: object) -> list[str]:
-    """Write every panel as a parquet table below ``path``; the base frame is read once and shared."""
+def sink_panels(
+    spans: DataFrame,
+    path: str,
+    *,
+    as_of: object,
+    mode: str = "overwrite",
+    base_window: str | None = BASELINE_WINDOW,
+    **options: object,
+) -> list[str]:
+    """Write every panel as a parquet table below ``path``; the base frame is read once and shared.
+
+    ``base_window`` is the widest lookback of any panel, ``None`` where one has no time bound.
+    """
     spark = spans.sparkSession
-    base = panel_base(spans, as_of, options.get("baseline", BASELINE_WINDOW)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = panel_base(spans, as_of, base_window).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         panels = panel_pack(base, as_of=as_of, **options)
         for name, frame in panels.items():
@@ -116,16 +127,23 @@ def sink_panels(spans: DataFrame, path: str, *, as_of: object, mode: str = "over
 
 
 def long_panels(panels: dict[str, DataFrame]) -> DataFrame:
-    """All panels in one long frame: panel, row label, ts, column and value as text."""
+    """All panels in one long frame: panel, row label, time, measure and its number or word."""
     parts = []
     for name, frame in panels.items():
-        labels = [c for c in ("tier", "activity") if c in frame.columns]
-        label = F.coalesce(F.col(labels[0]), F.lit("")) if labels else F.lit("")
-        at = F.col("ts").cast("timestamp_ntz") if "ts" in frame.columns else F.lit(None).cast("timestamp_ntz")
-        values = [c for c in frame.columns if c not in ("tier", "activity", "ts")]
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in values])
-        opened = frame.select(F.lit(name).alias("panel"), label.alias("label"), at.alias("ts"), F.explode(pairs).alias("p"))
-        parts.append(opened.select("panel", "label", "ts", "p.column", "p.value"))
+        types = dict(frame.dtypes)
+        label = next((f"coalesce({c}, '')" for c in ("tier", "activity") if c in types), "''")
+        at = "cast(ts AS timestamp_ntz)" if "ts" in types else "cast(NULL AS timestamp_ntz)"
+        measures = ", ".join(
+            f"'{c}', cast(NULL AS double), {c}" if kind == "string" else f"'{c}', cast({c} AS double), cast(NULL AS string)"
+            for c, kind in types.items()
+            if c not in ("tier", "activity", "ts")
+        )
+        count = sum(c not in ("tier", "activity", "ts") for c in types)
+        parts.append(
+            frame.selectExpr(
+                f"'{name}' AS panel", f"{label} AS label", f"{at} AS ts", f"stack({count}, {measures}) AS (measure, number, word)"
+            )
+        )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
