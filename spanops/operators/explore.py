@@ -85,14 +85,17 @@ def field_keys(signal: DataFrame) -> DataFrame:
     def entry(name: Column, where: str, data_type: str) -> Column:
         return F.struct(name.alias(key), F.lit(where).alias(context), F.lit(data_type).alias(kind))
 
+    def entries(names: Column, where: str, data_type: str) -> Column:
+        found = F.transform(names, lambda name: entry(name, where, data_type))
+        return F.coalesce(found, F.array().cast("array<struct<key:string,context:string,data_type:string>>"))
+
     lists, plain = [], []
     for column in signal.schema:
         if column.dataType.typeName() == "map":
             where = "resource" if column.name == "resource" else "attribute"
             data_type = column.dataType.valueType.simpleString()
             names = F.map_keys(F.map_filter(F.col(column.name), lambda _, v: v.isNotNull()))
-            found = F.transform(names, lambda k, w=where, t=data_type: entry(k, w, t))
-            lists.append(F.coalesce(found, F.array().cast("array<struct<key:string,context:string,data_type:string>>")))
+            lists.append(entries(names, where, data_type))
         elif column.name not in S.PROMOTED.values():
             own = entry(F.lit(column.name), "span", column.dataType.simpleString())
             plain.append(F.when(F.col(column.name).isNotNull(), own))

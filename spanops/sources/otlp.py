@@ -65,7 +65,8 @@ def _named(value: Column, names: dict[str, str]) -> Column:
 
 
 def _time(nanos: Column) -> Column:
-    return F.timestamp_micros(F.floor(nanos.cast("long") / 1000))
+    # Whole-number division: nanoseconds since the epoch exceed what a double holds.
+    return F.timestamp_micros(F.call_function("div", nanos.cast("long"), F.lit(1000)))
 
 
 def _attribute_map(attributes: Column, pick) -> Column:

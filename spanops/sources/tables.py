@@ -1,6 +1,6 @@
 """Partitioned parquet tables of spans, logs and metric points.
 
-Layout: ``dt`` and ``hour`` partitions of event time, rows of a file sorted by name and time, the
+Layout: ``dt`` and ``hour`` partitions of event time (``dt`` alone for thin tables), rows of a file sorted by name and time, the
 tier stored as a column of its own, and a bloom filter on the trace id.
 """
 
@@ -14,12 +14,12 @@ from spanops import schema as S
 from spanops.functions.predicates import bucket_prune
 from spanops.functions.scalars import field
 
-_PARTITIONS = [T.StructField("dt", T.DateType()), T.StructField("hour", T.IntegerType())]
+_DAY, _HOUR = T.StructField("dt", T.DateType()), T.StructField("hour", T.IntegerType())
 _PROMOTED = [T.StructField(name, T.StringType()) for name in S.PROMOTED.values()]
 
 
-def _stored(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + _PROMOTED + _PARTITIONS)
+def partition_columns(hourly: bool) -> list[str]:
+    return ["dt", "hour"] if hourly else ["dt"]
 
 
 def promote_attributes(rows: DataFrame) -> DataFrame:
@@ -30,9 +30,10 @@ def promote_attributes(rows: DataFrame) -> DataFrame:
     return out
 
 
-def with_partitions(rows: DataFrame) -> DataFrame:
+def with_partitions(rows: DataFrame, hourly: bool = True) -> DataFrame:
     at = F.col("timestamp").cast("timestamp")
-    return rows.withColumn("dt", F.to_date(at)).withColumn("hour", F.hour(at))
+    dated = rows.withColumn("dt", F.to_date(at))
+    return dated.withColumn("hour", F.hour(at)) if hourly else dated
 
 
 def with_bucket_start(rows: DataFrame) -> DataFrame:
@@ -45,25 +46,37 @@ def _moment(value: datetime | str) -> datetime:
     return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment.astimezone(timezone.utc)
 
 
-def partition_range(start: datetime | str | None, end: datetime | str | None) -> Column:
+def partition_range(start: datetime | str | None, end: datetime | str | None, hourly: bool = True) -> Column:
     """Condition on ``dt`` and ``hour`` implied by a time range; the planner does not derive it itself."""
     out = F.lit(True)
     if start is not None:
         low = _moment(start)
         day = F.lit(low.date())
-        out = out & (F.col("dt") >= day) & ((F.col("dt") > day) | (F.col("hour") >= low.hour))
+        out = out & (F.col("dt") >= day)
+        if hourly:
+            out = out & ((F.col("dt") > day) | (F.col("hour") >= low.hour))
     if end is not None:
         high = _moment(end)
         day = F.lit(high.date())
-        out = out & (F.col("dt") <= day) & ((F.col("dt") < day) | (F.col("hour") <= high.hour))
+        out = out & (F.col("dt") <= day)
+        if hourly:
+            out = out & ((F.col("dt") < day) | (F.col("hour") <= high.hour))
     return out
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, start, end) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    path: str,
+    fields: list[T.StructField],
+    start: datetime | str | None,
+    end: datetime | str | None,
+    hourly: bool,
+) -> DataFrame:
+    schema = T.StructType([*fields, _DAY, *([_HOUR] if hourly else [])])
     rows = spark.read.schema(schema).parquet(path)
     if start is None and end is None:
         return rows
-    rows = rows.where(partition_range(start, end))
+    rows = rows.where(partition_range(start, end, hourly))
     if start is not None:
         rows = rows.where(F.col("timestamp") >= F.lit(_moment(start)))
     if end is not None:
@@ -72,39 +85,52 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, start, end) -> D
 
 
 def read_spans(
-    spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
+    spark: SparkSession,
+    path: str,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    hourly: bool = True,
 ) -> DataFrame:
     """Spans of a time range, inclusive at both ends; other partitions are not opened."""
-    rows = _read(spark, path, _stored(S.SPANS), start, end)
+    rows = _read(spark, path, S.SPANS.fields + _PROMOTED, start, end, hourly)
     if start is not None and end is not None:
         rows = rows.where(bucket_prune(rows, _moment(start), _moment(end)))
     return rows
 
 
 def read_logs(
-    spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
+    spark: SparkSession,
+    path: str,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    hourly: bool = True,
 ) -> DataFrame:
-    return _read(spark, path, _stored(S.LOGS), start, end)
+    return _read(spark, path, S.LOGS.fields + _PROMOTED, start, end, hourly)
 
 
 def read_metrics(
-    spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
+    spark: SparkSession,
+    path: str,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    hourly: bool = True,
 ) -> DataFrame:
-    return _read(spark, path, T.StructType(S.METRIC_POINTS.fields + _PARTITIONS), start, end)
+    return _read(spark, path, S.METRIC_POINTS.fields, start, end, hourly)
 
 
-def write_telemetry(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_telemetry(rows: DataFrame, path: str, mode: str = "append", hourly: bool = True) -> None:
     """Write spans, logs or metric points in the layout above.
 
-    Rebalancing sizes the files of each hour by its rows: a hot hour is split over tasks, small
+    Rebalancing sizes the files of each partition by its rows: a hot hour is split over tasks, small
     hours share one.
     """
-    prepared = with_partitions(rows)
+    prepared = with_partitions(rows, hourly)
     if "attributes_string" in rows.columns and not set(S.PROMOTED.values()) <= set(rows.columns):
         prepared = promote_attributes(prepared)
-    order = [c for c in ("dt", "hour", "name", "metric_name", "timestamp") if c in prepared.columns]
-    balanced = prepared.hint("rebalance", "dt", "hour").sortWithinPartitions(*order)
-    writer = balanced.write.mode(mode).partitionBy("dt", "hour")
+    parts = partition_columns(hourly)
+    order = [c for c in (*parts, "name", "metric_name", "timestamp") if c in prepared.columns]
+    balanced = prepared.hint("rebalance", *[F.col(c) for c in parts]).sortWithinPartitions(*order)
+    writer = balanced.write.mode(mode).partitionBy(*parts)
     if "trace_id" in prepared.columns:
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true")
     writer.parquet(path)
