@@ -165,7 +165,7 @@ def error_rate_ts(spark, sf_dir):
 
 
 @register("p99_by_tier_ts", over("spans", body=f"""
-SELECT {DAY} AS ts, tier AS customer_tier, round(quantile_cont(duration_nano, 0.99), 1) AS value FROM spans
+SELECT {DAY} AS ts, tier AS customer_tier, round(quantile_cont(duration_nano, 0.99), 2) AS value FROM spans
 WHERE timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'
   AND ts_bucket_start BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') - 1800 AND epoch(TIMESTAMP '2024-01-20 12:00:00')
   AND name = 'activity.check_fraud' AND tier IS NOT NULL GROUP BY 1, 2"""))
@@ -173,7 +173,7 @@ def p99_by_tier_ts(spark, sf_dir):
     out = timeseries.p99_by_tier_ts(
         spans(spark, sf_dir), start="2024-01-05 00:00:00", end="2024-01-20 12:00:00", step="1 day"
     )
-    return out.withColumn("value", F.round("value", 1))
+    return out.withColumn("value", F.round("value", 2))
 
 
 @register("latency_histogram", over("spans", body=f"""

@@ -235,14 +235,14 @@ def search_traces(spark, sf_dir):
 
 
 @register("aggregate_traces", over("spans", body="""
-SELECT tier AS customer_tier, round(quantile_cont(duration_nano, 0.99), 1) AS value FROM spans
+SELECT tier AS customer_tier, round(quantile_cont(duration_nano, 0.99), 2) AS value FROM spans
 WHERE name = 'activity.check_fraud' AND serviceName = 'temporal-worker' GROUP BY 1"""))
 def aggregate_traces(spark, sf_dir):
     out = explore.aggregate_traces(
         spans(spark, sf_dir), "p99", "duration_nano", where="name = 'activity.check_fraud'",
         group_by=["customer.tier"], service="temporal-worker",
     )
-    return out.withColumn("value", F.round("value", 1))
+    return out.withColumn("value", F.round("value", 2))
 
 
 @register("aggregate_traces_series", over("spans", body=f"""
@@ -284,7 +284,7 @@ def trace_details(spark, sf_dir):
 
 @register("builder_query", over("spans", body=f"""
 SELECT {DAY} AS ts, tier AS customer_tier, count(*) AS calls, round(avg(duration_nano), 2) AS mean,
-  round(quantile_cont(duration_nano, 0.95), 1) AS slow, count(DISTINCT trace_id) AS traces FROM spans
+  round(quantile_cont(duration_nano, 0.95), 2) AS slow, count(DISTINCT trace_id) AS traces FROM spans
 WHERE serviceName = 'temporal-worker' GROUP BY 1, 2 HAVING count(*) > 60 ORDER BY calls DESC, ts, customer_tier NULLS FIRST LIMIT 25"""))
 def builder_query(spark, sf_dir):
     out = explore.builder_query(
@@ -302,7 +302,7 @@ def builder_query(spark, sf_dir):
         order_by=[F.desc("calls"), "ts", "customer_tier"],
         limit=25,
     )
-    return out.withColumn("mean", F.round("mean", 2)).withColumn("slow", F.round("slow", 1))
+    return out.withColumn("mean", F.round("mean", 2)).withColumn("slow", F.round("slow", 2))
 
 
 _RATE = """
@@ -342,11 +342,11 @@ w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ts, serviceName ORDER BY i) AS BI
 k AS (SELECT *, [0, 50, 100, 250, 500, 1000][i + 1] AS lo, [50, 100, 250, 500, 1000, NULL][i + 1] AS hi FROM w
   WHERE upto - n < 0.95 * total AND 0.95 * total <= upto)
 SELECT ts, serviceName, total AS count,
-  round(CASE WHEN hi IS NULL THEN CAST(lo AS DOUBLE) ELSE lo + (hi - lo) * (0.95 * total - (upto - n)) / CAST(n AS DOUBLE) END, 4) AS value
+  round(CASE WHEN hi IS NULL THEN CAST(lo AS DOUBLE) ELSE lo + (hi - lo) * (0.95 * total - (upto - n)) / CAST(n AS DOUBLE) END, 6) AS value
 FROM k"""))
 def metric_histogram_quantile(spark, sf_dir):
     out = metrics.metric_histogram_quantile(metric_points(spark, sf_dir), "request.latency", 0.95, step="1 day")
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", F.round("value", 6))
 
 
 @register("list_metrics", over("metrics", body="""

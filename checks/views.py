@@ -26,12 +26,6 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
-def _present(pairs: dict[str, str], name: str) -> str:
-    """SQL for a map of the pairs whose value is not NULL."""
-    listed = ", ".join(f"'{key}', {value}" for key, value in pairs.items())
-    return f"map_filter(map({listed}), (k, v) -> v IS NOT NULL) AS {name}"
-
-
 _BAD = "(has_error OR event_id % 41 = 5)"
 
 
@@ -52,20 +46,28 @@ def spans(events: DataFrame) -> DataFrame:
            WHEN user_id % 4 = 1 THEN 'pro' ELSE 'free' END AS customer_tier""",
         "if(user_id % 25 = 24, 'temporal-starter', 'temporal-worker') AS serviceName",
     )
-    strings = {
-        "customer.id": "concat('cust-', user_id)",
-        "customer.tier": "customer_tier",
-        "validation.failure_reason": f"CASE WHEN event_type = 'signup' AND {_BAD} THEN 'invalid_address' END",
-        "payment.failure_reason": f"""CASE WHEN event_type = 'click' AND {_BAD}
-            THEN if(event_id % 3 = 0, 'card_declined', 'insufficient_funds') END""",
-        "inventory.failure": f"CASE WHEN event_type = 'error' AND {_BAD} THEN 'out_of_stock' END",
-    }
-    numbers = {
-        "order.amount": "CASE WHEN event_type IN ('signup', 'view', 'click') THEN value END",
-        "fraud.score": "CASE WHEN event_type = 'view' THEN (event_id % 86) / 100.0D END",
-    }
-    flags = {"validation.passed": f"CASE WHEN event_type = 'signup' AND NOT {_BAD} THEN true END"}
-    resource = {"service.name": "serviceName", "deployment.environment": "CASE WHEN user_id % 2 = 1 THEN 'staging' END"}
+    raw = raw.selectExpr(
+        "*",
+        "concat('cust-', user_id) AS customer_id",
+        """CASE event_type WHEN 'signup' THEN 'validation.failure_reason' WHEN 'click' THEN 'payment.failure_reason'
+           WHEN 'error' THEN 'inventory.failure' END AS reason_key""",
+        f"""CASE WHEN NOT {_BAD} THEN NULL WHEN event_type = 'signup' THEN 'invalid_address'
+            WHEN event_type = 'click' THEN if(event_id % 3 = 0, 'card_declined', 'insufficient_funds')
+            WHEN event_type = 'error' THEN 'out_of_stock' END AS reason""",
+    )
+    strings = """CASE
+        WHEN reason IS NULL AND customer_tier IS NULL THEN map('customer.id', customer_id)
+        WHEN reason IS NULL THEN map('customer.id', customer_id, 'customer.tier', customer_tier)
+        WHEN customer_tier IS NULL THEN map('customer.id', customer_id, reason_key, reason)
+        ELSE map('customer.id', customer_id, 'customer.tier', customer_tier, reason_key, reason) END AS attributes_string"""
+    numbers = """CASE
+        WHEN event_type = 'view' THEN map('order.amount', value, 'fraud.score', (event_id % 86) / 100.0D)
+        WHEN event_type IN ('signup', 'click') THEN map('order.amount', value)
+        ELSE cast(map() AS map<string,double>) END AS attributes_number"""
+    flags = """if(event_type = 'signup' AND reason IS NULL, map('validation.passed', true),
+        cast(map() AS map<string,boolean>)) AS attributes_bool"""
+    resource = """if(user_id % 2 = 1, map('service.name', serviceName, 'deployment.environment', 'staging'),
+        map('service.name', serviceName)) AS resource"""
     return raw.selectExpr(
         "ts AS timestamp",
         "unix_seconds(cast(ts AS timestamp)) DIV 1800 * 1800 AS ts_bucket_start",
@@ -78,10 +80,10 @@ def spans(events: DataFrame) -> DataFrame:
         "serviceName",
         "cast(round(millis * 1000000) AS bigint) + event_id % 997 + 1 AS duration_nano",
         "has_error",
-        _present(strings, "attributes_string"),
-        _present(numbers, "attributes_number"),
-        _present(flags, "attributes_bool"),
-        _present(resource, "resource"),
+        strings,
+        numbers,
+        flags,
+        resource,
         "customer_tier",
     )
 
@@ -147,7 +149,7 @@ def logs(events: DataFrame) -> DataFrame:
              concat(if(bad, 'payment failed', 'payment processed'), ' order=', event_id)
            ELSE 'inventory reservation failed' END AS body""",
         "serviceName",
-        _present({"customer_tier": "customer_tier"}, "attributes_string"),
+        "if(customer_tier IS NULL, cast(map() AS map<string,string>), map('customer_tier', customer_tier)) AS attributes_string",
         "resource",
     )
 
@@ -202,6 +204,7 @@ def workflow_spans(orders: DataFrame) -> DataFrame:
     flags = orders.selectExpr(
         "o_orderkey AS k",
         "o_orderdate",
+        "concat('cust-', o_custkey) AS customer_id",
         "o_totalprice / 100 AS amount",
         "(o_orderkey % 86) / 100.0D AS score",
         "CASE o_custkey % 3 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'pro' ELSE 'free' END AS t",
@@ -232,7 +235,7 @@ def workflow_spans(orders: DataFrame) -> DataFrame:
             step(6, "refund_payment", "(ri AND inf_ AND k % 100 <> 9) OR (ri AND NOT inf_ AND k % 500 = 250)", "false", "1", "70"),
         ]
     )
-    taken = reach.selectExpr("*", f"explode(filter(array({steps}), s -> s.reached)) AS s")
+    taken = reach.selectExpr("*", f"explode(array({steps})) AS s").where("s.reached")
     tried = taken.selectExpr("*", "explode(sequence(1, s.tries)) AS attempt").selectExpr(
         "*",
         "s.place AS place",
@@ -240,21 +243,20 @@ def workflow_spans(orders: DataFrame) -> DataFrame:
         "CASE WHEN s.place NOT IN (4, 6) THEN t END AS customer_tier",
         "o_orderdate + make_dt_interval(0, 0, s.place, attempt * 10) AS timestamp",
     )
-    strings = {
-        "customer.id": "concat('cust-', k)",
-        "customer.tier": "customer_tier",
-        "validation.failure_reason": "CASE WHEN place = 1 AND failed THEN 'invalid_address' END",
-        "payment.failure_reason": """CASE WHEN place = 3 AND failed
-            THEN if(k % 3 = 0, 'card_declined', 'insufficient_funds') END""",
-        "inventory.failure": "CASE WHEN place = 4 AND failed THEN 'out_of_stock' END",
-        "shipping.eta": """CASE WHEN place = 5 AND NOT failed
-            THEN date_format(timestamp + make_dt_interval(0, eta_hours), 'yyyy-MM-dd') END""",
-    }
-    numbers = {
-        "order.amount": "CASE WHEN place IN (1, 2, 3, 6) THEN amount END",
-        "fraud.score": "CASE WHEN place = 2 AND NOT failed THEN score END",
-        "payment.charged": "CASE WHEN place = 3 AND NOT failed THEN amount * 1.08D END",
-    }
+    strings = """CASE
+        WHEN place = 1 AND failed THEN map('customer.id', customer_id, 'customer.tier', t, 'validation.failure_reason', 'invalid_address')
+        WHEN place = 3 AND failed THEN map('customer.id', customer_id, 'customer.tier', t, 'payment.failure_reason',
+          if(k % 3 = 0, 'card_declined', 'insufficient_funds'))
+        WHEN place = 4 AND failed THEN map('customer.id', customer_id, 'inventory.failure', 'out_of_stock')
+        WHEN place = 5 AND NOT failed THEN map('customer.id', customer_id, 'customer.tier', t, 'shipping.eta',
+          date_format(timestamp + make_dt_interval(0, eta_hours), 'yyyy-MM-dd'))
+        WHEN place IN (4, 6) THEN map('customer.id', customer_id)
+        ELSE map('customer.id', customer_id, 'customer.tier', t) END AS attributes_string"""
+    numbers = """CASE
+        WHEN place = 2 AND NOT failed THEN map('order.amount', amount, 'fraud.score', score)
+        WHEN place = 3 AND NOT failed THEN map('order.amount', amount, 'payment.charged', amount * 1.08D)
+        WHEN place IN (1, 2, 3, 6) THEN map('order.amount', amount)
+        ELSE cast(map() AS map<string,double>) END AS attributes_number"""
     return tried.selectExpr(
         "timestamp",
         "concat('w', k) AS trace_id",
@@ -263,8 +265,8 @@ def workflow_spans(orders: DataFrame) -> DataFrame:
         "'temporal-worker' AS serviceName",
         "s.millis * 1000000 + (k * 7 + place * 13 + attempt) % 9973 * 1000 + 1 AS duration_nano",
         "failed AS has_error",
-        _present(strings, "attributes_string"),
-        _present(numbers, "attributes_number"),
+        strings,
+        numbers,
         "customer_tier",
     )
 

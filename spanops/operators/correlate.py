@@ -173,28 +173,29 @@ def parent_child(spans: DataFrame) -> DataFrame:
 
 def span_depths(nodes: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth) by pointer doubling; runs its rounds when called."""
-    ids = nodes.select("trace_id", F.col("span_id").alias("_to"))
+    ids = nodes.select("trace_id", F.col("span_id").alias("_to"), F.lit(True).alias("_found"))
     links = nodes.select("trace_id", "span_id", F.col("parent_span_id").alias("_to"))
-    linked = links.join(ids, ["trace_id", "_to"], "left_semi")
-    roots = nodes.select("trace_id", "span_id").join(linked, ["trace_id", "span_id"], "left_anti")
-    state = linked.select("trace_id", "span_id", "_to", F.lit(1).cast("long").alias("_hops")).unionByName(
-        roots.select("trace_id", "span_id", F.lit(None).cast("string").alias("_to"), F.lit(0).cast("long").alias("_hops"))
+    state = links.join(ids, ["trace_id", "_to"], "left").select(
+        "trace_id",
+        "span_id",
+        F.when(F.col("_found"), F.col("_to")).alias("_to"),
+        F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("_hops"),
     )
-    state = materialize(state, "depth")
+    before = None
     for _ in range(MAX_ROUNDS):
-        if state.where(F.col("_to").isNotNull()).isEmpty():
+        state = materialize(state, "depth")
+        still_open = state.agg(F.count("_to")).first()[0]
+        # Every round closes the spans of some depth; where it closed none, only loops are left.
+        if still_open in (0, before):
             break
+        before = still_open
         ahead = state.select(
             "trace_id", F.col("span_id").alias("_to"), F.col("_to").alias("_next"), F.col("_hops").alias("_more")
         )
         moved = state.where(F.col("_to").isNotNull()).join(ahead, ["trace_id", "_to"]).select(
             "trace_id", "span_id", F.col("_next").alias("_to"), (F.col("_hops") + F.col("_more")).alias("_hops")
         )
-        closed = moved.where(F.col("_to").isNull()).isEmpty()
-        state = materialize(state.where(F.col("_to").isNull()).unionByName(moved), "depth")
-        if closed:
-            # Nobody reached a root in this round: only loops are left.
-            break
+        state = state.where(F.col("_to").isNull()).unionByName(moved)
     return state.select("trace_id", "span_id", F.when(F.col("_to").isNull(), F.col("_hops")).alias("depth"))
 
 

@@ -8,6 +8,7 @@ from spanops import schema as S
 from spanops.functions.predicates import attr_nonempty, select_spans, slower_than
 from spanops.functions.quantiles import group_stats, match_groups
 from spanops.functions.scalars import epoch_nanos, field, ns_to_ms, rate_pct, ratio, threshold_label
+from spanops.session import materialize
 
 DURATION = "duration_nano"
 
@@ -261,6 +262,8 @@ def workflow_latency(
         F.max(field(spans, dim)).alias("tier"),
         (F.max(start + F.col(DURATION)) - F.min(start)).alias("total_nano"),
     )
+    # One short row per workflow, written once: the quantiles look at it more than once.
+    traces = materialize(traces, "workflows")
     stats = group_stats(
         traces,
         {"tier": F.coalesce("tier", F.lit(""))},

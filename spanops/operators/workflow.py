@@ -27,53 +27,53 @@ def _is(name: str) -> Column:
     return F.col("name") == name
 
 
-def _step() -> Column:
-    """Place of the span in the pipeline; NULL for a refund or a foreign span."""
-    out = None
-    for place, name in enumerate(S.PIPELINE, start=1):
-        out = F.when(_is(name), F.lit(place)) if out is None else out.when(_is(name), F.lit(place))
-    return out
+def _order() -> Column:
+    """Place in time as one number; the span id settles equal times.
 
+    Numbers, unlike structs and strings, can be updated in place by the hash aggregate, which then
+    needs no sort by trace.
+    """
+    return F.unix_micros(F.col("timestamp").cast("timestamp")) * 512 + F.pmod(F.xxhash64("span_id"), F.lit(512))
 
-def _order() -> Column:
-    """Attempts of one step in time order; the span id settles equal times."""
-    return F.struct("timestamp", "span_id")
+
+def _last_failed(condition: Column) -> Column:
+    """Aggregate: whether the last row in time where ``condition`` holds failed; NULL without such a row."""
+    marked = F.max(F.when(condition, _order() * 2 + _failed().cast("long")))
+    return marked % 2 == 1
 
 
 def _last(value: Column, condition: Column) -> Column:
-    """Aggregate: ``value`` of the last row in time where ``condition`` holds."""
+    """Aggregate: number of the last row in time where ``condition`` holds."""
     return F.max_by(value, F.when(condition, _order()))
 
 
 def outcome_aggregates(spans: DataFrame, dim: str = S.TIER_KEY) -> list[Column]:
     """Per-trace aggregates behind ``workflow_outcome``; also used on streams with session windows."""
-    step = _step()
-    furthest = F.max_by(
-        F.struct(step.alias("step"), F.col("name"), _failed().alias("failed")),
-        F.when(step.isNotNull(), F.struct(step, F.col("timestamp"), F.col("span_id"))),
-    )
     paid = _is(S.PROCESS_PAYMENT) & ~_failed()
+    charged = F.coalesce(attr("payment.charged", "number"), charged_amount(attr("order.amount", "number")))
     return [
-        furthest.alias("_furthest"),
+        *[_last_failed(_is(name)).alias(f"_failed{place}") for place, name in enumerate(S.PIPELINE)],
         F.max(field(spans, dim)).alias("tier"),
         F.count(F.lit(1)).alias("spans"),
         _last(attr("fraud.score", "number"), _is(S.CHECK_FRAUD) & ~_failed()).alias("fraud_score"),
-        F.coalesce(F.max(_is(S.PROCESS_PAYMENT)), F.lit(False)).alias("_payment_tried"),
-        _last(
-            F.coalesce(attr("payment.charged", "number"), charged_amount(attr("order.amount", "number"))), paid
-        ).alias("total_charged"),
+        _last(charged, paid).alias("total_charged"),
         F.max(F.when(_is(S.SCHEDULE_SHIPPING), attr("shipping.eta"))).alias("shipping_eta"),
     ]
 
 
 def outcome_columns() -> list[Column]:
     """Status and order result over the aggregates of ``outcome_aggregates``."""
-    step, name, failed = (F.col("_furthest")[k] for k in ("step", "name", "failed"))
+    failed = [F.col(f"_failed{place}") for place in range(len(S.PIPELINE))]
+    # The furthest step decides: its flag is the first that is there, from the end.
+    stuck = F
+    for name, flag in reversed(list(zip(S.PIPELINE, failed))):
+        state = F.when(flag, F.lit("failed:" + name.removeprefix(S.ACTIVITY_PREFIX))).otherwise(F.lit("in_flight"))
+        stuck = stuck.when(flag.isNotNull(), state)
+    untried = failed[S.PIPELINE.index(S.PROCESS_PAYMENT)].isNull()
     status = (
-        F.when((step == len(S.PIPELINE)) & ~failed, "completed")
-        .when((F.col("fraud_score") > 0.8) & ~F.col("_payment_tried"), "rejected_fraud")
-        .when(failed, F.concat(F.lit("failed:"), F.substring_index(name, ".", -1)))
-        .otherwise("in_flight")
+        F.when(~failed[-1], "completed")
+        .when((F.col("fraud_score") > 0.8) & untried, "rejected_fraud")
+        .otherwise(stuck.otherwise(F.lit("in_flight")))
     )
     return [
         F.col("trace_id"),
@@ -93,14 +93,15 @@ def workflow_outcome(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
 
 def attempts(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
     """One row per workflow and activity: attempts, whether the last one failed, and the workflow's tier."""
-    steps = spans.where(_step().isNotNull()).groupBy("trace_id", "name").agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.max_by(_failed(), _order()).alias("last_failed"),
-        F.max(field(spans, dim)).alias("_tier"),
+    known = spans.where(F.col("name").isin(*S.PIPELINE))
+    steps = known.groupBy("trace_id", "name", field(spans, dim).alias("_tier")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.max(_order() * 2 + _failed().cast("long")).alias("_last")
+    )
+    # Few rows per workflow are left: one per activity and tier.
+    tiered = steps.withColumn("tier", F.max("_tier").over(Window.partitionBy("trace_id")))
+    return tiered.groupBy("trace_id", "name", "tier").agg(
+        F.sum("attempts").alias("attempts"), (F.max("_last") % 2 == 1).alias("last_failed")
     )
-    # At most one row per activity in each of these windows.
-    tier = F.max("_tier").over(Window.partitionBy("trace_id"))
-    return steps.withColumn("tier", tier).drop("_tier")
 
 
 def retry_attempts(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
@@ -138,8 +139,8 @@ def compensation_audit(spans: DataFrame) -> DataFrame:
     refund, payment = _is(S.REFUND_PAYMENT), _is(S.PROCESS_PAYMENT)
     inventory, shipping = _is(S.RESERVE_INVENTORY), _is(S.SCHEDULE_SHIPPING)
     flags = spans.groupBy("trace_id").agg(
-        F.coalesce(_last(_failed(), inventory), F.lit(False)).alias("inventory_failed"),
-        F.coalesce(_last(_failed(), shipping), F.lit(False)).alias("shipping_failed"),
+        F.coalesce(_last_failed(inventory), F.lit(False)).alias("inventory_failed"),
+        F.coalesce(_last_failed(shipping), F.lit(False)).alias("shipping_failed"),
         F.coalesce(F.max(refund), F.lit(False)).alias("refunded"),
         F.coalesce(F.max(payment & ~_failed()), F.lit(False)).alias("paid"),
     )

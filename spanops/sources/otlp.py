@@ -6,6 +6,8 @@ arrive as text in this format, so they are declared as strings and cast.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanops import schema as S
@@ -69,15 +71,17 @@ def _time(nanos: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", nanos.cast("long"), F.lit(1000)))
 
 
-def _attribute_map(attributes: Column, pick) -> Column:
+def _attribute_map(attributes: Column, pick: Callable[[Column], Column]) -> Column:
     """Map of the attributes that have a value of one type; the last of equal keys wins."""
     typed = F.filter(attributes, lambda a: pick(a["value"]).isNotNull())
+    pairs = F.transform(typed, lambda a: F.struct(a["key"].alias("key"), pick(a["value"]).alias("value")))
+    keys = F.transform(typed, lambda a: a["key"])
+    # Repeated keys are rare; only then is every entry compared with the ones behind it.
     last = F.filter(
-        typed,
-        lambda a, i: ~F.exists(F.slice(typed, i + 2, F.size(typed) + 1), lambda b: b["key"] == a["key"]),
+        pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda b: b["key"] == a["key"])
     )
-    pairs = F.transform(last, lambda a: F.struct(a["key"].alias("key"), pick(a["value"]).alias("value")))
-    return F.map_from_entries(pairs)
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.map_from_entries(F.when(unique, pairs).otherwise(last))
 
 
 def _strings(attributes: Column) -> Column:
