@@ -61,7 +61,7 @@ def group_stats(
     columns = [column.alias(name) for name, column in keys.items()]
     if mode != "exact":
         return df.groupBy(*columns).agg(*aggregates, *sketch_quantiles(value, quantiles, mode))
-    if largest_group(df, keys, value) <= group_rows:
+    if fits_buffer(df, keys, value, group_rows):
         return df.groupBy(*columns).agg(*aggregates, *_buffered(value, quantiles))
     found = _by_ranges(df, keys, value, quantiles, RANGE_ROWS)
     if not aggregates:
@@ -75,10 +75,17 @@ def group_stats(
     return match_groups(plain, found, list(keys))
 
 
-def largest_group(df: DataFrame, keys: Keys, value: Column) -> int:
-    """Rows in the largest group; one counter per group leaves each task."""
+def fits_buffer(df: DataFrame, keys: Keys, value: Column, group_rows: int = GROUP_ROWS) -> bool:
+    """Whether every group is small enough for the built-in aggregate; only counters leave the tasks.
+
+    A small total settles it at once; else the largest group is counted.
+    """
+    if df.agg(F.count(value)).first()[0] <= group_rows:
+        return True
+    if not keys:
+        return False
     counted = df.groupBy(*keys.values()).agg(F.count(value).alias("rows"))
-    return counted.agg(F.max("rows")).first()[0] or 0
+    return counted.agg(F.max("rows")).first()[0] <= group_rows
 
 
 def _buffered(value: Column, quantiles: Mapping[str, float]) -> list[Column]:
@@ -108,7 +115,7 @@ def exact_quantiles(
     Runs the counting passes when called; the returned frame is lazy.
     """
     present = df.where(value.isNotNull())
-    if largest_group(present, keys, value) > group_rows:
+    if not fits_buffer(present, keys, value, group_rows):
         return _by_ranges(present, keys, value, quantiles, range_rows)
     columns = [column.alias(name) for name, column in keys.items()]
     return present.groupBy(*columns).agg(*_buffered(value, quantiles))

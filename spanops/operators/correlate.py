@@ -65,16 +65,27 @@ def trace_log_correlation(
     combined = per_span.unionByName(placed).groupBy("trace_id", "span_id").agg(
         F.sum("log_count").alias("log_count"), F.min("sample_body").alias("sample_body")
     )
-    joined = rows.join(combined, ["trace_id", "span_id"], "left")
-    logged = F.coalesce(F.col("log_count"), F.lit(0))
-    counted = joined.groupBy(F.window("timestamp", step).alias("w"), "activity").agg(
-        F.count(F.lit(1)).alias("total_spans"),
-        F.count_if("failed").alias("error_spans"),
-        F.sum(logged).alias("bad_logs"),
-        F.count_if(~F.col("failed") & (logged > 0)).alias("logged_without_error"),
+    # All spans are only counted; just those with a log are joined, so the join is an inner one and
+    # the text sample, which needs a sort to aggregate, covers few rows.
+    bucket = F.window("timestamp", step).alias("w")
+    counted = rows.groupBy(bucket, "activity").agg(
+        F.count(F.lit(1)).alias("total_spans"), F.count_if("failed").alias("error_spans")
+    )
+    logged = rows.join(combined, ["trace_id", "span_id"]).groupBy(bucket, "activity").agg(
+        F.sum("log_count").alias("bad_logs"),
+        F.count_if(~F.col("failed")).alias("logged_without_error"),
         F.min("sample_body").alias("sample_body"),
     )
-    out = counted.where("error_spans > 0 OR bad_logs > 0").select(F.col("w.start").alias("ts"), *counted.columns[1:])
+    joined = counted.join(logged, ["w", "activity"], "left").where("error_spans > 0 OR bad_logs > 0")
+    out = joined.select(
+        F.col("w.start").alias("ts"),
+        "activity",
+        "total_spans",
+        "error_spans",
+        F.coalesce("bad_logs", F.lit(0)).alias("bad_logs"),
+        F.coalesce("logged_without_error", F.lit(0)).alias("logged_without_error"),
+        "sample_body",
+    )
     return out.orderBy(F.desc("ts"), F.desc("bad_logs"), "activity")
 
 

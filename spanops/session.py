@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even where its output partitioning was to be reused further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sessions of one key are merged before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _own_folders: dict[str, str] = {}
@@ -41,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/spanops/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/spanops/{kind}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application."""
+    return f"{_scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames built on them can no longer be read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
