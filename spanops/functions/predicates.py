@@ -17,8 +17,16 @@ def instant(df: DataFrame, value: object | None, column: str = "timestamp") -> C
 
 
 def latest(df: DataFrame, column: str = "timestamp") -> object:
-    """Newest time in the table, to be passed as ``as_of``."""
-    return df.agg(F.max(column)).first()[0]
+    """Newest time in the table, to be passed as ``as_of``.
+
+    On a table partitioned by event time only the newest partition is searched.
+    """
+    rows = df
+    for part in ("dt", "hour"):
+        if part in df.columns:
+            newest = rows.agg(F.max(part)).first()[0]
+            rows = rows.where(F.col(part) == F.lit(newest))
+    return rows.agg(F.max(column)).first()[0]
 
 
 def lookback(df: DataFrame, span: str, as_of: object | None = None, column: str = "timestamp") -> Column:

@@ -1,7 +1,7 @@
 """OTLP JSON export files to spans, logs and metric points.
 
 One line of a file is one export request; requests nest resource, scope and record. 64-bit numbers
-arrive as text in this format, so they are declared as strings and cast.
+arrive as text in this format, so they are declared as strings and cast; text that is no number gives NULL.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def _named(value: Column, names: dict[str, str]) -> Column:
 
 def _time(nanos: Column) -> Column:
     # Whole-number division: nanoseconds since the epoch exceed what a double holds.
-    return F.timestamp_micros(F.call_function("div", nanos.cast("long"), F.lit(1000)))
+    return F.timestamp_micros(F.call_function("div", nanos.try_cast("long"), F.lit(1000)))
 
 
 def _attribute_map(attributes: Column, pick: Callable[[Column], Column]) -> Column:
@@ -89,7 +89,7 @@ def _strings(attributes: Column) -> Column:
 
 
 def _numbers(attributes: Column) -> Column:
-    return _attribute_map(attributes, lambda v: F.coalesce(v["doubleValue"], v["intValue"].cast("double")))
+    return _attribute_map(attributes, lambda v: F.coalesce(v["doubleValue"], v["intValue"].try_cast("double")))
 
 
 def _booleans(attributes: Column) -> Column:
@@ -125,7 +125,7 @@ def _upserted(environment: str | None) -> Column:
 
 def flatten_traces(requests: DataFrame, environment: str | None = "production") -> DataFrame:
     x = _records(requests, "resourceSpans", "scopeSpans", "spans")
-    start, end = F.col("x.startTimeUnixNano").cast("long"), F.col("x.endTimeUnixNano").cast("long")
+    start, end = F.col("x.startTimeUnixNano").try_cast("long"), F.col("x.endTimeUnixNano").try_cast("long")
     spans = x.select(
         _time(F.col("x.startTimeUnixNano")).alias("timestamp"),
         F.col("x.traceId").alias("trace_id"),
@@ -178,7 +178,7 @@ def flatten_metrics(requests: DataFrame, environment: str | None = "production")
                 p["timeUnixNano"].alias("at"),
                 F.lit(kind).alias("metric_type"),
                 p["attributes"].alias("attributes"),
-                F.coalesce(p["asDouble"], p["asInt"].cast("double")).alias("value"),
+                F.coalesce(p["asDouble"], p["asInt"].try_cast("double")).alias("value"),
                 none.cast("array<double>").alias("bucket_bounds"),
                 none.cast("array<bigint>").alias("bucket_counts"),
                 none.cast("bigint").alias("count"),
@@ -195,8 +195,8 @@ def flatten_metrics(requests: DataFrame, environment: str | None = "production")
             p["attributes"].alias("attributes"),
             none.cast("double").alias("value"),
             p["explicitBounds"].alias("bucket_bounds"),
-            p["bucketCounts"].cast("array<bigint>").alias("bucket_counts"),
-            p["count"].cast("bigint").alias("count"),
+            F.transform(p["bucketCounts"], lambda c: c.try_cast("bigint")).alias("bucket_counts"),
+            p["count"].try_cast("bigint").alias("count"),
             p["sum"].alias("sum"),
             _named(F.col("x.histogram.aggregationTemporality"), _TEMPORALITIES).alias("temporality"),
         ),

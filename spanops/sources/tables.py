@@ -127,6 +127,8 @@ def write_telemetry(rows: DataFrame, path: str, mode: str = "append", hourly: bo
     prepared = with_partitions(rows, hourly)
     if "attributes_string" in rows.columns and not set(S.PROMOTED.values()) <= set(rows.columns):
         prepared = promote_attributes(prepared)
+    if "duration_nano" in rows.columns and "ts_bucket_start" not in rows.columns:
+        prepared = with_bucket_start(prepared)
     parts = partition_columns(hourly)
     order = [c for c in (*parts, "name", "metric_name", "timestamp") if c in prepared.columns]
     balanced = prepared.hint("rebalance", *[F.col(c) for c in parts]).sortWithinPartitions(*order)

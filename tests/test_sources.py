@@ -3,6 +3,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from spanops.functions.predicates import latest
 from spanops.sources import otlp, tables
 from spanops.sources.orders import parse_orders
 from spanops.operators import latency
@@ -59,6 +60,22 @@ def test_otlp_files(spark, tmp_path):
     assert (rows["h"]["bucket_counts"], rows["h"]["count"], rows["h"]["temporality"]) == ([1, 2], 3, "delta")
 
 
+def test_otlp_bad_numbers_do_not_stop_the_job(spark):
+    span = {"traceId": "t", "spanId": "s", "name": "n", "startTimeUnixNano": "soon", "endTimeUnixNano": "later",
+            "attributes": [{"key": "n", "value": {"intValue": "many"}}]}
+    lines = spark.createDataFrame(
+        [(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}),), ("{bad",)], "value string"
+    )
+    rows = otlp.parse_otlp(lines, "traces").collect()
+    assert len(rows) == 1 and rows[0]["timestamp"] is None and rows[0]["attributes_number"] == {}
+
+
+def test_bucket_start_is_added_on_write(spark, make_spans, tmp_path):
+    spans = make_spans([{"sec": i * 900} for i in range(8)]).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    tables.write_telemetry(spans, str(tmp_path / "s"))
+    assert tables.read_spans(spark, str(tmp_path / "s"), START, START + timedelta(hours=1)).count() == 5
+
+
 def test_orders_and_rejects(spark):
     good = {"order_id": "7", "customer_id": "c", "customer_tier": "pro", "amount": 9.5, "items": 2, "payment_method": "paypal"}
     lines = spark.createDataFrame([(json.dumps(good),), ("{bad",), (json.dumps({**good, "amount": "much"}),), (json.dumps({"order_id": "8"}),)], "value string")
@@ -81,6 +98,8 @@ def test_partitioned_table_prunes(spark, make_spans, tmp_path):
     assert "dt" in pruned and "hour" in pruned
     assert tables.read_spans(spark, path).count() == 48
     assert tables.read_spans(spark, path, start.isoformat(), None).count() == 38
+    whole = tables.read_spans(spark, path)
+    assert latest(whole) == START + timedelta(hours=47) and latest(whole.where("false")) is None
     drift = latency.latency_drift(found, live=None, baseline=None, as_of=end)
     assert drift.first()["total_spans"] == 5
 
