@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops import schema as S
@@ -90,19 +93,19 @@ def select_spans(
     where: Column | str | None = None,
 ) -> DataFrame:
     """The base filter every report starts from: time, name, service and an optional extra condition."""
-    out = spans
+    conditions = []
     if window is not None:
-        out = out.where(lookback(spans, window, as_of))
+        conditions.append(lookback(spans, window, as_of))
     if start is not None:
-        out = out.where(between(spans, start, end))
+        conditions.append(between(spans, start, end))
         if "ts_bucket_start" in spans.columns:
-            out = out.where(bucket_prune(spans, start, end))
+            conditions.append(bucket_prune(spans, start, end))
     if name is not None:
-        out = out.where(F.col("name") == name)
+        conditions.append(F.col("name") == name)
     elif prefix is not None:
-        out = out.where(name_prefix(prefix))
+        conditions.append(name_prefix(prefix))
     if service is not None:
-        out = out.where(F.col("serviceName") == service)
+        conditions.append(F.col("serviceName") == service)
     if where is not None:
-        out = out.where(where)
-    return out
+        conditions.append(F.expr(where) if isinstance(where, str) else where)
+    return spans.where(reduce(operator.and_, conditions)) if conditions else spans

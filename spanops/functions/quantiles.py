@@ -55,13 +55,19 @@ def group_stats(
     quantiles: Mapping[str, float],
     aggregates: Sequence[Column] = (),
     mode: str = "exact",
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Plain aggregates and quantiles of ``value`` side by side, one row per group."""
+    """Plain aggregates and quantiles of ``value`` side by side, one row per group.
+
+    ``at_most`` is a number of rows already known not to be exceeded; where it is small, nothing is counted.
+    """
     columns = [column.alias(name) for name, column in keys.items()]
     if mode != "exact":
         return df.groupBy(*columns).agg(*aggregates, *sketch_quantiles(value, quantiles, mode))
-    if fits_buffer(df, keys, value, group_rows):
+    group_rows = GROUP_ROWS if group_rows is None else group_rows
+    known = at_most is not None and at_most <= group_rows
+    if known or fits_buffer(df, keys, value, group_rows):
         return df.groupBy(*columns).agg(*aggregates, *_buffered(value, quantiles))
     found = _by_ranges(df, keys, value, quantiles, RANGE_ROWS)
     if not aggregates:
@@ -75,7 +81,7 @@ def group_stats(
     return match_groups(plain, found, list(keys))
 
 
-def fits_buffer(df: DataFrame, keys: Keys, value: Column, group_rows: int = GROUP_ROWS) -> bool:
+def fits_buffer(df: DataFrame, keys: Keys, value: Column, group_rows: int) -> bool:
     """Whether every group is small enough for the built-in aggregate; only counters leave the tasks.
 
     A small total settles it at once; else the largest group is counted.
@@ -107,7 +113,7 @@ def exact_quantiles(
     keys: Keys,
     value: Column,
     quantiles: Mapping[str, float],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles of a numeric column, one row per group with any value.
@@ -115,7 +121,7 @@ def exact_quantiles(
     Runs the counting passes when called; the returned frame is lazy.
     """
     present = df.where(value.isNotNull())
-    if not fits_buffer(present, keys, value, group_rows):
+    if not fits_buffer(present, keys, value, GROUP_ROWS if group_rows is None else group_rows):
         return _by_ranges(present, keys, value, quantiles, range_rows)
     columns = [column.alias(name) for name, column in keys.items()]
     return present.groupBy(*columns).agg(*_buffered(value, quantiles))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops import schema as S
-from spanops.functions.predicates import attr_nonempty, select_spans, slower_than
+from spanops.functions.predicates import attr_nonempty, lookback, select_spans, slower_than
 from spanops.functions.quantiles import group_stats, match_groups
 from spanops.functions.scalars import epoch_nanos, field, ns_to_ms, rate_pct, ratio, threshold_label
 from spanops.session import materialize
@@ -89,9 +89,9 @@ def drift_columns(icons: bool = False) -> list[Column]:
     ]
 
 
-def global_baseline(rows: DataFrame, quantile_mode: str = "exact") -> Column:
+def global_baseline(rows: DataFrame, quantile_mode: str = "exact", at_most: int | None = None) -> Column:
     """P99 of all rows in ms, as a scalar subquery to be used in any other frame."""
-    base = group_stats(rows, {}, F.col(DURATION), {"p99": 0.99}, mode=quantile_mode)
+    base = group_stats(rows, {}, F.col(DURATION), {"p99": 0.99}, mode=quantile_mode, at_most=at_most)
     return base.select(ns_to_ms(F.col("p99")).alias("baseline_ms")).scalar()
 
 
@@ -112,12 +112,17 @@ def latency_drift(
     failed = F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
     fleet = select_spans(spans, as_of=as_of, window=baseline, **base)
     now = select_spans(spans, as_of=as_of, window=live, **base).where(attr_nonempty(spans, dim))
+    at_most = None
+    if quantile_mode == "exact":
+        # One count bounds both sides.
+        times = [F.lit(True) if w is None else lookback(spans, w, as_of) for w in (live, baseline)]
+        at_most = select_spans(spans, **base).where(times[0] | times[1]).count()
     aggregates = [F.count(F.lit(1)).alias("total_spans"), F.round(rate_pct(failed), 2).alias("error_rate_pct")]
     tiers = group_stats(
-        now, {"tier": field(spans, dim)}, F.col(DURATION), {"_p99": 0.99}, aggregates, quantile_mode
+        now, {"tier": field(spans, dim)}, F.col(DURATION), {"_p99": 0.99}, aggregates, quantile_mode, at_most=at_most
     ).where(F.col("total_spans") >= min_count)
     compared = tiers.withColumn("p99_ms", _ms("_p99")).withColumn(
-        "_baseline_ms", global_baseline(fleet, quantile_mode)
+        "_baseline_ms", global_baseline(fleet, quantile_mode, at_most)
     )
     baseline_ms, drift, status = drift_columns(icons)
     out = compared.select("tier", "p99_ms", baseline_ms, drift, "error_rate_pct", "total_spans", status)
@@ -170,7 +175,12 @@ def peer_latency_ratio(
     three of these answer for every activity and no activity is paired with any other.
     """
     rows = select_spans(spans, as_of=as_of, window=window, **base)
-    p99 = group_stats(rows, {"activity": F.col("name")}, F.col(DURATION), {"p99": 0.99}, mode=quantile_mode)
+    return _peer_ratios(rows, quantile_mode).orderBy(F.desc_nulls_last("peer_ratio"), "activity")
+
+
+def _peer_ratios(rows: DataFrame, quantile_mode: str, at_most: int | None = None) -> DataFrame:
+    keys = {"activity": F.col("name")}
+    p99 = group_stats(rows, keys, F.col(DURATION), {"p99": 0.99}, mode=quantile_mode, at_most=at_most)
     # One number per activity name.
     ordered = p99.agg(F.sort_array(F.collect_list("p99")).alias("v")).scalar()
     listed = p99.withColumn("_v", ordered).withColumn("_m", F.size("_v") - 1)
@@ -182,13 +192,12 @@ def peer_latency_ratio(
     lower = F.floor((F.col("_m") - 1) / 2).cast("int")
     upper = F.floor(F.col("_m") / 2).cast("int")
     peers = F.when(F.col("_m") > 0, (order_statistic(lower) + order_statistic(upper)) / 2)
-    out = listed.withColumn("_peers", peers).select(
+    return listed.withColumn("_peers", peers).select(
         "activity",
         _ms("p99").alias("p99_ms"),
         _ms("_peers").alias("peer_median_p99_ms"),
         F.round(ratio(F.col("p99"), F.col("_peers")), 2).alias("peer_ratio"),
     )
-    return out.orderBy(F.desc_nulls_last("peer_ratio"), "activity")
 
 
 def silent_failure(
@@ -214,18 +223,20 @@ def silent_failure(
         F.count_if(silent).alias("silent_spans"),
         F.round(rate_pct(silent), 2).alias("silent_pct"),
     )
+    at_most = rows.count() if quantile_mode == "exact" else None
     tiers = group_stats(
         rows.where(attr_nonempty(spans, dim)),
         {"activity": F.col("name"), "tier": field(spans, dim)},
         F.col(DURATION),
         {"p99": 0.99},
         mode=quantile_mode,
+        at_most=at_most,
     )
     spread = tiers.groupBy("activity").agg(
         F.round(ratio(F.max("p99") - F.min("p99"), F.max("p99")) * 100, 2).alias("tier_spread_pct")
     )
-    peers = peer_latency_ratio(spans, as_of=as_of, window=window, quantile_mode=quantile_mode, **base)
-    joined = match_groups(match_groups(counted, peers.select("activity", "p99_ms", "peer_ratio"), ["activity"]), spread, ["activity"])
+    peers = _peer_ratios(rows, quantile_mode, at_most).select("activity", "p99_ms", "peer_ratio")
+    joined = match_groups(match_groups(counted, peers, ["activity"]), spread, ["activity"])
     slow = F.col("peer_ratio") >= min_peer_ratio
     verdict = F.when(slow & (F.col("tier_spread_pct") < max_spread_pct), "SYSTEMIC").when(slow, "SLOW").otherwise("OK")
     return joined.withColumn("verdict", verdict).orderBy(F.desc_nulls_last("peer_ratio"), "activity")

@@ -128,9 +128,6 @@ def gap_fill(
     kind = series.schema[ts].dataType
     width = interval(step)
 
-    def edge(given: object | None, aggregate: Column) -> Column:
-        return F.lit(given).cast(kind) if given is not None else series.agg(aggregate.alias("edge")).scalar()
-
     ordered = Window.partitionBy(*keys).orderBy(ts)
     placed = series.select(
         *keys,
@@ -139,7 +136,14 @@ def gap_fill(
         F.lag(ts).over(ordered).isNull().alias("_first"),
         F.lead(ts).over(ordered).alias("_next"),
     )
-    placed = placed.withColumn("_start", edge(start, F.min(ts))).withColumn("_end", edge(end, F.max(ts)))
+    if start is None or end is None:
+        ends = series.agg(F.struct(F.min(ts).alias("low"), F.max(ts).alias("high")).alias("ends")).scalar()
+        placed = placed.withColumn("_ends", ends)
+    placed = placed.select(
+        "*",
+        (F.col("_ends.low") if start is None else F.lit(start).cast(kind)).alias("_start"),
+        (F.col("_ends.high") if end is None else F.lit(end).cast(kind)).alias("_end"),
+    )
     first = F.when(F.col("_first"), F.least("_start", ts)).otherwise(F.col(ts))
     last = F.coalesce(F.col("_next") - width, F.greatest("_end", ts))
     grid = placed.withColumn("_at", F.explode(F.sequence(first, last, width)))

@@ -1,6 +1,7 @@
 import pytest
 
-from spanops.operators import latency
+from spanops.functions import quantiles
+from spanops.operators import explore, latency, timeseries
 
 
 def test_zero_spread_is_normal(make_spans):
@@ -103,3 +104,30 @@ def test_modes_agree_roughly(make_spans):
         latency.zscore_anomaly(spans, window=None, quantile_mode=m).first()["p95_ms"] for m in ("exact", "approx", "kll")
     )
     assert approx == pytest.approx(exact, rel=0.02) and kll == pytest.approx(exact, rel=0.05)
+
+
+def test_reports_are_the_same_for_groups_too_large_for_a_buffer(make_spans, monkeypatch):
+    rows = [
+        {"ms": (i * i) % 977 + i / 1000, "tier": ("pro", "free", None)[i % 3], "sec": i * 40, "trace": f"t{i // 4}",
+         "name": ("activity.check_fraud", "activity.x", "activity.y")[i % 7 % 3], "error": i % 50 == 0}
+        for i in range(400)
+    ]
+    spans = make_spans(rows)
+    reports = [
+        lambda: latency.zscore_anomaly(spans, window=None),
+        lambda: latency.latency_drift(spans, live=None, baseline=None),
+        lambda: latency.rolling_drift(spans, window=None),
+        lambda: latency.silent_failure(spans, window=None, ceiling_ms=500),
+        lambda: latency.workflow_latency(spans, window=None),
+        lambda: timeseries.p99_trend_ts(spans, window=None, step="30 minutes"),
+        lambda: explore.builder_query(
+            spans, {"n": ("count", None), "p": ("p95", "duration_nano")}, group_by=["customer.tier"], order_by=["customer_tier"]
+        ),
+    ]
+    small = [report().collect() for report in reports]
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 0)
+    for report, expected in zip(reports, small):
+        found = report().collect()
+        assert len(found) == len(expected)
+        for a, b in zip(found, expected):
+            assert all(x == y or (isinstance(x, float) and x == pytest.approx(y)) for x, y in zip(a, b))
