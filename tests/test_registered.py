@@ -29,7 +29,7 @@ def _value(v):
     return "NULL" if v is None else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_same_result(spark, duck, name):
     frame = entry.queries()[name](spark, SF_DIR)
     columns = sorted(frame.columns)
@@ -50,5 +50,5 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_is_an_estimate():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(entry.QUERIES) - set(entry.ORACLES)
     assert missing == {"agg_quantile_approx", "agg_quantile_kll", "latency_rollup_quantile", "st_workflows"}
