@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanops.llm import bwtdedup, common, linecrf, mixing, partenum, pieces, pst, secretscan, voronoi
+from spanops.llm import bwtdedup, common, linecrf, mixing, partenum, pieces, pst, rangecoder, secretscan, separators, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_docs(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangecoder.stored(_docs(spark, sf_dir))
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.quality(_docs(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,10 @@ def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_docs(spark, sf_dir))
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(_docs(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(_docs(spark, sf_dir))
 
@@ -50,9 +58,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_suffix_dedup, op2_suffix_tree_score, op3_partenum_join, op4_soft_mixing, op6_line_crf, op7_voronoi_knn,
-        op8_streaming_viterbi, op10_secret_scan,
+        op1_suffix_dedup, op2_suffix_tree_score, op3_partenum_join, op4_soft_mixing, op5_token_files, op6_line_crf,
+        op7_voronoi_knn, op8_streaming_viterbi, op9_separator_scan, op10_secret_scan,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_voronoi_knn": """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+}
