@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanops.llm import common
+from spanops.session import materialize
 
 LENGTH = 100
 REACH = 64  # one bit of a 64-bit mask for each offset
@@ -174,8 +175,6 @@ def repeated(block, k_id, k_hash, pos, low, high, left: np.ndarray, right: np.nd
     """
     n = len(block)
     forward, backward = refine(block, _symbols(right)), refine(block, _symbols(left))
-    where = (forward[1] == 0) if n else np.zeros(0, bool)
-    where[:1] = True
     group = np.zeros(n, np.int64)
     group[1:] = np.cumsum(block[1:] != block[:-1])
     by_age = np.lexsort((pos, k_hash, k_id))
@@ -207,17 +206,18 @@ def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (all_ >> (np.uint64(63) - high.astype(np.uint64))) & (all_ << low.astype(np.uint64))
 
 
-_RUN = "block long, k_id long, k_hash long, at long, place int, before binary, after binary, mask long"
+_RUN = "block long, k_id long, k_hash long, at long, place int, before binary, after binary, settled array<long>"
+_RUN_NAMES = [c.split()[0] for c in _RUN.split(", ")]
 
 
-def _pick(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before (nearest first) and after each position, 0 beyond the text."""
-    p = pos + ends[doc]
+def _pick(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before (nearest first) and after each anchor as far as its windows reach, 0 beyond."""
+    p, low, high = (at >> 12) + ends[doc], (at >> 6) & 63, at & 63
     ahead = p[:, None] + np.arange(LENGTH)[None]
     back = p[:, None] - np.arange(1, REACH)[None]
     last = len(data) - 1
-    right = np.where(ahead < ends[doc + 1][:, None], data[np.minimum(ahead, last)], 0).astype(np.uint8)
-    left = np.where(back >= ends[doc][:, None], data[np.maximum(back, 0)], 0).astype(np.uint8)
+    right = np.where(ahead < (p + LENGTH - low)[:, None], data[np.minimum(ahead, last)], 0).astype(np.uint8)
+    left = np.where(back >= (p - high)[:, None], data[np.maximum(back, 0)], 0).astype(np.uint8)
     return left, right
 
 
@@ -229,7 +229,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def _run(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Sort a shard's suffixes; settle those that equal an earlier one of the shard in every reachable byte."""
+    """Sort a shard's suffixes; settle those that equal an earlier one of the shard in every byte their windows reach."""
     block, k_id, k_hash, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
     pos, low, high = at >> 12, (at >> 6) & 63, at & 63
     both = np.concatenate([_symbols(right), _symbols(left)], 1)
@@ -241,20 +241,26 @@ def _run(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(age), bool)
     new[1:] = whole[age][1:] != whole[age][:-1]
     lead = age[np.maximum.accumulate(np.where(new, np.arange(len(age)), 0))]
-    # Bytes are compared, not only their hash; an anchor counts from the text's ends too, so offsets must be served by the leader.
-    same = (both[age] == both[lead]).all(1) & (block[age] == block[lead])
+    # Bytes are compared, not only their hash, and the leader must have the same windows.
+    same = (both[age] == both[lead]).all(1) & (block[age] == block[lead]) & (low[age] == low[lead]) & (high[age] == high[lead])
     older = (k_id[age] > k_id[lead]) | ((k_id[age] == k_id[lead]) & (k_hash[age] == k_hash[lead]) & (pos[age] > pos[lead]))
-    served = (low[lead] <= low[age]) & (high[age] <= high[lead])
     settled = np.zeros(len(age), bool)
-    settled[age] = same & older & served
+    settled[age] = same & older
+    # Settled suffixes travel as one row for each text; all their windows are repeated.
     rows = np.flatnonzero(settled)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(block[rows]), pa.array(k_id[rows]), pa.array(k_hash[rows]), pa.array(at[rows]), pa.nulls(len(rows), pa.int32()),
-            pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array(_bits(low[rows], high[rows]).view(np.int64)),
-        ],
-        [c.split()[0] for c in _RUN.split(", ")],
-    )
+    rows = rows[np.lexsort((at[rows], k_hash[rows], k_id[rows]))]
+    if len(rows):
+        new = np.ones(len(rows), bool)
+        new[1:] = (k_id[rows][1:] != k_id[rows][:-1]) | (k_hash[rows][1:] != k_hash[rows][:-1])
+        start = np.flatnonzero(new)
+        first, n = rows[start], len(start)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(k_hash[first]), pa.array(k_id[first]), pa.array(k_hash[first]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), common.lists(at[rows], np.append(start, len(rows)), pa.int64()),
+            ],
+            _RUN_NAMES,
+        )
     rows = np.flatnonzero(~settled)
     rows = rows[np.lexsort((*_symbols(right[rows]).T[::-1], block[rows]))]
     for a in range(0, len(rows), 20_000):
@@ -262,12 +268,22 @@ def _run(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(block[some]), pa.array(k_id[some]), pa.array(k_hash[some]), pa.array(at[some]), pa.array(np.arange(a, a + len(some)), pa.int32()),
-                _fixed(left[some]), _fixed(right[some]), pa.array(np.zeros(len(some), np.int64)),
+                _fixed(left[some]), _fixed(right[some]), pa.nulls(len(some), pa.list_(pa.int64())),
             ],
-            [c.split()[0] for c in _RUN.split(", ")],
+            _RUN_NAMES,
         )
 
 
+def _block_of(data: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Hash of the DEPTH bytes from each place on."""
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(p), np.uint64)
+        for k in (0, 8, 16, 24, DEPTH - 8):
+            eight = np.ascontiguousarray(data[(p + k)[:, None] + np.arange(8)[None]]).view("<u8")[:, 0]
+            key = common.mix(key * _C[3] + eight)
+    return key.view(np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, n = [], 0
     for batch in batches:
@@ -276,13 +292,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, ends = common.raw_texts(batch)
         spots = batch.column("spots")
         doc = np.repeat(np.arange(batch.num_rows), np.asarray(spots.value_lengths().fill_null(0)))
-        flat = spots.flatten()
-        at, block = np.asarray(flat.field("at")), np.asarray(flat.field("block"))
+        at = np.asarray(spots.flatten())
         ids, hashes = np.asarray(batch.column("k_id")), np.asarray(batch.column("k_hash"))
         for a in range(0, len(at), RUN):
             d, x = doc[a : a + RUN], at[a : a + RUN]
-            left, right = _pick(data, ends, d, x >> 12)
-            parts.append((block[a : a + RUN], ids[d], hashes[d], x, left, right))
+            left, right = _pick(data, ends, d, x)
+            parts.append((_block_of(data, (x >> 12) + ends[d]), ids[d], hashes[d], x, left, right))
             n += len(x)
             if n >= RUN:
                 yield from _run(parts)
@@ -291,7 +306,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _run(parts)
 
 
-_MASKS = "k_id long, k_hash long, at long, mask long"
+_MASKS = "k_id long, k_hash long, at array<long>, mask array<long>"
 
 
 def _rows_of(column: pa.Array, width: int) -> np.ndarray:
@@ -308,11 +323,30 @@ def _merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         at = cols["at"]
         left, right = (_rows_of(open_[c], w) for c, w in (("before", REACH - 1), ("after", LENGTH)))
         masks = repeated(cols["block"], cols["k_id"], cols["k_hash"], at >> 12, (at >> 6) & 63, at & 63, left, right)
-    hit = masks != 0
-    names = ["k_id", "k_hash", "at"]
-    columns = [np.concatenate([np.asarray(fixed[c]), cols[c][hit]]).astype(np.int64) for c in names]
-    mask = np.concatenate([np.asarray(fixed["mask"]).astype(np.int64), masks[hit].view(np.int64)])
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(mask)], [*names, "mask"])
+    hit = np.flatnonzero(masks)
+    order = hit[np.lexsort((cols["k_hash"][hit], cols["k_id"][hit]))]
+    k_id, k_hash = cols["k_id"][order], cols["k_hash"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k_id[1:] != k_id[:-1]) | (k_hash[1:] != k_hash[:-1])
+    start = np.flatnonzero(new)
+    ends = np.append(start, len(order))
+    settled = fixed["settled"].combine_chunks()
+    if isinstance(settled, pa.ChunkedArray):
+        settled = pa.concat_arrays(settled.chunks) if settled.num_chunks else pa.array([], pa.list_(pa.int64()))
+    n = len(settled)
+    flat = np.asarray(settled.flatten()).astype(np.int64)
+    settled_ends = np.concatenate([[0], np.cumsum(np.asarray(settled.value_lengths()).astype(np.int64))])
+    whole = _bits((flat >> 6) & 63, flat & 63).view(np.int64)
+    both_ends = np.concatenate([settled_ends, settled_ends[-1] + ends[1:]]) if n or len(start) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([np.asarray(fixed["k_id"]).astype(np.int64), k_id[start]]).astype(np.int64)),
+            pa.array(np.concatenate([np.asarray(fixed["k_hash"]).astype(np.int64), k_hash[start]]).astype(np.int64)),
+            common.lists(np.concatenate([flat, cols["at"][order]]).astype(np.int64), both_ends, pa.int64()),
+            common.lists(np.concatenate([whole, masks[order].view(np.int64)]).astype(np.int64), both_ends, pa.int64()),
+        ],
+        ["k_id", "k_hash", "at", "mask"],
+    )
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,44 +379,73 @@ def covered(length: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-_RESULT = "k_id long, k_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+_RESULT = "k_id long, k_hash long, n_removed long, n_spans long, cut_sha256 string, spans array<struct<start:long,end:long>>"
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, ends = common.raw_texts(batch)
     rows = []
-    for k, spots in enumerate(batch.column("spots")):
+    for k, (at, mask) in enumerate(zip(batch.column("at"), batch.column("mask"), strict=True)):
         own = data[ends[k] : ends[k + 1]]
-        if not spots.is_valid or not len(spots.values):
-            rows.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest(), []))
-            continue
-        gone = covered(len(own), np.asarray(spots.values.field("at")), np.asarray(spots.values.field("mask")))
+        gone = covered(len(own), np.asarray(at.values), np.asarray(mask.values))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
         spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-        rows.append((len(own), int(gone.sum()), len(spans), hashlib.sha256(own[~gone].tobytes()).hexdigest(), spans))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        rows.append((int(gone.sum()), len(spans), hashlib.sha256(own[~gone].tobytes()).hexdigest(), spans))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
     return pa.RecordBatch.from_arrays(
-        [batch.column("k_id"), batch.column("k_hash"), *columns], ["k_id", "k_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        [batch.column("k_id"), batch.column("k_hash"), *columns], ["k_id", "k_hash", "n_removed", "n_spans", "cut_sha256", "spans"]
     )
 
 
+FILTER_BITS = 26
+
+
+def only(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose key may be among ``keys``, so that the others' texts are not shuffled for a join.
+
+    The filter is a bitmap of 2^FILTER_BITS bits (8 MB) whatever the number of keys; with very many keys it lets more rows
+    through, which costs time but changes nothing, as an exact join follows.
+    """
+    slot = F.col("k_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    rows = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    bitmap = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
+    for r in rows:
+        bitmap[r["b"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.asarray(batch.column("k_hash")) & ((1 << FILTER_BITS) - 1)
+        hit = (shared.value[x >> 15, (x & 32767) >> 3] >> (x & 7).astype(np.uint8)) & 1
+        return batch.filter(pa.array(hit.astype(bool)))
+
+    return common.map_arrow(source, work, "k_id long, k_hash long, text string")
+
+
 def repeated_windows(source: DataFrame) -> DataFrame:
-    """``k_id, k_hash, spots``: for each text with repeats its anchors (``at``) and the masks of their repeated windows."""
+    """``k_id, k_hash, at, mask``: for each text with repeats its anchors and the masks of their repeated windows."""
     found = common.map_arrow(source, _blocks, "block long, k_id long, k_hash long, at long")
     size = F.count("*").over(Window.partitionBy("block"))
     several = found.withColumn("size", size).where("size > 1")
-    spots = several.groupBy("k_id", "k_hash").agg(F.collect_list(F.struct("block", "at")).alias("spots"))
-    runs = source.join(spots, ["k_id", "k_hash"]).mapInArrow(_runs, _RUN)
+    spots = materialize(several.groupBy("k_id", "k_hash").agg(F.collect_set("at").alias("spots")), "spots")
+    runs = only(source, spots).join(spots, ["k_id", "k_hash"]).mapInArrow(_runs, _RUN)
     sorted_runs = runs.withColumn("shard", F.spark_partition_id()).repartition("block").sortWithinPartitions("block", "shard", "place").drop("shard")
     masks = sorted_runs.mapInArrow(_merge, _MASKS)
-    return masks.groupBy("k_id", "k_hash").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
+    gathered = masks.groupBy("k_id", "k_hash").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
+    # collect_list keeps rows in step: both lists take the same rows in the same order.
+    return materialize(gathered, "masks")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Bytes, removed bytes and spans, and the digest of what stays, for every document."""
     common.prepare(docs.sparkSession)
     source = common.keyed(docs)
-    marked = source.join(repeated_windows(source), ["k_id", "k_hash"], "left")
+    masks = repeated_windows(source)
+    marked = only(source, masks).dropDuplicates(["k_id", "k_hash"]).join(masks, ["k_id", "k_hash"])
     cut = common.map_arrow(marked, _cut, _RESULT)
-    return cut.select(common.shown_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    every = source.select("k_id", "k_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    return every.join(cut, ["k_id", "k_hash"], "left").select(
+        common.shown_id().alias("doc_id"), "n_bytes", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")],
+        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"), F.coalesce("spans", none).alias("spans"),
+    )
