@@ -99,15 +99,26 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each anchor: its block, its text, and position and offsets in one number."""
+    """One row for each anchor: its block, its text, and position and offsets in one number.
+
+    Anchors of a block that the batch holds several times are ``sure`` to stay. They are dealt out at random, and one row
+    without a text (``at`` -1) stands for all of them in the block, so a very frequent block is no hot key.
+    """
     data, ends = common.raw_texts(batch)
     pos, key, low, high = anchors(data, ends)
     doc = np.searchsorted(ends, pos, side="right") - 1
     ids, hashes = np.asarray(batch.column("k_id")), np.asarray(batch.column("k_hash"))
     at = ((pos - ends[doc]) << 12) | (low << 6) | high
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(at)], ["block", "k_id", "k_hash", "at"]
-    )
+    blocks, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    sure = times[back] > 1
+    several = blocks[times > 1]
+    dealt = np.where(sure, common.mix(key ^ common.mix(pos.astype(np.uint64))), key)
+    n = len(several)
+    columns = [
+        np.concatenate([dealt, several]).view(np.int64), np.concatenate([ids[doc], np.zeros(n, np.int64)]),
+        np.concatenate([hashes[doc], np.zeros(n, np.int64)]), np.concatenate([at, np.full(n, -1)]), np.concatenate([sure, np.zeros(n, bool)]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "k_id", "k_hash", "at", "sure"])
 
 
 def _symbols(rows: np.ndarray) -> np.ndarray:
@@ -424,9 +435,9 @@ def only(source: DataFrame, keys: DataFrame) -> DataFrame:
 
 def repeated_windows(source: DataFrame) -> DataFrame:
     """``k_id, k_hash, at, mask``: for each text with repeats its anchors and the masks of their repeated windows."""
-    found = common.map_arrow(source, _blocks, "block long, k_id long, k_hash long, at long")
+    found = common.map_arrow(source, _blocks, "block long, k_id long, k_hash long, at long, sure boolean")
     size = F.count("*").over(Window.partitionBy("block"))
-    several = found.withColumn("size", size).where("size > 1")
+    several = found.withColumn("size", size).where("(sure or size > 1) and at >= 0")
     spots = materialize(several.groupBy("k_id", "k_hash").agg(F.collect_set("at").alias("spots")), "spots")
     runs = only(source, spots).join(spots, ["k_id", "k_hash"]).mapInArrow(_runs, _RUN)
     sorted_runs = runs.withColumn("shard", F.spark_partition_id()).repartition("block").sortWithinPartitions("block", "shard", "place").drop("shard")
