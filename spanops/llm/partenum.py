@@ -6,7 +6,9 @@ pair of bands. For such a pair of bands the feature domain is partitioned by has
 sets agree, in one part at least, up to k2 elements. Each part is partitioned again into n2, and the signatures are all
 ways to leave out k2 of these: one of them is untouched. Sets that reach the similarity therefore share a signature.
 
-Documents with equal sets are one node. Within a signature nodes are first compared with the smallest node only (twice, by
+Documents with equal sets are one node. Candidates are first held against a parity sketch: a bit for each of 512 parts of the domain
+tells whether the set has an odd number of elements there. Sets whose sketches differ in d bits differ in d elements at least,
+so too large a d rules the link out for certain. Within a signature nodes are first compared with the smallest node only (twice, by
 different orders), not with each other; the links give components, and pairs are then formed only between members of
 different components, so a large group of copies costs a pass, not its square, and no link is lost. Every candidate pair
 is decided by the exact intersection of the two sets.
@@ -92,6 +94,16 @@ def signatures(items: np.ndarray, ends: list[int], pct: int = SIMILARITY_PCT) ->
     return np.unique(np.concatenate(out))
 
 
+PARITY_WORDS = 8
+_PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS parts of the domain one bit: whether the set has an odd number of elements there."""
+    odd = np.bincount((common.mix(items) >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def set_hash(items: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = common.mix(items + np.uint64(0x51ED270B)).sum(dtype=np.uint64) + np.uint64(len(items))
@@ -102,10 +114,14 @@ def _nodes(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes, rows = common.WordHashes(), []
     for text in common.texts(batch):
         items = shingles(text, size, hashes)
-        rows.append((len(items), set_hash(items) if len(items) else None))
-    count, node = zip(*rows, strict=True)
+        rows.append((len(items), set_hash(items) if len(items) else None, parity(items)))
+    count, node, bits = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [batch.column("k_id"), batch.column("k_hash"), pa.array(count, pa.int64()), pa.array(node, pa.int64())], ["k_id", "k_hash", "n", "node"]
+        [
+            batch.column("k_id"), batch.column("k_hash"), pa.array(count, pa.int64()), pa.array(node, pa.int64()),
+            *[pa.array(np.ascontiguousarray(word)) for word in np.stack(bits).T],
+        ],
+        ["k_id", "k_hash", "n", "node", *_PARITY],
     )
 
 
@@ -159,26 +175,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def _candidates(cells: DataFrame, labels: DataFrame | None, order: int | None) -> DataFrame:
+def _possible(pct: int) -> F.Column:
+    """Whether the sizes and the parities of a pair (columns, and the same with 2) leave room for the similarity."""
+    size = 100 * F.least("n", "n2") >= pct * F.greatest("n", "n2")
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}2"))) for p in _PARITY), F.lit(0))
+    return size & (differ * (100 + pct) <= (F.col("n") + F.col("n2")) * (100 - pct))
+
+
+def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int | None, pct: int) -> DataFrame:
     """Pairs (a < b) from signature cells (sig, node) whose members are not all of one component.
 
-    With an order: each member with the first of the cell. Without: all pairs of members of different components.
+    With an order: each member with the first of the cell. Without: pairs of members of different components. Pairs that
+    sizes or parities rule out are never formed.
     """
     if labels is None:
         known = cells.withColumn("comp", F.col("node"))
     else:
         known = cells.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_sig = Window.partitionBy("sig")
-    open_cells = known.withColumn("lo", F.min("comp").over(by_sig)).withColumn("hi", F.max("comp").over(by_sig)).where("lo != hi")
+    spread = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
+    open_cells = known.join(spread, "sig").join(info, "node")
+    traits = ["n", *_PARITY]
     if order is not None:
-        rank = F.struct(F.xxhash64("node", F.lit(order)), F.col("node")) if order else F.struct("node")
-        first = F.min(rank).over(by_sig)
-        pairs = open_cells.select("node", first["node"].alias("other"), "comp")
-        pairs = pairs.where("node != other")
+        rank = F.struct(F.xxhash64("node", F.lit(order)).alias("h"), "node", "comp", *traits)
+        pairs = open_cells.withColumn("first", F.min(rank).over(by_sig)).where("comp != first.comp")
+        pairs = pairs.select("node", F.col("first.node").alias("other"), *traits, *[F.col(f"first.{c}").alias(f"{c}2") for c in traits]).where(_possible(pct))
     else:
-        left = open_cells.select("sig", F.col("node"), F.col("comp"))
-        right = open_cells.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"))
-        pairs = left.join(right, "sig").where("comp < comp2")
+        left = open_cells.select("sig", "node", "comp", *traits)
+        right = open_cells.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in traits])
+        same = left["sig"] == right["sig"]
+        pairs = left.join(right, same & (left["comp"] < right["comp2"]) & _possible(pct))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -186,7 +212,7 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> Dat
     """``k_id, k_hash, n_shingles, component_id, n_links`` of every row; links join documents of similarity >= pct %."""
     spark: SparkSession = common.prepare(docs.sparkSession)
     source = common.keyed(docs)
-    nodes = materialize(common.map_arrow(source, partial(_nodes, size), "k_id long, k_hash long, n long, node long"), "nodes")
+    nodes = materialize(common.map_arrow(source, partial(_nodes, size), "k_id long, k_hash long, n long, node long, " + ", ".join(f"{p} long" for p in _PARITY)), "nodes")
     ends = bands(max(1, nodes.agg(F.max("n")).first()[0] or 1), pct)
     ends += [max(ends[-1] + 1, (ends[-1] + 1) * 100 // pct)]
     signed = common.map_arrow(source.select("text"), partial(_signed, size, pct, ends), "sig long, node long")
@@ -199,21 +225,22 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> Dat
     reps = first.select("node", F.col("k.k_id").alias("k_id"), F.col("k.k_hash").alias("k_hash"))
     picked = source.join(reps, ["k_id", "k_hash"]).select("node", "text")
     sets = materialize(common.map_arrow(picked, partial(_sets, size), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    first = F.first(F.struct("n", *_PARITY)).alias("t")
+    info = materialize(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(first).select("node", "t.*"), "traits")
     links: DataFrame | None = None
     done: DataFrame | None = None
     labels: DataFrame | None = None
-    for order in (0, 1, None):
-        pairs = _candidates(cells, labels, order)
+    for order in (1, 2, None):
+        pairs = _candidates(cells, info, labels, order, pct)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            break
+            continue  # a later round looks at other pairs
         done = pairs if done is None else done.unionByName(pairs)
         a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-        small, large = F.least(F.size("items_a"), F.size("items_b")), F.greatest(F.size("items_a"), F.size("items_b"))
-        tested = pairs.join(a, "a").join(b, "b").where(100 * small >= pct * large)
+        tested = pairs.join(a, "a").join(b, "b")
         found = materialize(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
