@@ -23,7 +23,7 @@ class ByteBPE:
     such spaces and each segment keeps its ids; only segments not seen before go to the library.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
     LONGEST = 64
 
     def __init__(self, file: str, plain_specials: bool = False):
