@@ -234,14 +234,28 @@ def agg_quantile_ranges(spark, sf_dir):
     return _quantiles(spark, sf_dir, group_rows=0)
 
 
-@register("agg_quantile_approx")
+def _within(spark, sf_dir, mode, bound):
+    """Whether the estimate of each group lies between the exact quantiles ``bound`` below and above."""
+    rows, points = spans(spark, sf_dir), {"p50": 0.5, "p99": 0.99}
+    keys = {"name": F.col("name")}
+    around = {f"{q}_{side}": min(1.0, max(0.0, p + d)) for q, p in points.items() for side, d in (("lo", -bound), ("hi", bound))}
+    exact = group_stats(rows, keys, F.col("duration_nano"), around, [F.count("*").alias("n")])
+    guess = group_stats(rows, keys, F.col("duration_nano"), points, mode=mode)
+    inside = [F.col(q).between(F.col(f"{q}_lo"), F.col(f"{q}_hi")).alias(f"{q}_within") for q in points]
+    return exact.join(guess, "name").select("name", "n", *inside)
+
+
+_WITHIN_SQL = over("spans", body=" SELECT name, count(*) AS n, true AS p50_within, true AS p99_within FROM spans GROUP BY name")
+
+
+@register("agg_quantile_approx", _WITHIN_SQL)
 def agg_quantile_approx(spark, sf_dir):
-    return _quantiles(spark, sf_dir, mode="approx")
+    return _within(spark, sf_dir, "approx", 0.01)
 
 
-@register("agg_quantile_kll")
+@register("agg_quantile_kll", _WITHIN_SQL)
 def agg_quantile_kll(spark, sf_dir):
-    return _quantiles(spark, sf_dir, mode="kll")
+    return _within(spark, sf_dir, "kll", 0.03)
 
 
 @register("agg_by_key", over("spans", body="""

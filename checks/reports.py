@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import TARGET, logs, metric_points, over, register, spans, workflow_spans
+from checks.registry import ORACLES, TARGET, logs, metric_points, over, register, spans, workflow_spans
 from spanops.functions.predicates import latest
 from spanops.operators import correlate, latency, slo, timeseries, workflow
 from spanops.plans import panels
@@ -112,8 +112,8 @@ def slo_budget(spark, sf_dir):
 
 
 @register("slo_budget_by_trace", over("spans", body=f"""
-, traces AS (SELECT tier, trace_id, bool_or(has_error) AS has_error FROM spans WHERE {TIERED} GROUP BY 1, 2),
-counted AS (SELECT tier, count(*) AS total_requests, {ERRORS} AS failures FROM traces GROUP BY tier)
+, traces AS (SELECT max(tier) AS tier, trace_id, bool_or(has_error) AS has_error FROM spans WHERE {BASE} GROUP BY trace_id),
+counted AS (SELECT tier, count(*) AS total_requests, {ERRORS} AS failures FROM traces WHERE tier <> '' GROUP BY tier)
 SELECT tier, {_budget_select()} FROM counted"""))
 def slo_budget_by_trace(spark, sf_dir):
     return slo.slo_budget(spans(spark, sf_dir), window=None, grain="trace")
@@ -461,7 +461,8 @@ def unlogged_failures(spark, sf_dir):
 , m AS (SELECT {DAY} AS ts, serviceName, count(*) AS points, round(avg(gauge), 4) AS metric_avg FROM metric_points GROUP BY 1, 2),
 t AS (SELECT {DAY} AS ts, serviceName, count(*) AS total_spans, {ERRORS} AS error_spans,
   count(*) FILTER (WHERE duration_nano > 1000000000) AS slow_spans FROM spans GROUP BY 1, 2)
-SELECT * FROM m JOIN t USING (ts, serviceName)"""))
+SELECT ts, serviceName, points, metric_avg, coalesce(total_spans, 0) AS total_spans, coalesce(error_spans, 0) AS error_spans,
+  coalesce(slow_spans, 0) AS slow_spans FROM m LEFT JOIN t USING (ts, serviceName)"""))
 def metric_trace_link(spark, sf_dir):
     return correlate.metric_trace_link(
         metric_points(spark, sf_dir), spans(spark, sf_dir), metric="queue.depth", step="1 day"
@@ -479,3 +480,33 @@ FROM spans s LEFT JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.pare
 LEFT JOIN kids k ON k.trace_id = s.trace_id AND k.span_id = s.span_id"""))
 def parent_child(spark, sf_dir):
     return correlate.parent_child(spans(spark, sf_dir))
+
+
+# The same workflows as their activities report them: no span status, only the attribute that states the failure.
+def _unflagged(spark, sf_dir):
+    flagged = workflow_spans(spark, sf_dir)
+    stated = F.map_concat("attributes_string", F.create_map(F.lit("inventory.failure"), F.lit("stated")))
+    attributes = F.when(F.col("has_error"), stated).otherwise(F.col("attributes_string"))
+    return flagged.withColumn("attributes_string", attributes).withColumn("has_error", F.lit(False))
+
+
+@register("workflow_outcome_unflagged", over("workflow", body=OUTCOME_SQL + " SELECT * EXCLUDE (last_at) FROM outcome"))
+def workflow_outcome_unflagged(spark, sf_dir):
+    return workflow.workflow_outcome(_unflagged(spark, sf_dir), error=correlate.attribute_error())
+
+
+@register("compensation_audit_unflagged", ORACLES["compensation_audit"])
+def compensation_audit_unflagged(spark, sf_dir):
+    return workflow.compensation_audit(_unflagged(spark, sf_dir), error=correlate.attribute_error())
+
+
+@register("retry_attempts_unflagged", ORACLES["retry_attempts"])
+def retry_attempts_unflagged(spark, sf_dir):
+    return workflow.retry_attempts(_unflagged(spark, sf_dir), error=correlate.attribute_error())
+
+
+@register("parent_child_redelivered", ORACLES["parent_child"])
+def parent_child_redelivered(spark, sf_dir):
+    """Every span delivered twice; the result is that of one delivery."""
+    once = spans(spark, sf_dir)
+    return correlate.parent_child(once.unionByName(once))

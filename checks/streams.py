@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import over, register
+from checks.registry import over, register, spans
 from checks.reports import (
     BASE, BURN_SQL, DAY, ERROR_RATE_SQL, OUTCOME_SQL, TIERED, TRAFFIC_SQL, _budget_select, _drift_sql,
 )
+from spanops import schema as S
+from spanops.functions.predicates import select_spans
+from spanops.functions.scalars import bucket_start
 from spanops.session import scratch_path
 from spanops.streaming import aggregates, ingest, joins
 from spanops.streaming.run import run_available
@@ -101,9 +104,15 @@ def st_drift(spark, sf_dir):
     return spark.read.parquet(report)
 
 
-@register("st_workflows")
+@register("st_workflows", over("spans", body=f"""
+ SELECT {DAY} AS ts, true AS within FROM spans WHERE name = 'activity.validate_order' AND serviceName = 'temporal-worker' GROUP BY 1"""))
 def st_workflows(spark, sf_dir):
-    return run_available(aggregates.st_workflows(_spans(spark, sf_dir), step="1 day"))
+    """Whether the estimate of each window is within a tenth of the exact number of workflows."""
+    guess = run_available(aggregates.st_workflows(_spans(spark, sf_dir), step="1 day"))
+    rows = select_spans(spans(spark, sf_dir), name=S.VALIDATE_ORDER)
+    exact = rows.groupBy(bucket_start(F.col("timestamp"), "1 day").alias("ts")).agg(F.count_distinct("trace_id").alias("n"))
+    at = guess.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return exact.withColumn("ts", F.col("ts").cast("timestamp_ntz")).join(at, "ts").select("ts", (F.abs(F.col("workflows") - F.col("n")) <= 0.1 * F.col("n") + 1).alias("within"))
 
 
 @register("st_trace_log_join", over("spans", "logs", body="""

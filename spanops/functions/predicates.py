@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,10 +13,14 @@ from spanops.functions.scalars import field, interval, ns_to_ms
 
 
 def instant(df: DataFrame, value: object | None, column: str = "timestamp") -> Column:
-    """A point in time with the type of the table's own time column, so that no cast lands on the column."""
+    """A point in time with the type of the table's own time column, so that no cast lands on the column.
+
+    The present moment is read once, when the report is built: all its passes look at the same rows. Only a stream asks
+    the clock again for every batch.
+    """
     kind = df.schema[column].dataType
     if value is None:
-        return F.current_timestamp().cast(kind)
+        return (F.current_timestamp() if df.isStreaming else F.lit(datetime.now(timezone.utc))).cast(kind)
     return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
 
 
@@ -32,14 +37,23 @@ def latest(df: DataFrame, column: str = "timestamp") -> object:
     return rows.agg(F.max(column)).first()[0]
 
 
-def lookback(df: DataFrame, span: str, as_of: object | None = None, column: str = "timestamp") -> Column:
-    """``as_of - span`` and later, inclusive. Against the clock there is no upper bound; an ``as_of`` is one."""
+def lookback(
+    df: DataFrame, span: str, as_of: object | None = None, column: str = "timestamp", slack: str | None = None
+) -> Column:
+    """``as_of - span`` and later, inclusive. Against the clock there is no upper bound; an ``as_of`` is one.
+
+    ``slack`` reaches further back.
+    """
     end = instant(df, as_of, column)
-    since = F.col(column) >= end - interval(span)
+    first = end - interval(span)
+    since = F.col(column) >= (first if slack is None else first - interval(slack))
     return since if as_of is None else since & (F.col(column) <= end)
 
 
 def between(df: DataFrame, start: object, end: object, column: str = "timestamp") -> Column:
+    """Both ends inclusive; an end that is ``None`` is the present moment, a start that is ``None`` is open."""
+    if start is None:
+        return F.col(column) <= instant(df, end, column)
     return F.col(column).between(instant(df, start, column), instant(df, end, column))
 
 
@@ -49,6 +63,8 @@ def bucket_prune(df: DataFrame, start: object, end: object) -> Column:
     def seconds(value: object) -> Column:
         return F.unix_seconds(instant(df, value).cast("timestamp"))
 
+    if start is None:
+        return F.col("ts_bucket_start") <= seconds(end)
     return F.col("ts_bucket_start").between(seconds(start) - S.BUCKET_SECONDS, seconds(end))
 
 
@@ -96,7 +112,7 @@ def select_spans(
     conditions = []
     if window is not None:
         conditions.append(lookback(spans, window, as_of))
-    if start is not None:
+    if start is not None or end is not None:
         conditions.append(between(spans, start, end))
         if "ts_bucket_start" in spans.columns:
             conditions.append(bucket_prune(spans, start, end))

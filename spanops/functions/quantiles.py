@@ -10,7 +10,7 @@
 ``approx``
     ``percentile_approx``: one pass, bounded buffer, also on streams.
 ``kll``
-    KLL sketches of whole numbers: one pass, bounded buffer, can be stored and merged later.
+    KLL sketches: one pass, bounded buffer, can be stored and merged later.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ Keys = Mapping[str, Column]
 
 
 def sketch_quantiles(value: Column, quantiles: Mapping[str, float], mode: str, accuracy: int = 10000) -> list[Column]:
-    """One-pass quantile aggregates with a bounded buffer, one column per name; whole numbers for ``kll``."""
+    """One-pass quantile aggregates with a bounded buffer, one column per name."""
     points = list(quantiles.values())
     if mode == "approx":
         values = F.percentile_approx(value, points, accuracy)
     elif mode == "kll":
-        sketch = F.kll_sketch_agg_bigint(value.cast("bigint"))
-        values = F.kll_sketch_get_quantile_bigint(sketch, F.array(*[F.lit(p) for p in points]))
+        sketch = F.kll_sketch_agg_double(value.cast("double"))
+        values = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(p) for p in points]))
     else:
         raise ValueError(f"unknown quantile mode {mode!r}, expected one of {MODES}")
     return [values[i].cast("double").alias(name) for i, name in enumerate(quantiles)]
@@ -70,9 +70,10 @@ def group_stats(
     if known or fits_buffer(df, keys, value, group_rows):
         return df.groupBy(*columns).agg(*aggregates, *_buffered(value, quantiles))
     found = _by_ranges(df, keys, value, quantiles, RANGE_ROWS)
-    if not aggregates:
+    # Groups without a value have no ranges, but a row of NULLs, as from the built-in aggregate.
+    plain = df.groupBy(*columns).agg(*aggregates) if aggregates else df.select(*columns).distinct() if keys else None
+    if plain is None:
         return found
-    plain = df.groupBy(*columns).agg(*aggregates)
     if not keys:
         both = found.select(F.struct(*quantiles).alias("q")).scalar()
         return plain.select("*", both.alias("_q")).select(
@@ -164,8 +165,10 @@ def _by_ranges(df: DataFrame, keys: Keys, value: Column, quantiles: Mapping[str,
     out = [F.col(g).alias(name) for g, name in zip(group, keys)]
     for i, (name, p) in enumerate(quantiles.items()):
         low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        share = _position(p) - F.floor(_position(p))
-        out.append(F.when(share == 0, low).otherwise(low + (high - low) * share).alias(name))
+        at = _position(p)
+        # The same steps in floating point as the built-in aggregate takes.
+        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise(between).alias(name))
     return ends.select(*out)
 
 

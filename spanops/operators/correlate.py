@@ -118,7 +118,8 @@ def tier_backfill(spans: DataFrame, dim: str = S.TIER_KEY, out: str = "tier") ->
     """Fill a missing tier from the other spans of the workflow. Only the spans without one are joined."""
     tiered = spans.withColumn(out, F.nullif(field(spans, dim), F.lit("")))
     known = tiered.where(F.col(out).isNotNull())
-    tiers = known.groupBy("trace_id").agg(F.max(out).alias("_tier"))
+    # Spans without a workflow id do not form a workflow.
+    tiers = known.where("trace_id != ''").groupBy("trace_id").agg(F.max(out).alias("_tier"))
     filled = tiered.where(F.col(out).isNull()).drop(out).join(tiers, "trace_id", "left")
     return known.unionByName(filled.withColumnRenamed("_tier", out))
 
@@ -131,7 +132,7 @@ def metric_trace_link(
     step: str = "5 minutes",
     limit_ms: float = 1000,
 ) -> DataFrame:
-    """Mean metric value next to span, error and timeout counts per service and bucket."""
+    """Mean metric value next to span, error and timeout counts per service and bucket; a bucket without spans counts 0."""
     measured = points.where(F.col("metric_name") == metric).groupBy(
         F.window("timestamp", step).alias("w"), "serviceName"
     ).agg(F.avg("value").alias("metric_avg"), F.count(F.lit(1)).alias("points"))
@@ -140,15 +141,13 @@ def metric_trace_link(
         F.count_if(_failed()).alias("error_spans"),
         F.count_if(F.col("duration_nano") > F.lit(limit_ms * 1000000)).alias("slow_spans"),
     )
-    joined = measured.join(traced, ["w", "serviceName"])
+    joined = measured.join(traced, ["w", "serviceName"], "left")
     return joined.select(
         F.col("w.start").alias("ts"),
         "serviceName",
         "points",
         F.round("metric_avg", 4).alias("metric_avg"),
-        "total_spans",
-        "error_spans",
-        "slow_spans",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_spans", "error_spans", "slow_spans")],
     ).orderBy("ts", "serviceName")
 
 
@@ -157,9 +156,14 @@ def parent_child(spans: DataFrame) -> DataFrame:
 
     A span whose parent is not in the table counts as a root. Depths come from pointer doubling: a
     round joins every open span with the ancestor it points at, so a chain of depth d takes about
-    log2(d) rounds. Spans on a parent loop have no root; their depth is NULL.
+    log2(d) rounds. Spans on a parent loop have no root; their depth is NULL. A span that was delivered more than once
+    counts once, by its earliest row.
     """
-    nodes = spans.select("trace_id", "span_id", "parent_span_id", "name", "timestamp", "duration_nano")
+    row = F.min(F.struct("timestamp", "duration_nano", "name", "parent_span_id")).alias("r")
+    nodes = spans.groupBy("trace_id", "span_id").agg(row).select(
+        "trace_id", "span_id", "r.parent_span_id", "r.name", "r.timestamp", "r.duration_nano"
+    )
+    nodes = materialize(nodes, "nodes")
     children = nodes.where(_has_span("parent_span_id")).groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
     children = children.agg(F.count(F.lit(1)).alias("child_count"), F.sum("duration_nano").alias("_child_nano"))
     parents = nodes.select(

@@ -142,8 +142,14 @@ def rolling_drift(
     icons: bool = False,
     **base: object,
 ) -> DataFrame:
-    """Drift as a series: each slot's P99 per tier against the P99 of the trailing window ending with it."""
+    """Drift as a series: each slot's P99 per tier against the P99 of the trailing window ending with it.
+
+    The rows behind the trailing windows reach back by ``baseline`` beyond ``window``, so the first slots compare with whole ones.
+    """
     rows = select_spans(spans, as_of=as_of, window=window, **base)
+    behind = select_spans(spans, **base)
+    if window is not None:
+        behind = behind.where(lookback(spans, window, as_of, slack=baseline))
     slot_end = F.window("timestamp", slot).getField("end")
     live = group_stats(
         rows.where(attr_nonempty(spans, dim)).withColumn("_end", slot_end),
@@ -153,7 +159,7 @@ def rolling_drift(
         [F.count(F.lit(1)).alias("total_spans")],
         quantile_mode,
     ).where(F.col("total_spans") >= min_count)
-    trailing = rows.select(F.window("timestamp", baseline, slot).getField("end").alias("_end"), DURATION)
+    trailing = behind.select(F.window("timestamp", baseline, slot).getField("end").alias("_end"), DURATION)
     fleet = group_stats(trailing, {"_end": F.col("_end")}, F.col(DURATION), {"_fleet": 0.99}, mode=quantile_mode)
     joined = live.join(fleet, "_end").withColumn("p99_ms", _ms("_p99"))
     joined = joined.withColumn("_baseline_ms", ns_to_ms(F.col("_fleet")))
@@ -262,17 +268,28 @@ def workflow_latency(
     *,
     as_of: object | None = None,
     window: str | None = "1 hour",
+    longest: str = "1 hour",
     dim: str = S.TIER_KEY,
     quantile_mode: str = "exact",
     **base: object,
 ) -> DataFrame:
-    """End-to-end time per workflow, first start to last end, summarised by tier."""
-    rows = select_spans(spans, as_of=as_of, window=window, **base)
+    """End-to-end time per workflow, first start to last end, summarised by tier.
+
+    Workflows count by their start, which must lie in ``window``; their spans are read from ``longest`` before it on, so a
+    workflow that began earlier is neither cut nor counted.
+    """
+    rows = select_spans(spans, **base)
+    if window is not None:
+        rows = rows.where(lookback(spans, window, as_of, slack=longest))
     start = epoch_nanos(F.col("timestamp"))
     traces = rows.groupBy("trace_id").agg(
         F.max(field(spans, dim)).alias("tier"),
         (F.max(start + F.col(DURATION)) - F.min(start)).alias("total_nano"),
+        F.min("timestamp").alias("timestamp"),
     )
+    if window is not None:
+        traces = traces.where(lookback(spans, window, as_of))
+    traces = traces.drop("timestamp")
     # One short row per workflow, written once: the quantiles look at it more than once.
     traces = materialize(traces, "workflows")
     stats = group_stats(

@@ -19,13 +19,40 @@ def _series(points: DataFrame) -> Column:
     return F.struct(F.col("serviceName"), entries.alias("attributes"))
 
 
+def _delta() -> Column:
+    """Whether a point holds the change since the last one; without a stated temporality it does not."""
+    return F.lower(F.coalesce("temporality", F.lit(""))) == "delta"
+
+
+def histogram_counts(points: DataFrame) -> DataFrame:
+    """Histogram points whose ``bucket_counts`` are counts of their own interval.
+
+    Cumulative points become differences to the point before of the same series and bounds. The first is the base and counts
+    nothing; where a count falls the series was reset, and the new counts count in full.
+    """
+    cumulative = F.lower(F.coalesce("temporality", F.lit(""))) == "cumulative"
+    along = Window.partitionBy("_series", "bucket_bounds").orderBy("timestamp")
+    chained = points.where(cumulative).withColumn("_series", _series(points)).withColumn("_before", F.lag("bucket_counts").over(along))
+    reset = F.exists(F.arrays_zip(F.col("bucket_counts").alias("now"), F.col("_before").alias("old")), lambda x: x["now"] < x["old"])
+    differences = F.zip_with("bucket_counts", "_before", lambda a, b: a - b)
+    own = F.when(reset, F.col("bucket_counts")).otherwise(differences)
+    counted = chained.where(F.col("_before").isNotNull()).withColumn("bucket_counts", own).drop("_series", "_before")
+    return points.where(~cumulative).unionByName(counted)
+
+
 def counter_increase(points: DataFrame, metric: str, *, step: str, piece: str = "1 minute") -> DataFrame:
-    """Increase of a cumulative counter per series and bucket; after a reset the new value counts.
+    """Increase of a counter per series and bucket. Delta points are increases themselves and are summed.
+
+    Of cumulative points the first is the base; after a reset the new value counts.
 
     Consecutive points are compared within short pieces of a series, and pieces by their end points
     only, so a series with very many points is spread over tasks by time.
     """
-    rows = points.where(F.col("metric_name") == metric).select(
+    own = points.where(F.col("metric_name") == metric)
+    is_delta = _delta()
+    deltas = own.where(is_delta).groupBy(_series(points).alias("series"), F.window("timestamp", step).getField("start").alias("ts"))
+    deltas = deltas.agg(F.sum("value").alias("increase"))
+    rows = own.where(~is_delta).select(
         _series(points).alias("series"),
         F.col("timestamp").alias("at"),
         "value",
@@ -46,7 +73,7 @@ def counter_increase(points: DataFrame, metric: str, *, step: str, piece: str =
     total = F.col("_inside") + grown(F.col("_first"), F.lag("_last").over(along))
     bucket = F.window("piece", step).getField("start")
     increased = pieces.select("series", bucket.alias("ts"), total.alias("_total"))
-    return increased.groupBy("series", "ts").agg(F.sum("_total").alias("increase"))
+    return increased.groupBy("series", "ts").agg(F.sum("_total").alias("increase")).unionByName(deltas)
 
 
 def query_metrics(
@@ -97,9 +124,10 @@ def metric_histogram_quantile(
 ) -> DataFrame:
     """Quantile from explicit-bucket histograms: counts summed per bound, then interpolated in its bucket.
 
-    Values beyond the last bound are reported as that bound. One row per bound enters the window.
+    Values beyond the last bound are reported as that bound. One row per bound enters the window. Cumulative points count by
+    their differences.
     """
-    rows = points.where((F.col("metric_name") == metric) & F.col("bucket_counts").isNotNull())
+    rows = histogram_counts(points.where((F.col("metric_name") == metric) & F.col("bucket_counts").isNotNull()))
     names = [name.replace(".", "_") for name in group_by]
     keys = [(F.col(g) if g == "serviceName" else F.col("attributes")[g]).alias(n) for g, n in zip(group_by, names)]
     opened = rows.select(

@@ -16,9 +16,11 @@ def _error(error: Column | None) -> Column:
 
 
 def by_trace(spans: DataFrame, dim: str = S.TIER_KEY, error: Column | None = None) -> DataFrame:
-    """One row per workflow in place of one per span: failed where any of its spans failed."""
-    grouped = spans.groupBy(field(spans, dim).alias(S.PROMOTED.get(dim, dim)), "trace_id")
-    return grouped.agg(F.max(_error(error)).alias("has_error"), F.min("timestamp").alias("timestamp"))
+    """One row per workflow in place of one per span: failed where any of its spans failed, whether that span has a tier or not."""
+    return spans.groupBy("trace_id").agg(
+        F.max(field(spans, dim)).alias(S.PROMOTED.get(dim, dim)), F.max(_error(error)).alias("has_error"),
+        F.min("timestamp").alias("timestamp"),
+    )
 
 
 def budget_columns(targets: Mapping[str, float], default_target: float, icons: bool = False) -> list[Column]:
@@ -62,9 +64,10 @@ def slo_budget(
     **base: object,
 ) -> DataFrame:
     """Budget consumed against budget allowed per tier. ``grain='trace'`` counts workflows, not spans."""
-    rows = select_spans(spans, as_of=as_of, window=window, **base).where(attr_nonempty(spans, dim))
+    rows = select_spans(spans, as_of=as_of, window=window, **base)
     if grain == "trace":
         rows, error = by_trace(rows, dim, error), None
+    rows = rows.where(attr_nonempty(rows, dim))
     counted = rows.groupBy(field(rows, dim).alias("tier")).agg(
         F.count(F.lit(1)).alias("total_requests"), F.count_if(_error(error)).alias("failures")
     )

@@ -123,7 +123,7 @@ def gap_fill(
     """Every bucket of the range for every series; missing ones hold ``fill``.
 
     Each row also emits the empty buckets up to the next row of its series, so nothing is joined.
-    ``start`` and ``end`` are bucket starts; where absent they are the ends of the data.
+    ``start`` and ``end`` may lie anywhere in a bucket; where absent they are the ends of the data.
     """
     kind = series.schema[ts].dataType
     width = interval(step)
@@ -141,7 +141,7 @@ def gap_fill(
         placed = placed.withColumn("_ends", ends)
     placed = placed.select(
         "*",
-        (F.col("_ends.low") if start is None else F.lit(start).cast(kind)).alias("_start"),
+        (F.col("_ends.low") if start is None else bucket_start(F.lit(start).cast(kind), step)).alias("_start"),
         (F.col("_ends.high") if end is None else F.lit(end).cast(kind)).alias("_end"),
     )
     first = F.when(F.col("_first"), F.least("_start", ts)).otherwise(F.col(ts))
@@ -154,5 +154,5 @@ def gap_fill(
 
 
 def series_pivot(series: DataFrame, *, key: str, value: str, values: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Long series to one column per named series."""
-    return series.groupBy(ts).pivot(key, list(values)).agg(F.first(value)).orderBy(ts)
+    """Long series to one column per named series; of several values in a bucket the largest."""
+    return series.groupBy(ts).pivot(key, list(values)).agg(F.max(value)).orderBy(ts)

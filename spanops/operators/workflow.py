@@ -19,8 +19,8 @@ from spanops.functions.scalars import (
 )
 
 
-def _failed() -> Column:
-    return F.coalesce(F.col("has_error"), F.lit(False))
+def _failed(error: Column | None = None) -> Column:
+    return F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
 
 
 def _is(name: str) -> Column:
@@ -28,7 +28,7 @@ def _is(name: str) -> Column:
 
 
 def _order() -> Column:
-    """Place in time as one number; the span id settles equal times.
+    """Place in time as one number; a hash of the span id (512 values) settles equal times, then the failed row counts as later.
 
     Numbers, unlike structs and strings, can be updated in place by the hash aggregate, which then
     needs no sort by trace.
@@ -36,9 +36,9 @@ def _order() -> Column:
     return F.unix_micros(F.col("timestamp").cast("timestamp")) * 512 + F.pmod(F.xxhash64("span_id"), F.lit(512))
 
 
-def _last_failed(condition: Column) -> Column:
+def _last_failed(condition: Column, error: Column | None = None) -> Column:
     """Aggregate: whether the last row in time where ``condition`` holds failed; NULL without such a row."""
-    marked = F.max(F.when(condition, _order() * 2 + _failed().cast("long")))
+    marked = F.max(F.when(condition, _order() * 2 + _failed(error).cast("long")))
     return marked % 2 == 1
 
 
@@ -47,15 +47,15 @@ def _last(value: Column, condition: Column) -> Column:
     return F.max_by(value, F.when(condition, _order()))
 
 
-def outcome_aggregates(spans: DataFrame, dim: str = S.TIER_KEY) -> list[Column]:
+def outcome_aggregates(spans: DataFrame, dim: str = S.TIER_KEY, error: Column | None = None) -> list[Column]:
     """Per-trace aggregates behind ``workflow_outcome``; also used on streams with session windows."""
-    paid = _is(S.PROCESS_PAYMENT) & ~_failed()
+    paid = _is(S.PROCESS_PAYMENT) & ~_failed(error)
     charged = F.coalesce(attr("payment.charged", "number"), charged_amount(attr("order.amount", "number")))
     return [
-        *[_last_failed(_is(name)).alias(f"_failed{place}") for place, name in enumerate(S.PIPELINE)],
+        *[_last_failed(_is(name), error).alias(f"_failed{place}") for place, name in enumerate(S.PIPELINE)],
         F.max(field(spans, dim)).alias("tier"),
         F.count(F.lit(1)).alias("spans"),
-        _last(attr("fraud.score", "number"), _is(S.CHECK_FRAUD) & ~_failed()).alias("fraud_score"),
+        _last(attr("fraud.score", "number"), _is(S.CHECK_FRAUD) & ~_failed(error)).alias("fraud_score"),
         _last(charged, paid).alias("total_charged"),
         F.max(F.when(_is(S.SCHEDULE_SHIPPING), attr("shipping.eta"))).alias("shipping_eta"),
     ]
@@ -86,16 +86,20 @@ def outcome_columns() -> list[Column]:
     ]
 
 
-def workflow_outcome(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
-    """One row per workflow with its final status, charge, fraud score and promised delivery."""
-    return spans.groupBy("trace_id").agg(*outcome_aggregates(spans, dim)).select(*outcome_columns())
+def workflow_outcome(spans: DataFrame, dim: str = S.TIER_KEY, error: Column | None = None) -> DataFrame:
+    """One row per workflow with its final status, charge, fraud score and promised delivery.
+
+    ``error`` says when a span failed (default: its ``has_error``). For activities that fail without setting it pass
+    ``attribute_error()``, here and in the other reports of this module.
+    """
+    return spans.groupBy("trace_id").agg(*outcome_aggregates(spans, dim, error)).select(*outcome_columns())
 
 
-def attempts(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
+def attempts(spans: DataFrame, dim: str = S.TIER_KEY, error: Column | None = None) -> DataFrame:
     """One row per workflow and activity: attempts, whether the last one failed, and the workflow's tier."""
     known = spans.where(F.col("name").isin(*S.PIPELINE))
     steps = known.groupBy("trace_id", "name", field(spans, dim).alias("_tier")).agg(
-        F.count(F.lit(1)).alias("attempts"), F.max(_order() * 2 + _failed().cast("long")).alias("_last")
+        F.count(F.lit(1)).alias("attempts"), F.max(_order() * 2 + _failed(error).cast("long")).alias("_last")
     )
     # Few rows per workflow are left: one per activity and tier.
     tiered = steps.withColumn("tier", F.max("_tier").over(Window.partitionBy("trace_id")))
@@ -104,9 +108,9 @@ def attempts(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
     )
 
 
-def retry_attempts(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
+def retry_attempts(spans: DataFrame, dim: str = S.TIER_KEY, error: Column | None = None) -> DataFrame:
     """Attempts per tier and activity against the tier's permitted number."""
-    rows = attempts(spans, dim).withColumn("allowed", max_attempts(F.col("tier")))
+    rows = attempts(spans, dim, error).withColumn("allowed", max_attempts(F.col("tier")))
     exhausted = F.col("last_failed") & (F.col("attempts") >= F.col("allowed"))
     out = rows.groupBy(F.coalesce("tier", F.lit("")).alias("tier"), F.col("name").alias("activity")).agg(
         F.count(F.lit(1)).alias("workflows"),
@@ -129,7 +133,7 @@ def failure_reasons(spans: DataFrame, dim: str = S.TIER_KEY) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("failures")).orderBy(F.desc("failures"), "activity", "reason", "tier")
 
 
-def compensation_audit(spans: DataFrame) -> DataFrame:
+def compensation_audit(spans: DataFrame, error: Column | None = None) -> DataFrame:
     """Workflows whose payment needed undoing, or was undone without need.
 
     ``refunded`` / ``missing_refund``: the inventory step failed for good, with / without a refund.
@@ -139,10 +143,10 @@ def compensation_audit(spans: DataFrame) -> DataFrame:
     refund, payment = _is(S.REFUND_PAYMENT), _is(S.PROCESS_PAYMENT)
     inventory, shipping = _is(S.RESERVE_INVENTORY), _is(S.SCHEDULE_SHIPPING)
     flags = spans.groupBy("trace_id").agg(
-        F.coalesce(_last_failed(inventory), F.lit(False)).alias("inventory_failed"),
-        F.coalesce(_last_failed(shipping), F.lit(False)).alias("shipping_failed"),
+        F.coalesce(_last_failed(inventory, error), F.lit(False)).alias("inventory_failed"),
+        F.coalesce(_last_failed(shipping, error), F.lit(False)).alias("shipping_failed"),
         F.coalesce(F.max(refund), F.lit(False)).alias("refunded"),
-        F.coalesce(F.max(payment & ~_failed()), F.lit(False)).alias("paid"),
+        F.coalesce(F.max(payment & ~_failed(error)), F.lit(False)).alias("paid"),
     )
     audit = (
         F.when(F.col("inventory_failed") & F.col("refunded"), "refunded")

@@ -37,10 +37,10 @@ def st_trace_log_join(
 
 
 def st_workflow_outcome(
-    spans: DataFrame, *, gap: str = "10 minutes", dim: str = S.TIER_KEY, delay: str = WATERMARK
+    spans: DataFrame, *, gap: str = "10 minutes", dim: str = S.TIER_KEY, delay: str = WATERMARK, error: Column | None = None
 ) -> DataFrame:
     """Outcome of each workflow once it has been quiet for ``gap``; one session per workflow."""
-    rows = watermarked(spans, delay)
+    rows = watermarked(spans, delay).where("trace_id != ''")
     sessions = rows.groupBy(F.session_window("timestamp", gap).alias("w"), "trace_id")
-    closed = sessions.agg(*outcome_aggregates(spans, dim))
+    closed = sessions.agg(*outcome_aggregates(spans, dim, error))
     return closed.select(F.col("w.end").alias("closed_at"), *outcome_columns())

@@ -12,7 +12,7 @@ def _points(spark, rows):
     out = [
         (
             START + timedelta(seconds=sec), name, "sum" if counts is None else "histogram", "svc", {"k": label}, value,
-            None if counts is None else [10.0, 20.0], counts, None, None, "cumulative",
+            None if counts is None else [10.0, 20.0], counts, None, None, "cumulative" if counts is None else "delta",
         )
         for name, sec, label, value, counts in rows
     ]
