@@ -485,7 +485,7 @@ def parent_child(spark, sf_dir):
 # The same workflows as their activities report them: no span status, only the attribute that states the failure.
 def _unflagged(spark, sf_dir):
     flagged = workflow_spans(spark, sf_dir)
-    stated = F.map_concat("attributes_string", F.create_map(F.lit("inventory.failure"), F.lit("stated")))
+    stated = F.map_concat(F.map_filter("attributes_string", lambda k, _: k != "inventory.failure"), F.create_map(F.lit("inventory.failure"), F.lit("stated")))
     attributes = F.when(F.col("has_error"), stated).otherwise(F.col("attributes_string"))
     return flagged.withColumn("attributes_string", attributes).withColumn("has_error", F.lit(False))
 
