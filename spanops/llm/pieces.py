@@ -28,7 +28,7 @@ from spanops.llm import common
 SPACE = "▁"
 # A byte costs more than any piece, so bytes are used only where no piece covers a character.
 BYTE_SCORE = -40.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_LENGTH = 48
 
 
@@ -61,32 +61,40 @@ class Pieces:
                 rank = 0.0 if score < -1e8 else -score
                 self.scores[piece] = (-float(np.log(rank + 2.0)) if rank_scores else score, k)
         self.longest = max(map(len, self.scores), default=1)
+        # Every beginning of a piece: (score, ids) where it is one itself, else False; a search ends where there is none.
+        self.table: dict[str, tuple[float, tuple[int, ...]] | bool] = {p[:k]: False for p in self.scores for k in range(1, len(p))}
+        self.table |= {p: (score, (k,)) for p, (score, k) in self.scores.items()}
         # No piece goes past a space mark that follows another character, nor past a character in no piece.
         self.marks_lead = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.line_alone = not any("\n" in p for p in self.scores)
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in runs, each given out when all surviving paths agree on its end."""
-        scores, longest, byte_ids = self.scores, self.longest, self.byte_ids
+        find, scores, longest = self.table.get, self.scores, self.longest
         n = len(text)
-        best = {0: 0.0}  # boundary: score of the best path to it
+        best = {0: 0.0}  # boundary not passed yet: score of the best path to it
         back: dict[int, tuple[int, tuple[int, ...]]] = {}  # boundary: the one before it, ids between
         done, check = 0, 2 * longest  # boundary committed, boundary at which paths are looked at next
-        for end in range(1, n + 1):
-            top = None
-            for start in range(max(done, end - longest), end):
-                piece = scores.get(text[start:end])
-                if piece is not None and (value := best[start] + piece[0]) is not None and (top is None or value > top[0]):
-                    top = (value, start, (piece[1],))
-            if text[end - 1] not in scores:
-                raw = text[end - 1].encode("utf-8", "surrogatepass")
-                value = best[end - 1] + BYTE_SCORE * len(raw)
-                if top is None or value > top[0]:
-                    top = (value, end - 1, tuple(byte_ids[b] for b in raw))
-            best[end], back[end] = top[0], top[1:]
-            best.pop(end - longest, None)
+        for start in range(n):
+            score = best.pop(start)
+            for end in range(start + 1, min(n, start + longest) + 1):
+                piece = find(text[start:end])
+                if piece is None:
+                    break
+                if piece:
+                    value = score + piece[0]
+                    old = best.get(end)
+                    if old is None or value > old:
+                        best[end] = value
+                        back[end] = (start, piece[1])
+            end = start + 1
+            if text[start] not in scores:
+                raw = text[start].encode("utf-8", "surrogatepass")
+                value = score + BYTE_SCORE * len(raw)
+                if value > best.get(end, -float("inf")):
+                    best[end], back[end] = value, (start, tuple(self.byte_ids[c] for c in raw))
             if end >= check or end == n:
-                meet = end if end == n else self._meeting(back, range(max(done, end - longest + 1), end + 1))
+                meet = self._meeting(back, best)
                 if meet > done:
                     run: list[tuple[int, ...]] = []
                     at = meet
@@ -101,7 +109,7 @@ class Pieces:
                 check = end + max(2 * longest, end - done)
 
     @staticmethod
-    def _meeting(back: dict[int, tuple[int, tuple[int, ...]]], live: range) -> int:
+    def _meeting(back: dict[int, tuple[int, tuple[int, ...]]], live: dict[int, float]) -> int:
         """The latest boundary on the best paths to all of ``live``."""
         paths = set(live)
         while len(paths) > 1:
