@@ -73,8 +73,8 @@ def st_drift(
     """Latency drift kept current: live tiers against the trailing fleet baseline.
 
     Both sides look at the same spans over different times, which a stream-stream join cannot state,
-    so the batch report runs over the stored spans with every trigger. Only the partitions of the
-    baseline window are opened.
+    so the batch report runs over the stored spans with every trigger: rows of the baseline's days are
+    read, and the whole table is looked at for its newest time.
     """
 
     def build(rows: DataFrame, newest: datetime) -> DataFrame:
