@@ -8,7 +8,8 @@ ways to leave out k2 of these: one of them is untouched. Sets that reach the sim
 
 Documents with equal sets are one node. Candidates are first held against a parity sketch: a bit for each of 512 parts of the domain
 tells whether the set has an odd number of elements there. Sets whose sketches differ in d bits differ in d elements at least,
-so too large a d rules the link out for certain. Within a signature nodes are first compared with the smallest node only (twice, by
+so too large a d rules the link out for certain. A larger sketch, counts of the elements in as many parts as suit the set, does
+the same for the pairs that are left, and only then whole sets are sent. Within a signature nodes are first compared with the smallest node only (twice, by
 different orders), not with each other; the links give components, and pairs are then formed only between members of
 different components, so a large group of copies costs a pass, not its square, and no link is lost. Every candidate pair
 is decided by the exact intersection of the two sets.
@@ -142,10 +143,32 @@ def _sets(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     found = [shingles(t, size, hashes) for t in common.texts(batch)]
     ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
     return pa.RecordBatch.from_arrays(
-        [batch.column("node"), common.lists(np.concatenate(found).view(np.int64), ends, pa.int64())], ["node", "items"]
+        [
+            batch.column("node"), common.lists(np.concatenate(found).view(np.int64), ends, pa.int64()),
+            pa.array([sketch(f).tobytes() for f in found], pa.binary()),
+        ],
+        ["node", "items", "sketch"],
     )
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """How many elements lie in each part of the domain (at most 255 are told); a quarter to half as many parts as elements."""
+    parts = max(64, 1 << (len(items) // 4).bit_length())
+    at = (common.mix(items) >> np.uint64(8)).astype(np.int64) & (parts - 1)
+    return np.minimum(np.bincount(at, minlength=parts), 255).astype(np.uint8)
+
+
+def _plausible(pct: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pairs that their sketches leave possible: two sets differ in as many elements at least as their counts do."""
+    keep = []
+    for x, y, n in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), batch.column("both").to_pylist(), strict=True):
+        p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+        size = min(len(p), len(q))
+        p, q = p.reshape(-1, size).sum(0), q.reshape(-1, size).sum(0)
+        keep.append(int(np.abs(p - q).sum()) * (100 + pct) <= n * (100 - pct))
+    return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
 def _verified(pct: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     """The candidate pairs that link: 100 * |a and b| >= pct * |a or b|."""
     a, b = batch.column("items_a"), batch.column("items_b")
@@ -224,7 +247,7 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> Dat
     first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("k"))
     reps = first.select("node", F.col("k.k_id").alias("k_id"), F.col("k.k_hash").alias("k_hash"))
     picked = source.join(reps, ["k_id", "k_hash"]).select("node", "text")
-    sets = materialize(common.map_arrow(picked, partial(_sets, size), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    sets = materialize(common.map_arrow(picked, partial(_sets, size), "node long, items array<long>, sketch binary").dropDuplicates(["node"]), "sets")
     first = F.first(F.struct("n", *_PARITY)).alias("t")
     info = materialize(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(first).select("node", "t.*"), "traits")
     links: DataFrame | None = None
@@ -240,7 +263,12 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> Dat
         done = pairs if done is None else done.unionByName(pairs)
         a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-        tested = pairs.join(a, "a").join(b, "b")
+        sketches = sets.select("node", "sketch").join(info.select("node", "n"), "node")
+        x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
+        y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
+        sketched = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("both"))
+        left = materialize(common.map_arrow(sketched, partial(_plausible, pct), "a long, b long"), "plausible")
+        tested = left.join(a, "a").join(b, "b")
         found = materialize(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
