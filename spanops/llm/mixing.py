@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft domain membership.
 
-A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_DOCS`` of each class), gives every document
-posteriors over domains. Nonnegative rates are then fitted by projected gradient so that the expected tokens of each
+A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_DOCS`` of each class, whole texts), gives every
+document posteriors over domains. It looks only at words that occur in the domains more unevenly than chance explains. Nonnegative rates are then fitted by projected gradient so that the expected tokens of each
 domain, sum(rate * tokens * posterior), match the targets in least squares. A document's rate depends only on its posteriors;
 they are rounded to 1 / ``GRID``, so the documents first combine to one row for each posterior vector (their number is bounded
 by the grid, whatever the corpus) and each gradient step is one distributed aggregation over those rows.
@@ -15,7 +15,6 @@ posteriors; other columns play no part.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -29,12 +28,15 @@ DOMAINS = ("clean", "low", "toxic")
 # Wanted tokens of a domain as a multiple of its expected tokens in the corpus.
 TARGETS = {"clean": 1.2, "low": 0.4, "toxic": 0.1}
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 2000
 BUCKETS = 1 << 17
+CHI_SQUARED = 30.0
 GRID = 64
 STEPS = 60
+# Pull of every rate towards 1, so that no rate moves far for a trace of a domain in its posteriors.
+RIDGE = 0.02
 
-_EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
+# Signs around a word: every ASCII byte but digits and (lower-case) letters.
+_EDGE = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 
 
 class Features(dict):
@@ -43,8 +45,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        core = _EDGE.sub(b"", word)
-        value = self[word] = zlib.crc32(core or word) % BUCKETS
+        value = self[word] = zlib.crc32(word.strip(_EDGE) or word) % BUCKETS
         return value
 
     def of(self, text: str) -> tuple[np.ndarray, int]:
@@ -59,20 +60,33 @@ class Features(dict):
         return np.fromiter(seen, np.int64, len(seen)), n
 
 
-def fit_classifier(rows: list[tuple[str, int]], classes: int, rounds: int = 80, l2: float = 3e-3) -> np.ndarray:
-    """Softmax regression over binary features, plain batch gradient with momentum; weights (BUCKETS + 1, classes)."""
-    make = Features()
-    parts = [make.of(text)[0] for text, _ in rows]
+def telling(flat: np.ndarray, domain: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a bucket occurs in the domains' documents more unevenly than chance, by a chi-squared score.
+
+    ``flat`` lists the buckets of all sampled documents, ``domain`` the domain of each entry. Most words are rare
+    compounds; left in, they fit the sample and only blur the posteriors of other documents.
+    """
+    counts = np.stack([np.bincount(flat[domain == k], minlength=BUCKETS) for k in range(len(sizes))], 1)
+    total = counts.sum(1)
+    share = (total / sizes.sum())[:, None]
+    score = ((counts - share * sizes) ** 2 / np.maximum(share * (1 - share) * sizes, 1e-9)).sum(1)
+    return (score > CHI_SQUARED) & (total >= 3)
+
+
+def fit_classifier(parts: list[np.ndarray], domains: np.ndarray, prior: np.ndarray, rounds: int = 150, l2: float = 3e-4) -> np.ndarray:
+    """Softmax regression over binary features, plain batch gradient with momentum; weights (BUCKETS + 1, domains).
+
+    Sampled documents weigh as their domain's share among all labels (``prior``), so that posteriors are those of the corpus.
+    """
+    classes = len(prior)
     flat = np.concatenate(parts)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    # Features of a single sampled document say nothing about others.
-    seen = np.bincount(flat, minlength=BUCKETS)
-    useful = seen[flat] >= 3
-    doc = np.repeat(np.arange(len(parts)), np.diff(starts))[useful]
-    flat = flat[useful]
-    label = np.eye(classes)[[k for _, k in rows]]
-    weight = 1.0 / np.maximum(1, label.sum(0))[label.argmax(1)]
-    weight *= len(rows) / weight.sum()
+    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    sizes = np.bincount(domains, minlength=classes)
+    useful = telling(flat, domains[doc], sizes)[flat]
+    flat, doc = flat[useful], doc[useful]
+    label = np.eye(classes)[domains]
+    weight = (prior / np.maximum(1, sizes))[domains]
+    weight /= weight.sum()
     w = np.zeros((BUCKETS + 1, classes))
     first, second = np.zeros_like(w), np.zeros_like(w)
     used = np.unique(np.append(flat, BUCKETS))
@@ -80,7 +94,7 @@ def fit_classifier(rows: list[tuple[str, int]], classes: int, rounds: int = 80,
         logits = np.stack([np.bincount(doc, w[flat, k], len(parts)) for k in range(classes)], 1) + w[BUCKETS]
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        error = (p - label) * weight[:, None] / len(rows)
+        error = (p - label) * weight[:, None]
         g = np.stack([np.bincount(flat, error[doc, k], BUCKETS + 1) for k in range(classes)], 1)
         g[BUCKETS] = error.sum(0)
         g = g[used] + l2 * w[used]
@@ -90,21 +104,37 @@ def fit_classifier(rows: list[tuple[str, int]], classes: int, rounds: int = 80,
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> np.ndarray | None:
-    """Classifier from the labelled documents with the smallest id hashes, as many of each domain."""
+def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    make = Features()
+    found = [np.sort(make.of(text)[0]) for text in common.texts(batch)]
+    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("k_id"), batch.column("domain"), common.lists(np.concatenate(found), ends, pa.int32())], ["k_id", "domain", "features"]
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray | None:
+    """Classifier from the labelled documents with the smallest id hashes, up to ``sample_docs`` of each domain.
+
+    Shares of the domains come from all labels of documents at hand. Whole texts are read; the driver gets bucket numbers only.
+    """
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     told = labels.select(labels["doc_id"].cast("long").alias("k_id"), labels["quality"], labels["toxic"])
     told = told.withColumn("domain", domain).where("k_id is not null and domain is not null")
     told = told.groupBy("k_id").agg(F.max("domain").alias("domain"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("k_id"), docs["text"].cast("string").alias("text")).where("text is not null")
+    told = told.join(texts.select("k_id"), "k_id", "left_semi")
+    told = materialize(told, "told")
+    shares = {r["domain"]: r["count"] for r in told.groupBy("domain").count().collect()}
+    if len(shares) < 2:
+        return None
     rank = F.xxhash64("k_id")
     picks = [told.where(F.col("domain") == k).orderBy(rank, "k_id").limit(sample_docs) for k in range(len(DOMAINS))]
-    sample = docs.select(docs["doc_id"].cast("long").alias("k_id"), docs["text"]).where("text is not null")
-    words = F.array_join(F.slice(F.split("text", " "), 1, sample_words), " ")
-    wanted = picks[0].unionByName(picks[1]).unionByName(picks[2])
-    rows = sorted((r.k_id, r.text, r.domain) for r in sample.join(wanted, "k_id").select("k_id", "domain", words.alias("text")).collect())
-    if len({k for _, _, k in rows}) < 2:
-        return None
-    return fit_classifier([(t, k) for _, t, k in rows], len(DOMAINS))
+    sample = texts.join(picks[0].unionByName(picks[1]).unionByName(picks[2]), "k_id").select("k_id", "domain", "text")
+    rows = common.map_arrow(sample, _sampled, "k_id long, domain int, features array<int>").collect()
+    rows = sorted((r.k_id, r.domain, r.features) for r in rows)
+    prior = np.array([shares.get(k, 0) for k in range(len(DOMAINS))], float)
+    return fit_classifier([np.array(f, np.int64) for _, _, f in rows], np.array([k for _, k, _ in rows]), prior / prior.sum())
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray, keep_columns: bool = False, grid: int = GRID) -> DataFrame:
@@ -135,21 +165,25 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep_columns: bool = False,
 
 
 def rate_column(p: Column, gradients: list[list[float]], grid: int = GRID) -> Column:
-    """The rate after the given steps, from 1: max(0, rate - p . g) for each step's g."""
+    """The rate after the given steps, from 1; a step is its g for each domain and then its pull c towards 1.
+
+    Each step takes the rate to max(0, rate - p . g - c (rate - 1)).
+    """
     rate = F.lit(1.0)
     if not gradients:
         return rate
-    steps = F.array(*[F.array(*[F.lit(float(v) / grid) for v in g]) for g in gradients])
-    dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    k = len(DOMAINS)
+    steps = F.array(*[F.array(*[F.lit(float(v) / grid) for v in g[:k]], F.lit(float(g[k]))) for g in gradients])
+    dot = lambda g: sum((p[j] * g[j] for j in range(k)), F.lit(0.0))
+    return F.aggregate(steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - dot(g) - g[k] * (r - 1)))
 
 
 def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS, grid: int = GRID) -> list[list[float]]:
     """The step vectors of the projected gradient over rows (mix_p, mix_tokens).
 
-    Minimises |sum_i r_i t_i p_i - T|^2 over r >= 0 from r = 1, in the metric that weighs a rate by its tokens, with steps
-    of 1 / L, L being the largest eigenvalue of sum_i t_i p_i p_i^T. Each step is one aggregation to as many numbers
-    as there are domains.
+    Minimises |sum_i r_i t_i p_i - T|^2, each domain by its own size, plus RIDGE * sum_i t_i (r_i - 1)^2 over r >= 0 from
+    r = 1, in the metric that weighs a rate by its tokens, with steps of 1 / L, L being the largest eigenvalue of
+    sum_i t_i p_i p_i^T (scaled) plus RIDGE. Each step is one aggregation to as many numbers as there are domains.
     """
     k = len(DOMAINS)
     p, t = [F.col("mix_p")[i] / grid for i in range(k)], F.col("mix_tokens").cast("double")
@@ -166,17 +200,19 @@ def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS,
     # A domain counts by its own size, else small domains would never be matched.
     scale = 1.0 / np.sqrt(np.maximum(have, 1e-6 * size))
     scaled = scale[:, None] * gram * scale[None]
-    step = 1.0 / max(np.linalg.eigvalsh(scaled)[-1], 1e-12)
+    step = 1.0 / (max(np.linalg.eigvalsh(scaled)[-1], 1e-12) + RIDGE)
     gradients: list[list[float]] = []
     now = have
     for _ in range(steps):
         gap = now - want
         if np.abs(gap).max() <= 1e-4 * size:
             break
-        gradients.append((step * scale * scale * gap).tolist())
+        gradients.append([*(step * scale * scale * gap).tolist(), step * RIDGE])
         rate = rate_column(F.col("mix_p"), gradients, grid)
         sums = groups.select(rate.alias("r"), "mix_p", "mix_tokens").agg(*[F.sum(F.col("r") * t * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        now = np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
+        before, now = now, np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
+        if np.abs(now - before).max() <= 1e-5 * size:
+            break
     return gradients
 
 

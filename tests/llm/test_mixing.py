@@ -23,7 +23,7 @@ def test_projected_gradient_against_numpy(spark):
     q = whole / mixing.GRID
     r = np.ones(200)
     for g in steps:
-        r = np.maximum(0, r - q @ np.array(g))
+        r = np.maximum(0, r - q @ np.array(g[:3]) - g[3] * (r - 1))
     got = np.array([x[0] for x in df.select(mixing.rate_column(mixing.F.col("mix_p"), steps)).collect()])
     np.testing.assert_allclose(got, r, atol=1e-9)
     have = (t[:, None] * q).sum(0)
@@ -39,9 +39,28 @@ def test_held_out_accuracy_and_targets(spark):
     held = out.join(known.where("doc_id % 4 = 1"), "doc_id").toPandas()
     held["domain"] = np.where(held.toxic == 1, 2, np.where(held.quality == 0, 1, 0))
     guess = held[["p_clean", "p_low", "p_toxic"]].to_numpy().argmax(1)
-    assert (guess == held.domain).mean() > 0.9
-    assert (held.rate[(held.domain == 0)] >= 1).mean() > 0.95
-    assert held.rate[held.domain == 2].mean() < 0.6
+    assert (guess == held.domain).mean() > 0.95
+    assert (held.rate[(held.domain == 0)] >= 1).mean() > 0.97
+    assert held.rate[held.domain == 2].mean() < 0.5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
+def test_clean_documents_stay_where_a_domain_is_rare(spark):
+    """Where earlier stages left hardly any text of a domain, its traces in the posteriors cost no clean document."""
+    docs, known = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    left = docs.join(known.where("quality = 0 and doc_id % 50 <> 0"), "doc_id", "left_anti")
+    clean = known.where("quality = 1 and toxic = 0").select("doc_id")
+    kept = mixing.mix(left, known).join(clean, "doc_id", "left_semi").select("doc_id").distinct().count()
+    assert kept >= 0.98 * clean.join(docs, "doc_id", "left_semi").count()
+
+
+def test_whole_texts_are_read(spark):
+    """A word at the very end of a long text decides as one at its start does."""
+    filler = "plain words of no meaning " * 3000
+    rows = [(k, filler + ("vile" if k % 2 else "kind")) for k in range(140)]
+    known = spark.createDataFrame([(k, 1, k % 2) for k in range(100)], LABELS)
+    out = {r.doc_id: r for r in mixing.rates(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert all((out[k].p_toxic > 0.5) == bool(k % 2) for k in range(100, 140))
 
 
 def test_rows_and_columns(spark):
