@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanops.session import configure
 
-# Rows of a batch handed to Python; texts average a few kB, so a batch stays well below 50 MB.
+# Bounds of a batch handed to Python, whichever comes first; very long texts or sets make short batches.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 NULL_ID = -(2**63)
 # Word separators of all word based operators: space, tab, LF, VT, FF, CR. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of this package; runtime settings only."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
