@@ -16,8 +16,8 @@ BAD_SEVERITIES = ("ERROR", "WARN")
 MAX_ROUNDS = 32
 
 
-def _failed() -> Column:
-    return F.coalesce(F.col("has_error"), F.lit(False))
+def _failed(error: Column | None = None) -> Column:
+    return F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
 
 
 def _bad() -> Column:
@@ -89,19 +89,19 @@ def trace_log_correlation(
     return out.orderBy(F.desc("ts"), F.desc("bad_logs"), "activity")
 
 
-def _failed_traces(spans: DataFrame) -> DataFrame:
-    return spans.where(_failed()).select("trace_id").distinct()
+def _failed_traces(spans: DataFrame, error: Column | None = None) -> DataFrame:
+    return spans.where(_failed(error)).select("trace_id").distinct()
 
 
-def error_logs_for_failed(spans: DataFrame, logs: DataFrame) -> DataFrame:
-    """ERROR/WARN logs of workflows with a failed span."""
-    return logs.where(_bad()).join(_failed_traces(spans), "trace_id", "left_semi")
+def error_logs_for_failed(spans: DataFrame, logs: DataFrame, error: Column | None = None) -> DataFrame:
+    """ERROR/WARN logs of workflows with a failed span; ``error`` says which spans failed (default ``has_error``)."""
+    return logs.where(_bad()).join(_failed_traces(spans, error), "trace_id", "left_semi")
 
 
-def unlogged_failures(spans: DataFrame, logs: DataFrame) -> DataFrame:
+def unlogged_failures(spans: DataFrame, logs: DataFrame, error: Column | None = None) -> DataFrame:
     """Failed spans of workflows without any ERROR/WARN log."""
     logged = logs.where(_bad()).select("trace_id").distinct()
-    return spans.where(_failed()).join(logged, "trace_id", "left_anti")
+    return spans.where(_failed(error)).join(logged, "trace_id", "left_anti")
 
 
 def effective_error(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:

@@ -33,12 +33,17 @@ def _narrow(
     return out if where is None else out.where(_condition(where))
 
 
-def _failed() -> Column:
-    return F.coalesce(F.col("has_error"), F.lit(False))
+def _failed(error: Column | None = None) -> Column:
+    return F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
 
 
 def list_services(
-    spans: DataFrame, *, window: str | None = None, as_of: object | None = None, quantile_mode: str = "exact"
+    spans: DataFrame,
+    *,
+    window: str | None = None,
+    as_of: object | None = None,
+    quantile_mode: str = "exact",
+    error: Column | None = None,
 ) -> DataFrame:
     """Services with their span count, error share and P99."""
     rows = _narrow(spans, None, window, as_of, None)
@@ -47,7 +52,7 @@ def list_services(
         {"service": F.col("serviceName")},
         F.col(DURATION),
         {"_p99": 0.99},
-        [F.count(F.lit(1)).alias("spans"), F.round(rate_pct(_failed()), 2).alias("error_rate_pct")],
+        [F.count(F.lit(1)).alias("spans"), F.round(rate_pct(_failed(error)), 2).alias("error_rate_pct")],
         quantile_mode,
     )
     out = stats.select("service", "spans", "error_rate_pct", F.round(ns_to_ms(F.col("_p99")), 2).alias("p99_ms"))
@@ -62,6 +67,7 @@ def top_operations(
     window: str | None = None,
     as_of: object | None = None,
     quantile_mode: str = "exact",
+    error: Column | None = None,
 ) -> DataFrame:
     """Busiest span names of a service with latency quantiles and errors."""
     rows = _narrow(spans, None, window, as_of, service)
@@ -70,7 +76,7 @@ def top_operations(
         {"operation": F.col("name")},
         F.col(DURATION),
         {f"_{name}": p for name, p in QUANTILES.items()},
-        [F.count(F.lit(1)).alias("calls"), F.count_if(_failed()).alias("errors")],
+        [F.count(F.lit(1)).alias("calls"), F.count_if(_failed(error)).alias("errors")],
         quantile_mode,
     )
     columns = [F.round(ns_to_ms(F.col(f"_{name}")), 2).alias(f"{name}_ms") for name in QUANTILES]
@@ -117,11 +123,12 @@ def search_traces(
     *,
     window: str | None = None,
     as_of: object | None = None,
-    limit: int = 5,
+    limit: int | None = 5,
 ) -> DataFrame:
-    """Newest matching spans; the condition is a Column or SQL text."""
+    """Newest matching spans; the condition is a Column or SQL text. Without a limit, all of them."""
     rows = _narrow(spans, where, window, as_of, None)
-    return rows.orderBy(F.desc("timestamp"), F.desc("span_id")).limit(limit)
+    newest = rows.orderBy(F.desc("timestamp"), F.desc("span_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def _plain_aggregate(aggregation: str, value: Column | None) -> Column:
@@ -200,7 +207,7 @@ def search_logs(
     window: str | None = None,
     as_of: object | None = None,
     service: str | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """Newest logs that contain a text, have one of the severities and meet a condition."""
     rows = _narrow(logs, where, window, as_of, service)
@@ -208,7 +215,8 @@ def search_logs(
         rows = rows.where(F.col("body").contains(text))
     if severity:
         rows = rows.where(F.col("severity_text").isin(*severity))
-    return rows.orderBy(F.desc("timestamp"), F.desc("span_id")).limit(limit)
+    newest = rows.orderBy(F.desc("timestamp"), F.desc("span_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def aggregate_logs(

@@ -216,6 +216,7 @@ def silent_failure(
     max_spread_pct: float = 2.0,
     min_peer_ratio: float = 10.0,
     quantile_mode: str = "exact",
+    error: Column | None = None,
     **base: object,
 ) -> DataFrame:
     """Activities with slow spans that report no error, and whether every tier is hit alike.
@@ -223,7 +224,7 @@ def silent_failure(
     ``SYSTEMIC``: far slower than its peers with the same P99 in every tier. ``SLOW``: far slower only.
     """
     rows = select_spans(spans, as_of=as_of, window=window, **base)
-    silent = slower_than(ceiling_ms) & ~F.coalesce(F.col("has_error"), F.lit(False))
+    silent = slower_than(ceiling_ms) & ~F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
     counted = rows.groupBy(F.col("name").alias("activity")).agg(
         F.count(F.lit(1)).alias("executions"),
         F.count_if(silent).alias("silent_spans"),

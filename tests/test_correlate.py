@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from spanops.operators import correlate, explore
+from spanops import schema as S
+from spanops.functions.scalars import attribute_error
+from spanops.operators import correlate, explore, latency
 
 
 def test_logs_do_not_multiply_spans(make_spans, make_logs):
@@ -93,7 +95,23 @@ def test_explore_search_and_aggregate(make_spans, make_logs):
     assert [(r["value"], r["rows"]) for r in values] == [("free", 5), ("pro", 5)]
     logs = make_logs([{"trace": "a", "body": "payment failed for 17"}, {"trace": "b", "body": "payment failed for 4"}, {"trace": "c", "body": "ok", "severity": "INFO"}])
     assert explore.search_logs(logs, "payment", severity=["ERROR"], limit=1).count() == 1
+    assert explore.search_logs(logs, limit=None).count() == 3 and explore.search_traces(spans, limit=None).count() == 10
     patterns = explore.aggregate_logs(logs, ["severity_text"], patterns=True).collect()
     assert [(r["pattern"], r["logs"]) for r in patterns] == [("payment failed for <n>", 2), ("ok", 1)]
     both = explore.builder_query(spans, {"n": ("count", None), "p": ("p99", "duration_nano"), "d": ("count_distinct", "trace_id")}).first()
     assert (both["n"], both["d"]) == (10, 10)
+
+
+def test_failures_told_by_attributes_only(make_spans, make_logs):
+    """Spans that never set a status count as failed where the caller's expression says so."""
+    key = S.FAILURE_KEYS[0]
+    rows = [{"trace": "a", "strings": {key: "out of stock"}, "ms": 5000}, {"trace": "b", "ms": 5000}, {"trace": "c", "strings": {key: "declined"}}]
+    spans, logs = make_spans(rows), make_logs([{"trace": "a"}, {"trace": "b"}])
+    failed = attribute_error()
+    assert correlate.error_logs_for_failed(spans, logs).count() == 0
+    assert [r["trace_id"] for r in correlate.error_logs_for_failed(spans, logs, failed).collect()] == ["a"]
+    assert [r["trace_id"] for r in correlate.unlogged_failures(spans, logs, failed).collect()] == ["c"]
+    assert explore.list_services(spans, error=failed).first()["error_rate_pct"] == 66.67
+    assert explore.top_operations(spans, S.WORKER_SERVICE, error=failed).first()["errors"] == 2
+    silent = latency.silent_failure(spans, window=None, error=failed).first()
+    assert silent["silent_spans"] == 1
