@@ -1,8 +1,9 @@
 """Mixing sources to target weights by soft domain membership.
 
 A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_DOCS`` of each class, whole texts), gives every
-document posteriors over domains. It looks only at words that occur in the domains more unevenly than chance explains. Nonnegative rates are then fitted by projected gradient so that the expected tokens of each
-domain, sum(rate * tokens * posterior), match the targets in least squares. A document's rate depends only on its posteriors;
+document posteriors over domains. It looks only at words that occur in the domains more unevenly than chance explains.
+Nonnegative rates are then fitted by projected gradient so that the expected tokens of each domain,
+sum(rate * tokens * posterior), match the targets in least squares. A document's rate depends only on its posteriors;
 they are rounded to 1 / ``GRID``, so the documents first combine to one row for each posterior vector (their number is bounded
 by the grid, whatever the corpus) and each gradient step is one distributed aggregation over those rows.
 
