@@ -1,8 +1,7 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-A state of the tree is a context of up to ``DEPTH`` words. The tree grows level by level: a context and a (context, word)
-pair are candidates only if they occur at least ``floor`` times, floor = max(MIN_COUNT, MIN_SHARE * N), so that a level has at most
-1 / MIN_SHARE of either, whatever the corpus; that is the proven bound of what is broadcast. A candidate context is retained
+A state of the tree is a context of up to two words. The tree grows level by level: a context and a (context, word) pair
+are candidates if they occur at least ``MIN_COUNT`` times, at every size of the input. A candidate context is retained
 if its next-word distribution diverges from that of its longest retained suffix by more than its parameters cost (half of
 ln N each): a test by description length. In a state, counts of its pairs (less ``DISCOUNT`` each) go to the words it lists,
 and the remaining mass goes by its parent's distribution down to the base, so every state's distribution sums to one:
@@ -11,7 +10,12 @@ and the remaining mass goes by its parent's distribution down to the base, so ev
 
 The longest retained suffix of the words before a token is its state. The base is (c + 0.5) / (N + 0.5 (V + 1)) over all training
 tokens, ends included. Word counts are complete: words too rare for the tree are counted and joined, never dropped.
-Words are identified by 64-bit hashes.
+Words, pairs and triples are identified by 64-bit hashes.
+
+Counts, levels and states are written tables and the test is an aggregation of theirs. Each state and pair adds a fixed number
+to a token's log10 P, so a document's score is a sum over its words, pairs and triples, each as often as it occurs, joined to
+one table of those numbers. Only two things of bounded size go through the driver, and neither changes a result: bitmaps of key
+hashes (``BITS``) keep keys that are surely absent out of the shuffles, and the ``CACHE`` most frequent numbers are added in the tasks.
 
 Defined results: documents train unless crc32(doc_id as text) mod 5 is 1 (a null id counts as the text '' and trains); a null or
 empty text is one end token; rows read twice train twice and get the same score each; without training tokens the base
@@ -30,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanops.llm import common
 from spanops.session import materialize
 
-DEPTH = 2
 MIN_COUNT = 8
-MIN_SHARE = 1e-6
+MIN_SHARE = 0.0  # the floor does not rise with the input
 DISCOUNT = 0.5
 END = 0x5E0E0E0E0E0E0E0E  # stands for the end token among word hashes
+BITS = 27  # log2 of the bits of a bitmap
+CACHE = 1 << 18
 
 
 def is_training(id_text) -> F.Column:
@@ -54,55 +59,33 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-class Tree:
-    """The retained states: sorted arrays, looked up by position among the frequent words."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.n, self.v = n, v
-        self.base_den = math.log10(n + 0.5 * (v + 1))
-        self.base = np.log10(self.counts + 0.5) - self.base_den
-        # By level (context length 1, 2): contexts, log10 of the mass passed on, (context, word) keys and log10 P.
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        # By level: all frequent (context, word) pairs, retained or not; the next level's candidates.
-        self.pairs: list[np.ndarray] = []
-
-    @property
-    def size(self) -> int:
-        return len(self.words)
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return common.mix(common.mix(context) + word)
 
-    def index(self, hashes: np.ndarray) -> np.ndarray:
-        """Position of each hash among the frequent words, -1 for the others."""
-        return find(self.words, hashes)
 
+def grams(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a token has one and two words before it in its text, and the keys of the pairs and triples ending there."""
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+    pair = np.zeros(len(tokens), np.uint64)
+    pair[second] = _joined(tokens[second - 1], tokens[second])
+    return second, third, pair, _joined(pair[third - 1], tokens[third])
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Position of each key in the sorted table, -1 where it is absent."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys (column k) by their low ``BITS`` bits; what is not set is surely absent."""
+    low = F.col("k").bitwiseAND(F.lit((1 << BITS) - 1))
+    parts = keys.groupBy(F.shiftright(low, 15).alias("b")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+    out = np.zeros((1 << BITS) // 8, np.uint8).reshape(-1, 4096)
+    for b, bits in zip(parts["b"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[b] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
 
-def contexts(tree: Tree, index: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
-    """For each token, the key of the pair (its ``depth`` words before, itself), -1 where a part is not frequent.
 
-    Level 1: previous * F + word. Level 2: (position of the previous pair among the frequent pairs) * F + word.
-    """
-    size = np.int64(tree.size)
-    before = np.full(len(index), -1, np.int64)
-    first = np.zeros(len(index), bool)
-    first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-    if depth == 1:
-        before[1:] = index[:-1]
-    else:
-        lower = contexts(tree, index, lengths, depth - 1)
-        at = find(tree.pairs[depth - 2], lower)
-        at[lower < 0] = -1
-        before[1:] = at[:-1]
-    before[first] = -1
-    return np.where((before >= 0) & (index >= 0), before * size + index, -1)
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,172 +94,155 @@ def _count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(words), pa.array(counts)], ["w", "c"])
 
 
-def _count_pairs(shared, depth: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    tree = shared.value
+def _count_grams(shared, size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs of words, or triples of pairs, that may be frequent: key, key of the context, key of what the parent predicts."""
+    bits = shared.value
     tokens, lengths = tokens_of(common.texts(batch), common.WordHashes())
-    keys = contexts(tree, tree.index(tokens), lengths, depth)
-    pairs, counts = np.unique(keys[keys >= 0], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["w", "c"])
+    second, third, pair, triple = grams(tokens, lengths)
+    if size == 2:
+        may = maybe(bits, tokens)
+        at = second[may[second] & may[second - 1]]
+        keys, context, rest = pair[at], tokens[at - 1], tokens[at]
+    else:
+        may = maybe(bits, pair)
+        good = may[third] & may[third - 1]
+        at = third[good]
+        keys, context, rest = triple[good], pair[at - 1], pair[at]
+    keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([_signed(keys), _signed(context[first]), _signed(rest[first]), pa.array(counts)], ["k", "ctx", "rest", "c"])
 
 
-def _arrow_rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.toArrow()
-    return np.asarray(rows["w"].to_numpy()), np.asarray(rows["c"].to_numpy())
+def _frequent_grams(docs: DataFrame, lower: DataFrame, size: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(lower))
+    rows = common.map_arrow(docs.select("text"), partial(_count_grams, shared, size), "k long, ctx long, rest long, c long")
+    counted = rows.groupBy("k", "ctx", "rest").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    return materialize(counted, "grams")
 
 
-def grow(tree: Tree, keys: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, depth: int) -> None:
-    """Add a level: retain the contexts whose distribution diverges from their parent's."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(float)
-    tree.pairs.append(keys)
-    size = tree.size
-    context, word = keys // size, keys % size
-    parent = base_of(tree, context, word, depth)
-    total = context_counts[context]
-    own = np.maximum(counts - DISCOUNT, 0)
-    starts = np.flatnonzero(np.diff(context, prepend=-1))
-    groups = context[starts]
-    rest = context_counts[groups] - np.add.reduceat(own, starts) if len(starts) else np.zeros(0)
-    spread = np.maximum(rest, DISCOUNT) / context_counts[groups]
-    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
-    p = own / total + spread[at] * 10**parent
-    # Gain in nats of coding the listed words here instead of in the parent; the others pay for the mass passed on.
-    gain = np.zeros(len(starts))
-    np.add.at(gain, at, counts * (np.log(p) - parent * math.log(10)))
-    listed = np.zeros(len(starts))
-    np.add.at(listed, at, counts)
-    size_of = np.bincount(at, minlength=len(starts))
-    gain += np.maximum(context_counts[groups] - listed, 0) * np.log(spread)
-    kept = gain > 0.5 * math.log(max(2, tree.n)) * (size_of + 1)
-    keep = kept[at] if len(at) else np.zeros(0, bool)
-    tree.levels.append((groups[kept], np.log10(spread[kept]), keys[keep], np.log10(p[keep])))
-
-
-def base_of(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """log10 P of frequent words in the parent of a context of length ``depth``."""
-    if depth == 1:
-        return tree.base[word]
-    # A context of length 2 is a frequent pair (u, v); its parent is v.
-    last = tree.pairs[0][context] % tree.size
-    keys = last * np.int64(tree.size) + word
-    return _level(tree, 0, last, keys, tree.base[word])
-
-
-def _level(tree: Tree, level: int, context: np.ndarray, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """log10 P with the states of one level put over ``below``."""
-    groups, passed, listed, p = tree.levels[level]
-    state = find(groups, context)
-    hit = find(listed, keys)
-    out = below.copy()
-    inside = state >= 0
-    out[inside] += passed[state[inside]]
-    direct = inside & (hit >= 0) & (keys >= 0)
-    out[direct] = p[hit[direct]]
-    return out
-
-
-def learn(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree and the complete word counts (w, c) of ``docs`` (column text)."""
+def retain(found: DataFrame, lower: DataFrame, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The level of ``found`` (k, ctx, rest, c) over ``lower`` (k, c, p): rows (k, c, p, delta) and states (ctx, passed).
+
+    ``p`` is log10 P of the last word after the context, the parent's where the context is not retained; ``delta`` is what
+    a listed word adds to the mass passed on and the parent's ``p``. Contexts are retained that diverge from their parent.
+    """
+    total = lower.select(F.col("k").alias("ctx"), F.col("c").alias("total"))
+    below = lower.select(F.col("k").alias("rest"), F.col("p").alias("below"))
+    rows = materialize(found.join(total, "ctx").join(below, "rest").drop("rest"), kind)
+    sums = rows.groupBy("ctx").agg(
+        F.max("total").alias("t"), F.sum("c").alias("listed"), F.count("*").alias("size"), F.sum(F.col("c") - DISCOUNT).alias("own"),
+    )
+    spread = F.greatest(F.col("t") - F.col("own"), F.lit(DISCOUNT)) / F.col("t")
+    sums = sums.select("ctx", "t", "listed", "size", spread.alias("spread"))
+    p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("spread") * F.pow(F.lit(10.0), F.col("below"))
+    coded = rows.join(sums.select("ctx", "spread"), "ctx").groupBy("ctx").agg(
+        # Gain in nats of coding the listed words here instead of in the parent; the others pay for the mass passed on.
+        F.sum(F.col("c") * (F.log(p) - F.col("below") * math.log(10))).alias("gain")
+    )
+    gain = F.col("gain") + F.greatest(F.col("t") - F.col("listed"), F.lit(0)) * F.log("spread")
+    kept = coded.join(sums, "ctx").where(gain > 0.5 * math.log(max(2, n)) * (F.col("size") + 1))
+    states = materialize(kept.select("ctx", "spread"), kind)
+    own = F.log10(p)
+    level = rows.join(states, "ctx", "left").select(
+        "k", "c", F.coalesce(own, F.col("below")).alias("p"),
+        F.coalesce(own - F.log10("spread") - F.col("below"), F.lit(0.0)).alias("delta"),
+    )
+    return materialize(level, kind), states.select("ctx", F.log10("spread").alias("passed"))
+
+
+def learn(docs: DataFrame) -> tuple[DataFrame, int, float]:
+    """What each word, pair and triple adds to the scores (k, c, known, base, model), the training tokens and the base's divisor."""
     counted = common.map_arrow(docs.select("text"), _count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    words = materialize(counted, "words")
+    words = materialize(counted.withColumnRenamed("w", "k"), "words")
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
-    floor = max(MIN_COUNT, math.ceil(MIN_SHARE * n))
-    # At most n / floor <= 1 / MIN_SHARE rows.
-    w, c = _arrow_rows(words.where(F.col("c") >= floor))
-    tree = Tree(w.astype(np.int64).view(np.uint64), c.astype(np.int64), n, v)
-    spark = docs.sparkSession
-    context_counts = tree.counts
-    for level in range(1, depth + 1):
-        if not tree.size or (level > 1 and not len(tree.pairs[-1])):
-            break
-        shared = spark.sparkContext.broadcast(tree)
-        pairs = common.map_arrow(docs.select("text"), partial(_count_pairs, shared, level), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-        keys, counts = _arrow_rows(pairs.where(F.col("c") >= floor))
-        order = np.argsort(keys)
-        grow(tree, keys.astype(np.int64), counts.astype(np.int64), context_counts, level)
-        context_counts = counts[order]
-    return tree, words
-
-
-def token_scores(tree: Tree, index: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 of the base, log10 of the model less the base of a rare word) by token; rare words have base 0 here."""
-    base = np.where(index >= 0, tree.base[np.maximum(index, 0)] if tree.size else 0.0, 0.0)
-    model = base.copy()
-    first = np.zeros(len(index), bool)
-    first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-    before = np.full(len(index), -1, np.int64)
-    before[1:] = index[:-1]
-    before[first] = -1
-    for level in range(len(tree.levels)):
-        keys = np.where((before >= 0) & (index >= 0), before * np.int64(max(1, tree.size)) + index, -1)
-        model = _level(tree, level, before, keys, model)
-        if level + 1 < len(tree.levels):
-            pair = contexts(tree, index, lengths, level + 1)
-            at = np.where(pair >= 0, find(tree.pairs[level], pair), -1)
-            before = np.full(len(index), -1, np.int64)
-            before[1:] = at[:-1]
-            before[first] = -1
-    return base, model
+    base_den = math.log10(n + 0.5 * (v + 1))
+    words = words.withColumn("p", F.log10(F.col("c") + 0.5) - F.lit(base_den))
+    frequent = words.where(F.col("c") >= MIN_COUNT)
+    pairs, states = retain(_frequent_grams(docs, frequent, 2), frequent, n, "pairs")
+    triples, deep = retain(_frequent_grams(docs, pairs, 3), pairs, n, "triples")
+    passed = F.coalesce(F.col("passed"), F.lit(0.0))
+    none = F.lit(0.0).alias("base")
+    adds = (
+        words.join(states.withColumnRenamed("ctx", "k"), "k", "left").select("k", "c", F.lit(1).alias("known"), F.col("p").alias("base"), (F.col("p") + passed).alias("model"))
+        .union(pairs.join(deep.withColumnRenamed("ctx", "k"), "k", "left").select("k", "c", F.lit(0), none, (F.col("delta") + passed).alias("model")).where("model <> 0"))
+        .union(triples.select("k", "c", F.lit(0), none, F.col("delta").alias("model")).where("model <> 0"))
+    )
+    return materialize(adds, "adds"), n, base_den
+
+
+def _combined(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (document, key) rows as one, with how often each occurs."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], keys[new], np.diff(np.append(np.flatnonzero(new), len(keys)))
 
 
 def _score_rows(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each document with the sums over frequent words, and one for each of its rare words."""
-    tree = shared.value
+    """A row for each document with the sums over cached keys, and one for each of its other words, pairs and triples."""
+    (known_keys, known, base, model), bits = shared.value
     tokens, lengths = tokens_of(common.texts(batch), common.WordHashes())
-    index = tree.index(tokens)
-    base, model = token_scores(tree, index, lengths)
+    second, third, pair, triple = grams(tokens, lengths)
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    sums = [np.bincount(doc, x, len(lengths)) for x in (base, model)]
-    known = np.bincount(doc, index >= 0, len(lengths)).astype(np.int64)
-    rare = index < 0
-    order = np.lexsort((tokens[rare], doc[rare]))
-    word, of = tokens[rare][order], doc[rare][order]
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-    times = np.diff(np.append(np.flatnonzero(new), len(word)))
+    pair, of_pair = pair[second], doc[second]
+    may = maybe(bits, pair), maybe(bits, triple)
+    keys = np.concatenate([tokens, pair[may[0]], triple[may[1]]])
+    of = np.concatenate([doc, of_pair[may[0]], doc[third][may[1]]])
+    word = np.arange(len(keys)) < len(tokens)
+    at = np.minimum(np.searchsorted(known_keys, keys), max(0, len(known_keys) - 1))
+    hit = known_keys[at] == keys if len(known_keys) else np.zeros(len(keys), bool)
+    sums = [np.bincount(of[hit], x[at[hit]], len(lengths)) for x in (known, base, model)]
+    rows = [_combined(of[good], keys[good]) for good in (word & ~hit, ~word & ~hit)]
+    docs, more = np.arange(len(lengths)), sum(len(r[0]) for r in rows)
+    none, zeros = np.zeros(len(docs), np.int64), np.zeros(more, np.int64)
     ids, hashes = np.asarray(batch.column("k_id")), np.asarray(batch.column("k_hash"))
-    word, of = word[new], of[new]
-    at = np.concatenate([np.arange(len(lengths)), of])
-    zeros = np.zeros(len(of))
+    at = np.concatenate([docs, *(r[0] for r in rows)])
+    own = _joined(ids.view(np.uint64), hashes.view(np.uint64))
+    times = [np.concatenate([none, *(r[2] for r in rows)]), np.concatenate([none, rows[0][2], np.zeros_like(rows[1][2])])]
     return pa.RecordBatch.from_arrays(
         [
-            # A document's own row looks for a word that is none: its count is not used.
-            pa.array(ids[at]), pa.array(hashes[at]), pa.array(np.concatenate([hashes, word.view(np.int64)])),
-            pa.array(np.concatenate([np.zeros(len(lengths), np.int64), times])),
-            pa.array(np.concatenate([lengths, np.zeros(len(of), np.int64)])), pa.array(np.concatenate([known, np.zeros(len(of), np.int64)])),
-            pa.array(np.concatenate([sums[0], zeros])), pa.array(np.concatenate([sums[1], zeros])),
+            # A document's own row looks for a key that is none: it has no times.
+            pa.array(ids[at]), pa.array(hashes[at]), _signed(np.concatenate([own, *(r[1] for r in rows)])),
+            pa.array(np.concatenate([np.ones(len(docs), np.int64), zeros])), *map(pa.array, times),
+            pa.array(np.concatenate([lengths, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])),
+            pa.array(np.concatenate([sums[1], zeros.astype(float)])), pa.array(np.concatenate([sums[2], zeros.astype(float)])),
         ],
-        ["k_id", "k_hash", "w", "times", "n_tokens", "n_known", "base", "model"],
+        ["k_id", "k_hash", "k", "copies", "times", "words", "n_tokens", "n_known", "base_sum", "model_sum"],
     )
 
 
-_SCORED = "k_id long, k_hash long, w long, times long, n_tokens long, n_known long, base double, model double"
+_SCORED = "k_id long, k_hash long, k long, copies long, times long, words long, n_tokens long, n_known long, base_sum double, model_sum double"
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """Token counts, base and model score of every document; learnt from the training documents of the same table."""
     spark: SparkSession = common.prepare(docs.sparkSession)
     source = common.keyed(docs)
     training = is_training(F.coalesce(common.shown_id().cast("string"), F.lit("")))
-    tree, words = learn(source.where(training), depth)
-    shared = spark.sparkContext.broadcast(tree)
+    adds, n, base_den = learn(source.where(training))
+    top = adds.orderBy(F.desc("c"), "k").limit(CACHE).toArrow()
+    keys = np.asarray(top["k"].to_numpy()).astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    cached = keys[order], *(np.asarray(top[x].to_numpy()).astype(float)[order] for x in ("known", "base", "model"))
+    shared = spark.sparkContext.broadcast((cached, bitmap(adds.where("known = 0"))))
     rows = common.map_arrow(source, partial(_score_rows, shared), _SCORED)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("times") * (F.log10(c + 0.5) - F.lit(tree.base_den))
-    joined = rows.join(words, "w", "left")
+    joined = rows.join(adds.select("k", "known", "base", "model"), "k", "left")
+    # Words that no training document has; pairs and triples without a number add nothing.
+    unseen = F.when(F.col("known").isNull(), F.col("words") * F.lit(math.log10(0.5) - base_den)).otherwise(0.0)
+    add = lambda x: F.coalesce(F.col("times") * F.col(x), unseen)
     sums = joined.groupBy("k_id", "k_hash").agg(
-        F.sum(F.when(F.col("times") == 0, 1).otherwise(0)).alias("copies"),
+        F.sum("copies").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + rare).alias("base_score"),
-        F.sum(F.col("model") + rare).alias("score"),
+        F.sum(F.col("n_known") + F.coalesce(F.col("known") * F.col("words"), F.lit(0))).alias("n_known"),
+        F.sum(F.col("base_sum") + add("base")).alias("base_score"),
+        F.sum(F.col("model_sum") + add("model")).alias("score"),
     )
     # Equal rows were added up; each gets its share back.
     each = sums.select(
         common.shown_id().alias("doc_id"), (~training).alias("held_out"),
         *[(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")],
-        F.lit(tree.n).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         *[(F.col(x) / F.col("copies")).alias(x) for x in ("base_score", "score")],
         F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy"),
     )

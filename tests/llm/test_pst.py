@@ -102,3 +102,20 @@ def test_empty_and_untrained(spark):
     only_held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1)
     row = pst.score(frames.docs(spark, [(only_held, "a b")])).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_floor_does_not_rise_with_the_input(spark):
+    """Nine pairs count among 12 million tokens as they do in a small table."""
+    filler = spark.range(1000, 1250).selectExpr("id as doc_id", "repeat('a ', 60000) as text")
+    trained = [k for k in range(50) if zlib.crc32(str(k).encode()) % 5 != 1][:10]
+    rows = frames.docs(spark, [(k, "left right") for k in trained]).select("doc_id", "text")
+    out = {r.doc_id: r for r in pst.score(filler.union(rows)).collect()}
+    assert out[trained[0]].train_tokens > 8 * 10**6 * 1.25
+    assert all(out[k].score > out[k].base_score + 5 for k in trained)
+
+
+def test_keys_outside_the_cache_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(pst, "CACHE", 3)
+    monkeypatch.setattr(pst, "BITS", 15)  # crowded bitmaps let keys through that add nothing
+    rows = frames.mixed(n=64) + [(600 + k, "one two three four five six seven " * 3) for k in range(9)]
+    same([tuple(r) for r in pst.score(frames.docs(spark, rows).repartition(3)).collect()], brute(rows)[0])
