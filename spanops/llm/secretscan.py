@@ -4,7 +4,8 @@ Three base patterns are searched as plain matches. On top of them the text is le
 configuration files and source code write them (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
 ``export NAME=x``). Constants are propagated: a right side that names an earlier constant, or joins literals and constants
 with ``+``, stands for their value. A literal is scored by how sensitive its target name is and how random it looks; a
-score of at least ``MIN_SCORE`` adds a span of kind ``lex``, unless a base span already covers the literal.
+score of at least ``MIN_SCORE`` adds a span of kind ``lex``, unless a base span already covers the literal. Where the right side
+names constants, the literals that were assigned to them get spans too: it is they that hold the secret.
 
 Defined results: a null or empty text has no spans; a null id stays null; equal rows get equal results; an empty table gives
 an empty result; other columns play no part. Offsets are code points, ends exclusive.
@@ -83,33 +84,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end of the right side) of every assignment, constants already put in."""
-    known: dict[str, str] = {}
+def pairs(text: str) -> list[tuple[str, str, int, int, tuple[tuple[int, int], ...]]]:
+    """(name, value, start, end of the right side, literals) of every assignment, constants already put in.
+
+    The literals are the (start, end) of all texts that the value is made of, without quotes, those of constants included.
+    """
+    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     out = []
     for m in _PAIR.finditer(text):
         parts = []
         for term in _TERM.finditer(m[2]):
-            quoted = next((g for g in term.groups()[:3] if g is not None), None)
-            parts.append(quoted if quoted is not None else known.get(term[4], term[4]))
-        value = "".join(parts)
-        known[m[1]] = value
-        out.append((m[1], value, m.start(2), m.end(2)))
+            group = term.lastindex
+            here = (m.start(2) + term.start(group), m.start(2) + term.end(group))
+            constant = known.get(term[4]) if group == 4 else None
+            parts.append(constant or (term[group], (here,)))
+        value = "".join(part for part, _ in parts)
+        literals = tuple(dict.fromkeys(x for _, of in parts for x in of if x[0] < x[1]))
+        known[m[1]] = value, literals
+        out.append((m[1], value, m.start(2), m.end(2), literals))
     return out
 
 
-def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
-    """All spans as (start, kind, end), base ones included, in order."""
-    base = base_spans(text)
-    more = []
+def _lexed(text: str, min_score: float, base: list[tuple[int, int, int]], sources: bool) -> list[tuple[int, int, int]]:
+    """Spans of kind ``lex``: right sides that are not covered by a base span, and on request the literals of their constants."""
+    more, literals = [], {}
     if ":" in text or "=" in text:
-        for name, value, start, end in pairs(text):
-            if score(name, value) >= min_score and not any(s <= start and end <= e for s, _, e in base):
+        covered = lambda start, end: any(s <= start and end <= e for s, _, e in base)
+        for name, value, start, end, of in pairs(text):
+            if score(name, value) < min_score:
+                continue
+            literals.update(dict.fromkeys(x for x in of if x[1] <= start))
+            if not covered(start, end):
                 if text[start] in "\"'`" and text.find(text[start], start + 1) == end - 1:
                     start, end = start + 1, end - 1
-                if not any(s <= start and end <= e for s, _, e in base):
+                if not covered(start, end):
                     more.append((start, 3, end))
-    return sorted(base + more)
+        if sources:
+            have = {(s, e) for s, _, e in more}
+            more += [(s, 3, e) for s, e in literals if (s, e) not in have and not covered(s, e)]
+    return more
+
+
+def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
+    """The spans of base patterns and right sides as (start, kind, end), in order."""
+    base = base_spans(text)
+    return sorted(base + _lexed(text, min_score, base, sources=False))
+
+
+def secret_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
+    """``spans`` and those of the literals that sensitive names receive through constants; what is reported and masked."""
+    base = base_spans(text)
+    return sorted(base + _lexed(text, min_score, base, sources=True))
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
@@ -137,7 +162,7 @@ def scan(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in common.texts(batch):
-            found = spans(text, min_score)
+            found = secret_spans(text, min_score)
             count = Counter(kind for _, kind, _ in found)
             base = written([x for x in found if x[1] < 3])
             rows.append((*(count[k] for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), written(found)))
@@ -155,7 +180,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         old = batch.column("text").to_pylist()
-        new = [t if t is None else redact(t, spans(t)) for t in old]
+        new = [t if t is None else redact(t, secret_spans(t)) for t in old]
         names = batch.schema.names
         columns = list(batch.columns)
         columns[names.index("text")] = pa.array(new, batch.schema.field("text").type)

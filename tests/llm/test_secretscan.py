@@ -73,3 +73,18 @@ def test_redaction(spark):
     assert [r.text for r in out] == ["see [secret] end", None, "nothing", "[secret]"]
     assert [r.n_chars for r in out] == [16, None, 7, 8]
     assert S.redact_secrets(df).columns == df.columns
+
+
+def test_literals_of_constants_are_masked(spark):
+    texts = [
+        'K = "Zx81kQpL55a9"\nclient_credential = K\ncolor = K\n',
+        'HEAD = "Zx81kQ"\nTAIL = "pL55a9"\nBOTH = HEAD + TAIL\nclient_credential = BOTH\n',
+        'K = Zx81kQpL55a9\nclient_credential = K + "tail"\n',
+        'K = "Zx81kQpL55a9"\ncolor = K\n',
+    ]
+    df = frames.docs(spark, list(enumerate(texts)))
+    out = [r.text for r in S.redact_secrets(df.coalesce(1)).collect()]
+    assert not any(part in t for t in out[:3] for part in ("Zx81kQ", "pL55a9", "tail")) and out[3] == texts[3]
+    assert out[0] == 'K = "[secret]"\nclient_credential = [secret]\ncolor = K\n'
+    found = [r.spans for r in S.scan(df.coalesce(1)).collect()]
+    assert found[0] == "lex:5:17,lex:39:40" and found[3] == ""
