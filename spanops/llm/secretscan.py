@@ -2,7 +2,7 @@
 
 Three base patterns are searched as plain matches. On top of them the text is lexed into name-literal pairs as
 configuration files and source code write them (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-``export NAME=x``). Constants are propagated: a right side that names an earlier constant, or joins literals and constants
+``export NAME=x``, ``--name=x``, ``c["name"] = "x"``, ``name: type = "x"``). Constants are propagated: a right side that names an earlier constant, or joins literals and constants
 with ``+``, stands for their value. A literal is scored by how sensitive its target name is and how random it looks; a
 score of at least ``MIN_SCORE`` adds a span of kind ``lex``, unless a base span already covers the literal. Where the right side
 names constants, the literals that were assigned to them get spans too: it is they that hold the secret.
@@ -35,17 +35,22 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
+# A name runs to its end at once, so that long ones cost no more than their length.
+_TYPE = r"[&*]?(?:'\w+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][\w.]*+(?:\[[^\n=]{0,80}\]|<[^\n=]{0,80}>)?[?!]?"
 _PAIR = re.compile(
-    r"(?<![\w.-])[\"']?([A-Za-z_][\w.-]{0,63})[\"']?[ \t]*(?::=|=>|=(?!=)|:(?!//|:))[ \t]*"
+    r"(?<![\w.-])-*+[\"']?([A-Za-z_][\w.-]*+)[\"']?(?:[ \t]*\])?"
+    rf"(?:[ \t]*:[ \t]*({_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*)(?=[ \t]*=(?![=>])))?"
+    r"[ \t]*(?::=|=>|=(?!=)|:(?!//|:))[ \t]*"
     r"((?:\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[A-Za-z_]\w*|[A-Za-z0-9+/_.=-]+)"
     r"(?:[ \t]*\+[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_]\w*))*)"
 )
 _TERM = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([A-Za-z0-9/_.=-][A-Za-z0-9+/_.=-]*)")
+_PLAIN = re.compile(r"[A-Za-z_]\w*")
 # How strongly a target name says that its value is secret.
 _SENSITIVE = (
-    (re.compile(r"passw|passwd|pwd|secret|private_?key|credential", re.I), 1.0),
-    (re.compile(r"api_?key|access_?key|auth_?key|signing_?key|token|bearer", re.I), 0.9),
-    (re.compile(r"auth|salt|cert|session_?id|conn(ection)?_?str", re.I), 0.5),
+    (re.compile(r"passw|passwd|pwd|secret|private[_.-]?key|credential", re.I), 1.0),
+    (re.compile(r"api[_.-]?key|access[_.-]?key|auth[_.-]?key|signing[_.-]?key|token|bearer", re.I), 0.9),
+    (re.compile(r"auth|salt|cert|session[_.-]?id|conn(ection)?[_.-]?str", re.I), 0.5),
 )
 _PLACEHOLDER = re.compile(r"^(?:<.*>|\$\{?.*\}?|x+|\*+|your.*|example.*|changeme|none|null|true|false|test)$", re.I)
 
@@ -91,17 +96,26 @@ def pairs(text: str) -> list[tuple[str, str, int, int, tuple[tuple[int, int], ..
     """
     known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     out = []
-    for m in _PAIR.finditer(text):
+
+    def assign(name: str, start: int, end: int) -> None:
         parts = []
-        for term in _TERM.finditer(m[2]):
+        for term in _TERM.finditer(text, start, end):
             group = term.lastindex
-            here = (m.start(2) + term.start(group), m.start(2) + term.end(group))
             constant = known.get(term[4]) if group == 4 else None
-            parts.append(constant or (term[group], (here,)))
+            parts.append(constant or (term[group], (term.span(group),)))
         value = "".join(part for part, _ in parts)
         literals = tuple(dict.fromkeys(x for _, of in parts for x in of if x[0] < x[1]))
-        known[m[1]] = value, literals
-        out.append((m[1], value, m.start(2), m.end(2), literals))
+        known[name] = value, literals
+        out.append((name, value, start, end, literals))
+
+    for m in _PAIR.finditer(text):
+        if m[2]:
+            # ``a: b = c`` may declare a of type b, or be a key over an assignment to b: all its readings count.
+            plain = _PLAIN.match(text, m.start(2), m.end(2))
+            if plain:
+                assign(m[1], *plain.span())
+            assign(m[2], m.start(3), m.end(3))
+        assign(m[1], m.start(3), m.end(3))
     return out
 
 

@@ -88,3 +88,24 @@ def test_literals_of_constants_are_masked(spark):
     assert out[0] == 'K = "[secret]"\nclient_credential = [secret]\ncolor = K\n'
     found = [r.spans for r in S.scan(df.coalesce(1)).collect()]
     assert found[0] == "lex:5:17,lex:39:40" and found[3] == ""
+
+
+FORMS = [
+    'pwd: str = "S3cr3tW0rd99"', 'const pwd: string = "S3cr3tW0rd99";', 'val pwd: String = "S3cr3tW0rd99"', 'pwd: str="S3cr3tW0rd99"',
+    'password: string = "S3cr3tW0rd99"', 'pwd: Optional[str] = "S3cr3tW0rd99"', 'pwd: str | None = "S3cr3tW0rd99"',
+    'let pwd: &\'static str = "S3cr3tW0rd99";', 'db: pwd = "S3cr3tW0rd99"', f"{'service.database.' * 8}pwd=S3cr3tW0rd99",
+    f"{'service.database.' * 8}private-key: S3cr3tW0rd99", "run --pwd=S3cr3tW0rd99 now", "--private-key=S3cr3tW0rd99",
+    'config["pwd"] = "S3cr3tW0rd99"', "config['db']['pwd']='S3cr3tW0rd99'", 'config[ "pwd" ] = "S3cr3tW0rd99"',
+    'K: str = "S3cr3tW0rd99"\nclient_credential: str = K',
+]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_forms_of_assignments(text):
+    found = S.secret_spans(text)
+    assert "S3cr3tW0rd99" not in S.redact(text, found) and "S3cr3tW0rd99" in [text[a:b] for a, _, b in found]
+
+
+def test_types_and_long_runs_are_left_alone():
+    for text in ('pwd: string = "x"', "size: int = 12", 'color: str = "S3cr3tW0rd99"', "-" * 100_000, "a." * 100_000, "a: b " * 20_000, "a[" * 50_000):
+        assert S.secret_spans(text) == []
