@@ -232,7 +232,7 @@ def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, ord
 
 
 def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> DataFrame:
-    """``k_id, k_hash, n_shingles, component_id, n_links`` of every row; links join documents of similarity >= pct %."""
+    """``k_id, k_hash, n_shingles, component_id, comp`` of every row (``comp``: key of its class, null without words); links join documents of similarity >= pct %."""
     spark: SparkSession = common.prepare(docs.sparkSession)
     source = common.keyed(docs)
     nodes = materialize(common.map_arrow(source, partial(_nodes, size), "k_id long, k_hash long, n long, node long, " + ", ".join(f"{p} long" for p in _PARITY)), "nodes")
@@ -278,7 +278,8 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> Dat
     placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.where("node is not null").groupBy("comp").agg(F.min(F.when(F.col("k_id") != common.NULL_ID, F.col("k_id"))).alias("low"))
     return placed.join(lowest, "comp", "left").select(
-        "k_id", "k_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), common.shown_id()).otherwise(F.col("low")).alias("component_id")
+        "k_id", "k_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), common.shown_id()).otherwise(F.col("low")).alias("component_id"),
+        "comp",
     )
 
 
@@ -290,10 +291,14 @@ def link_classes(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE
 def keep_one(docs: DataFrame, pct: int = 80, size: int = 5) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id; all columns of ``docs``.
 
+    Null ids come last, and of different texts with the same id the one with the smallest hash stays.
+
     Documents without words link with nothing and stay. Of rows with the same id and text one stays.
     """
-    classes = join(docs, pct, size)
-    kept = classes.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("k_id"))).select("k_id", "k_hash").distinct()
+    classes = join(docs, pct, size).select("k_id", "k_hash", "comp")
+    null_last = F.struct((F.col("k_id") == common.NULL_ID).alias("no_id"), "k_id", "k_hash")
+    first = classes.where("comp is not null").groupBy("comp").agg(F.min(null_last).alias("k")).select("k.k_id", "k.k_hash")
+    kept = classes.where("comp is null").select("k_id", "k_hash").distinct().union(first)
     k_id, k_hash = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("r")
     rows = docs.select(k_id.alias("k_id"), k_hash.alias("k_hash"), row).join(kept, ["k_id", "k_hash"])

@@ -113,3 +113,13 @@ def test_empty_table(spark):
 def test_set_hash_ignores_order_of_words_in_text(spark):
     h = common.WordHashes()
     assert partenum.set_hash(partenum.shingles("A b c d", 3, h)) == partenum.set_hash(partenum.shingles("a B c d", 3, h))
+
+
+def test_one_document_stays_of_classes_with_null_or_equal_ids(spark):
+    common_part = " ".join(f"w{k}" for k in range(200))
+    other = " ".join(f"v{k}" for k in range(200))
+    rows = [(None, f"{common_part} a"), (None, f"{common_part} b"), (7, f"{other} a"), (7, f"{other} b"), (None, f"{other} c"), (None, ""), (None, None), (8, " ")]
+    kept = [(r.doc_id, r.text) for r in partenum.keep_one(frames.docs(spark, rows)).collect()]
+    assert sum(common_part in (t or "") for _, t in kept) == 1
+    assert [i for i, t in kept if other in (t or "")] == [7]
+    assert len(kept) == 4 and (8, " ") in kept
