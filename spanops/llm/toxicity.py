@@ -189,7 +189,7 @@ class Words(dict):
         if inner.isalpha() and core[:1] not in IMITATED and core[-1:] not in "$@" and not _REPEAT.search(inner):
             return inner
         if _MIXED.match(core) or _REPEAT.search(core) or _JOINED.search(core):
-            return restore(core.strip(".,;:?\"')"), self.costs)
+            return restore(core.lstrip(".,;:?\"'").rstrip(".,;:?!\"'"), self.costs)
         return inner
 
     def buckets(self, plain: str) -> tuple[int, ...]:
