@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import over, register, spans
+from checks.registry import ORACLES, over, register, spans
 from checks.reports import (
     BASE, BURN_SQL, DAY, ERROR_RATE_SQL, OUTCOME_SQL, TIERED, TRAFFIC_SQL, _budget_select, _drift_sql,
 )
@@ -13,14 +13,28 @@ from spanops import schema as S
 from spanops.functions.predicates import select_spans
 from spanops.functions.scalars import bucket_start
 from spanops.session import scratch_path
-from spanops.streaming import aggregates, ingest, joins
-from spanops.streaming.run import run_available
+from spanops.streaming import aggregates, ingest, joins, panes, workflows
+from spanops.streaming.run import run_available, stream_parquet
 
 
 def _spans(spark, sf_dir):
     return views.spans(views.stream(spark, sf_dir, "events"))
 
 
+def _with_closing(spark, sf_dir, kind, key, column, build, after: str = "60 days"):
+    """The view that ``build`` makes of a table's stream, with one more row long after all others.
+
+    That row repeats the newest one under a key of its own; it moves the watermark past every window and timer, and stays open itself.
+    """
+    table = views.table(spark, sf_dir, kind)
+    last = table.orderBy(F.desc(column), *table.columns).limit(1)
+    last = last.withColumn(column, F.col(column) + F.expr(f"INTERVAL {after}")).withColumn(key, F.lit(-1).cast("bigint"))
+    path = scratch_path(spark, "closing")
+    build(last).limit(1).write.parquet(path)
+    stream = build(views.stream(spark, sf_dir, kind))
+    return stream.unionByName(stream_parquet(spark, path, build(last).schema).select(*stream.columns))
+
+
 @register("st_ingest", over("spans", body="""
 SELECT timestamp, trace_id, span_id, name, duration_nano, has_error, tier AS customer_tier, CAST(timestamp AS DATE)::VARCHAR AS day FROM spans"""))
 def st_ingest(spark, sf_dir):
@@ -131,3 +145,52 @@ SELECT trace_id, tier, spans, status, total_charged, fraud_score, shipping_eta,
 def st_workflow_outcome(spark, sf_dir):
     stream = views.workflow_spans(views.stream(spark, sf_dir, "orders"))
     return run_available(joins.st_workflow_outcome(stream))
+
+
+@register("st_workflow_close", over("workflow", body=OUTCOME_SQL + """
+, shipped AS (SELECT trace_id, max(timestamp) FILTER (WHERE place = 5 AND NOT has_error) AS shipped_at FROM spans GROUP BY 1)
+SELECT trace_id, tier, spans, status, total_charged, fraud_score, shipping_eta, 1 AS revision,
+  CASE WHEN status = 'completed' THEN shipped_at + INTERVAL 30 SECOND ELSE last_at + INTERVAL 10 MINUTE END AS closed_at
+FROM outcome JOIN shipped USING (trace_id)"""))
+def st_workflow_close(spark, sf_dir):
+    """Every workflow is closed; one row long after the others moves the watermark."""
+    workflows.use_state_store(spark)
+    stream = _with_closing(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", views.workflow_spans)
+    return run_available(workflows.st_workflow_close(stream), "append")
+
+
+@register("st_sliding_budget_panes", ORACLES["st_sliding_budget"])
+def st_sliding_budget_panes(spark, sf_dir):
+    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans)
+    return run_available(panes.budget_panes(stream, window="7 days", slide="1 day"), "append")
+
+
+@register("st_anomaly_panes", ORACLES["st_anomaly"])
+def st_anomaly_panes(spark, sf_dir):
+    """With sketches large enough to be exact on the given tables."""
+    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans)
+    return run_available(panes.anomaly_panes(stream, window="7 days", slide="1 day", sketch_k=32768), "append")
+
+
+_LAST_DAY = "(SELECT max(time_bucket(INTERVAL '1 day', timestamp)) + INTERVAL 1 DAY FROM spans)"
+
+
+@register("st_drift_view", over("spans", body=f"""
+, fleet AS (SELECT quantile_disc(duration_nano, 0.99) / 1000000 AS g FROM spans WHERE {BASE} AND timestamp >= {_LAST_DAY} - INTERVAL 28 DAY),
+live AS (
+  SELECT tier, count(*) AS total_spans, round(quantile_disc(duration_nano, 0.99) / 1000000, 2) AS p99_ms,
+    round(count(*) FILTER (WHERE has_error) * CAST(100 AS DOUBLE) / count(*), 2) AS error_rate_pct
+  FROM spans WHERE {TIERED} AND timestamp >= {_LAST_DAY} - INTERVAL 7 DAY GROUP BY tier HAVING count(*) >= 5),
+compared AS (SELECT *, (p99_ms - g) / nullif(g, 0) AS drift FROM live, fleet)
+SELECT {_LAST_DAY} AS as_of, tier, p99_ms, round(g, 2) AS baseline_p99_ms, round(drift * 100, 1) AS drift_pct, error_rate_pct, total_spans,
+  CASE WHEN drift > 1.0 THEN 'CRITICAL' WHEN drift > 0.5 THEN 'DRIFTING' WHEN drift > 0.1 THEN 'ELEVATED'
+    WHEN drift < -0.1 THEN 'UNDER-BASELINE' ELSE 'HEALTHY' END AS status
+FROM compared"""))
+def st_drift_view(spark, sf_dir):
+    """Panes of a day; sketches large enough to be exact on the given tables."""
+    store, report = scratch_path(spark, "panes"), scratch_path(spark, "drift-view")
+    panes.st_drift_view(
+        _spans(spark, sf_dir), store, report, scratch_path(spark, "state"), every=None, pane="1 day", live="7 days", baseline="28 days",
+        sketch_k=65535,
+    ).awaitTermination()
+    return spark.read.parquet(report)
