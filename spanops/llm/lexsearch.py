@@ -36,8 +36,8 @@ TOP = 10
 # Length normalisation: m = 100 - B + B * n * N / L, in percent of the mean length.
 B = 75
 # A shard ends at whichever bound comes first; the last is in postings.
-SHARD_DOCS = 1 << 16
-SHARD_POSTINGS = 1 << 22
+SHARD_DOCS = 1 << 15
+SHARD_POSTINGS = 1 << 20
 # Documents of one range, and the share of a shard's documents up to which a list counts as short.
 RANGE = 1 << 10
 SHORT_SHARE = 64
