@@ -349,6 +349,50 @@ def metric_histogram_quantile(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
+@register("metric_histogram_mixed", over("metrics", body="""
+, laid AS (SELECT time_bucket(INTERVAL '1 day', timestamp) AS ts, serviceName, latency,
+    CASE WHEN event_type IN ('view', 'click') THEN [40, 200, 800] ELSE [50, 100, 250, 500, 1000] END AS bounds FROM metric_points),
+b AS (SELECT *, CAST(latency > bounds[1] AS INTEGER) + CAST(latency > bounds[2] AS INTEGER) + CAST(latency > bounds[3] AS INTEGER)
+    + CAST(coalesce(latency > bounds[4], false) AS INTEGER) + CAST(coalesce(latency > bounds[5], false) AS INTEGER) AS i FROM laid),
+pieces AS (SELECT ts, serviceName, coalesce(bounds[i], 0) AS lo, bounds[i + 1] AS hi, count(*) AS n FROM b GROUP BY ALL),
+total AS (SELECT ts, serviceName, CAST(sum(n) AS BIGINT) AS count FROM pieces GROUP BY ALL),
+grid AS (SELECT DISTINCT ts, serviceName, x FROM (SELECT ts, serviceName, lo AS x FROM pieces UNION ALL SELECT ts, serviceName, hi FROM pieces WHERE hi IS NOT NULL)),
+f AS (SELECT ts, serviceName, x,
+    sum(CASE WHEN hi IS NULL THEN CASE WHEN x > lo THEN n ELSE 0 END ELSE n * least(1, greatest(0, (x - lo) / CAST(hi - lo AS DOUBLE))) END) AS below,
+    sum(CASE WHEN hi IS NULL THEN CASE WHEN x >= lo THEN n ELSE 0 END ELSE n * least(1, greatest(0, (x - lo) / CAST(hi - lo AS DOUBLE))) END) AS upto
+  FROM grid JOIN pieces USING (ts, serviceName) GROUP BY ALL),
+s AS (SELECT *, lead(x) OVER w AS nx, lead(below) OVER w AS nb FROM f WINDOW w AS (PARTITION BY ts, serviceName ORDER BY x)),
+q AS (SELECT unnest([0.5, 0.9, 0.99]) AS q),
+v AS (SELECT ts, serviceName, q, count, x, CASE WHEN upto >= q * count - count * 1e-9 THEN CAST(x AS DOUBLE)
+      ELSE x + (nx - x) * least(1, (q * count - upto) / (nb - upto)) END AS value
+    FROM s JOIN total USING (ts, serviceName), q WHERE below < q * count - count * 1e-9 AND (upto >= q * count - count * 1e-9 OR nb >= q * count - count * 1e-9)),
+r AS (SELECT ts, serviceName, q, count, arg_min(value, x) AS value FROM v GROUP BY ALL)
+SELECT ts, serviceName, max(count) AS count, round(max(value) FILTER (WHERE q = 0.5), 4) AS p50, round(max(value) FILTER (WHERE q = 0.9), 4) AS p90,
+  round(max(value) FILTER (WHERE q = 0.99), 4) AS p99 FROM r GROUP BY ts, serviceName"""))
+def metric_histogram_mixed(spark, sf_dir):
+    """Some series have other bounds than the rest of their group."""
+    wide, narrow = (40.0, 200.0, 800.0), tuple(float(b) for b in views.BOUNDS)
+    latency = F.col("sum")  # one observation per point
+
+    def counts(bounds):
+        edges = [None, *bounds, None]
+        inside = [
+            (F.lit(True) if low is None else latency > low) & (F.lit(True) if high is None else latency <= high)
+            for low, high in zip(edges, edges[1:])
+        ]
+        return F.array(*[F.lit(float(b)) for b in bounds]), F.array(*[x.cast("long") for x in inside])
+
+    other = F.col("attributes")["event.type"].isin("view", "click")
+    points = metric_points(spark, sf_dir).where("metric_type = 'histogram'")
+    points = points.withColumn("bucket_bounds", F.when(other, counts(wide)[0]).otherwise(counts(narrow)[0]))
+    points = points.withColumn("bucket_counts", F.when(other, counts(wide)[1]).otherwise(counts(narrow)[1]))
+    out = None
+    for name, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
+        part = metrics.metric_histogram_quantile(points, "request.latency", q, step="1 day").withColumn(name, F.round("value", 4)).drop("value")
+        out = part if out is None else out.join(part, ["ts", "serviceName", "count"])
+    return out
+
+
 @register("list_metrics", over("metrics", body="""
 , s AS (SELECT count(DISTINCT (serviceName, event_type)) AS series, count(*) AS points FROM metric_points)
 SELECT 'orders.processed' AS metric_name, 'sum' AS metric_type, 'cumulative' AS temporality, series, points FROM s

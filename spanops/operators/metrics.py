@@ -24,19 +24,27 @@ def _delta() -> Column:
     return F.lower(F.coalesce("temporality", F.lit(""))) == "delta"
 
 
-def histogram_counts(points: DataFrame) -> DataFrame:
+def histogram_counts(points: DataFrame, piece: str = "1 minute") -> DataFrame:
     """Histogram points whose ``bucket_counts`` are counts of their own interval.
 
     Cumulative points become differences to the point before of the same series and bounds. The first is the base and counts
-    nothing; where a count falls the series was reset, and the new counts count in full.
+    nothing; where a count falls the series was reset, and the new counts count in full. Points are compared within short pieces of
+    a series, and the first of a piece with the last of the piece before, so a series with very many points is spread over tasks.
     """
     cumulative = F.lower(F.coalesce("temporality", F.lit(""))) == "cumulative"
-    along = Window.partitionBy("_series", "bucket_bounds").orderBy("timestamp")
-    chained = points.where(cumulative).withColumn("_series", _series(points)).withColumn("_before", F.lag("bucket_counts").over(along))
+    part = ["_series", "bucket_bounds", "_piece"]
+    inside = Window.partitionBy(*part).orderBy("timestamp")
+    rows = points.where(cumulative).withColumn("_series", _series(points))
+    rows = rows.withColumn("_piece", F.window("timestamp", piece).getField("start"))
+    chained = rows.withColumn("_inside", F.lag("bucket_counts").over(inside))
+    ends = rows.groupBy(*part).agg(F.max_by("bucket_counts", "timestamp").alias("_last"))
+    along = Window.partitionBy("_series", "bucket_bounds").orderBy("_piece")
+    prior = ends.withColumn("_prior", F.lag("_last").over(along)).drop("_last")
+    chained = chained.join(prior, part).withColumn("_before", F.coalesce("_inside", "_prior"))
     reset = F.exists(F.arrays_zip(F.col("bucket_counts").alias("now"), F.col("_before").alias("old")), lambda x: x["now"] < x["old"])
     differences = F.zip_with("bucket_counts", "_before", lambda a, b: a - b)
     own = F.when(reset, F.col("bucket_counts")).otherwise(differences)
-    counted = chained.where(F.col("_before").isNotNull()).withColumn("bucket_counts", own).drop("_series", "_before")
+    counted = chained.where(F.col("_before").isNotNull()).withColumn("bucket_counts", own).select(*points.columns)
     return points.where(~cumulative).unionByName(counted)
 
 
@@ -114,6 +122,47 @@ def metric_formula(series: Mapping[str, DataFrame], formula: str, *, keys: Seque
     return out.select(*keys, F.expr(formula).alias("value")).orderBy(*keys)
 
 
+# Share of a group's count below which two cumulative counts are the same number.
+_EQUAL = 1e-9
+
+
+def _distribution(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cumulative counts of each group on all bounds that occur in it, whatever the layouts of its histograms.
+
+    A bucket's count rises evenly from its lower to its upper bound (0 stands below the first, unless that is negative); what lies
+    beyond the last bound counts at that bound. So every bucket changes the slope at its two ends, and the counts at the bounds follow
+    from the slopes so far; layouts are never paired. Columns: ``x``, ``below`` (count before x), ``upto`` (with what counts at x),
+    ``next_x`` and ``next_below``, and ``n`` of the whole group. One row per bound and group enters the windows.
+    """
+    opened = rows.groupBy(*keys, "bucket_bounds", "pos").agg(F.sum("col").alias("rows")).where("rows > 0")
+    upper = F.get("bucket_bounds", F.col("pos"))
+    first = F.least(F.lit(0.0), F.get("bucket_bounds", F.lit(0)))
+    lower = F.when(F.col("pos") > 0, F.get("bucket_bounds", F.col("pos") - 1)).otherwise(F.coalesce(first, F.lit(0.0)))
+    pieces = opened.select(*keys, lower.alias("lower"), upper.alias("upper"), F.col("rows").cast("double").alias("rows"))
+    flat = F.col("upper").isNull() | (F.col("upper") <= F.col("lower"))
+    slope = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.col("rows"), F.col("upper") - F.col("lower")))
+    at = F.when(F.col("upper").isNull(), F.col("lower")).otherwise(F.greatest("lower", "upper"))
+
+    def event(x: Column, bend: Column, jump: Column, count: Column) -> Column:
+        return F.struct(x.alias("x"), bend.alias("bend"), jump.alias("jump"), count.alias("count"))
+
+    none = F.lit(0.0)
+    jump = F.when(flat, F.col("rows")).otherwise(none)
+    events = F.array(event(F.col("lower"), slope, none, none), event(at, -slope, jump, F.col("rows")))
+    bends = pieces.select(*keys, F.explode(events).alias("e")).groupBy(*keys, "e.x").agg(
+        F.sum("e.bend").alias("bend"), F.sum("e.jump").alias("jump"), F.sum("e.count").alias("count")
+    )
+    group = Window.partitionBy(*keys)
+    along = group.orderBy("x")
+    upto, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    sloped = bends.withColumn("slope", F.sum("bend").over(upto)).withColumn("next_x", F.lead("x").over(along))
+    area = F.coalesce(F.greatest(F.col("slope"), none) * (F.col("next_x") - F.col("x")), none)
+    grown = sloped.withColumn("area", area)
+    below = F.coalesce(F.sum(F.col("area") + F.col("jump")).over(before), none)
+    counted = grown.withColumn("below", below).withColumn("upto", F.col("below") + F.col("jump"))
+    return counted.select(*keys, "x", "below", "upto", "next_x", (F.col("upto") + F.col("area")).alias("next_below"), F.sum("count").over(group).alias("n"))
+
+
 def metric_histogram_quantile(
     points: DataFrame,
     metric: str,
@@ -122,35 +171,28 @@ def metric_histogram_quantile(
     step: str = "1 minute",
     group_by: Sequence[str] = ("serviceName",),
 ) -> DataFrame:
-    """Quantile from explicit-bucket histograms: counts summed per bound, then interpolated in its bucket.
+    """Quantile from explicit-bucket histograms: cumulative counts on the common refinement of all bounds, interpolated.
 
-    Values beyond the last bound are reported as that bound. One row per bound enters the window. Cumulative points count by
-    their differences.
+    Values beyond a histogram's last bound count as that bound. Histograms of different bounds add up, so quantiles never fall as
+    ``quantile`` rises. Cumulative points count by their differences.
     """
     rows = histogram_counts(points.where((F.col("metric_name") == metric) & F.col("bucket_counts").isNotNull()))
     names = [name.replace(".", "_") for name in group_by]
     keys = [(F.col(g) if g == "serviceName" else F.col("attributes")[g]).alias(n) for g, n in zip(group_by, names)]
-    opened = rows.select(
-        F.window("timestamp", step).getField("start").alias("ts"), *keys, "bucket_bounds", F.posexplode("bucket_counts")
-    ).select(
-        "ts",
-        *names,
-        F.get("bucket_bounds", F.col("pos")).alias("upper"),
-        F.when(F.col("pos") > 0, F.get("bucket_bounds", F.col("pos") - 1)).otherwise(F.lit(0.0)).alias("lower"),
-        F.col("col").alias("rows"),
-    )
-    bounds = opened.groupBy("ts", *names, "lower", "upper").agg(F.sum("rows").alias("rows"))
-    group = Window.partitionBy("ts", *names)
-    upto = group.orderBy("lower", F.asc_nulls_last("upper")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = bounds.withColumn("_upto", F.sum("rows").over(upto)).withColumn("_n", F.sum("rows").over(group))
-    wanted = F.lit(float(quantile)) * F.col("_n")
-    before = F.col("_upto") - F.col("rows")
-    holds = (F.col("rows") > 0) & (before < wanted) & (wanted <= F.col("_upto"))
-    lowest = (F.lit(float(quantile)) == 0) & (F.col("rows") > 0) & (before == 0)
-    inside = F.col("lower") + (F.col("upper") - F.col("lower")) * ratio(wanted - before, F.col("rows"))
-    value = F.when(F.col("upper").isNull(), F.col("lower")).otherwise(inside)
-    out = placed.where(holds | lowest).select("ts", *names, F.col("_n").alias("count"), value.alias("value"))
-    return out.orderBy("ts", *names)
+    opened = rows.select(F.window("timestamp", step).getField("start").alias("ts"), *keys, "bucket_bounds", F.posexplode("bucket_counts"))
+    placed = _distribution(opened, ["ts", *names])
+    wanted = F.lit(float(quantile)) * F.col("n")
+    if quantile > 0:
+        short = lambda c: F.col(c) < wanted - F.col("n") * _EQUAL
+        holds = short("below") & (~short("upto") | ~short("next_below"))
+        inside = F.col("x") + (F.col("next_x") - F.col("x")) * F.least(F.lit(1.0), ratio(wanted - F.col("upto"), F.col("next_below") - F.col("upto")))
+        value = F.when(~short("upto"), F.col("x")).otherwise(inside)
+        held = placed.where(holds | (short("upto") & ~short("next_below")))
+    else:
+        value = F.col("x")
+        held = placed.where((F.col("below") == 0) & (F.col("next_below") > 0))
+    out = held.groupBy("ts", *names).agg(F.min_by(value, "x").alias("value"), F.max("n").cast("long").alias("count"))
+    return out.select("ts", *names, "count", "value").orderBy("ts", *names)
 
 
 def list_metrics(points: DataFrame) -> DataFrame:
