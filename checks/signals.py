@@ -123,6 +123,63 @@ def ingest_otlp_json(spark, sf_dir):
     )
 
 
+@register("ingest_otlp_nested", over("spans", body="""
+SELECT span_id, trace_id, user_id AS user_number, event_type || '|' || name AS tags, value AS nested_value, event_id % 3 = 0 AS nested_flag,
+  event_type AS nested_kind, event_id || '|' || (event_id + 1) AS deep, 'AQID' AS raw, '["' || event_type || '","' || name || '"]' AS tags_text
+FROM spans"""))
+def ingest_otlp_nested(spark, sf_dir):
+    """Lists, maps and bytes as attributes: as VARIANT, and as text among the string attributes."""
+    known = spans(spark, sf_dir).selectExpr("*", "cast(substring(span_id, 2) AS bigint) AS event_id")
+    rows = known.join(views.table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type"), "event_id")
+    text = lambda c: f"named_struct('stringValue', {c})"
+    number = lambda c: f"named_struct('intValue', cast({c} AS string))"
+    entry = lambda key, value: f"concat('{{\"key\":\"{key}\",\"value\":', to_json({value}), '}}')"
+    listed = lambda *values: "concat('{\"arrayValue\":{\"values\":[', concat_ws(',', " + ", ".join(f"to_json({v})" for v in values) + "), ']}}')"
+    mapped = (
+        "concat('{\"kvlistValue\":{\"values\":[', concat_ws(',', "
+        + ", ".join([entry("value", "named_struct('doubleValue', value)"), entry("flag", "named_struct('boolValue', event_id % 3 = 0)"), entry("kind", text("event_type"))])
+        + ", concat('{\"key\":\"deep\",\"value\":', " + listed(number("event_id"), number("event_id + 1")) + ", '}')), ']}}')"
+    )
+    attributes = (
+        "concat_ws(',', " + entry("user.number", number("user_id"))
+        + ", concat('{\"key\":\"tags\",\"value\":', " + listed(text("event_type"), text("name")) + ", '}')"
+        + ", concat('{\"key\":\"order\",\"value\":', " + mapped + ", '}')"
+        + ", " + entry("raw", "named_struct('bytesValue', 'AQID')") + ")"
+    )
+    line = (
+        "concat('{\"resourceSpans\":[{\"scopeSpans\":[{\"spans\":[{\"traceId\":\"', trace_id, '\",\"spanId\":\"', span_id, "
+        f"'\",\"startTimeUnixNano\":\"1704067200000000000\",\"attributes\":[', {attributes}, ']}}]}}]}}]}}') AS value"
+    )
+    parsed = otlp.parse_otlp(rows.selectExpr(line), "traces", nested=True)
+    return parsed.selectExpr(
+        "span_id", "trace_id", "variant_get(attributes, '$[\"user.number\"]', 'bigint') AS user_number",
+        "array_join(variant_get(attributes, '$.tags', 'array<string>'), '|') AS tags", "variant_get(attributes, '$.order.value', 'double') AS nested_value",
+        "variant_get(attributes, '$.order.flag', 'boolean') AS nested_flag", "variant_get(attributes, '$.order.kind', 'string') AS nested_kind",
+        "array_join(variant_get(attributes, '$.order.deep', 'array<string>'), '|') AS deep", "variant_get(attributes, '$.raw', 'string') AS raw",
+        "attributes_string['tags'] AS tags_text",
+    )
+
+
+@register("ingest_otlp_rejects", over("spans", body="""
+SELECT CASE WHEN event_id % 50 = 3 THEN '{"resourceSpans": [{bad ' || event_id WHEN event_id % 50 = 17 THEN '{"resourceLogs":[],"n":' || event_id || '}'
+    ELSE '[' || event_id || ']' END AS line,
+  CASE WHEN event_id % 50 = 3 THEN 'malformed' WHEN event_id % 50 = 17 THEN 'no resourceSpans' ELSE 'malformed' END AS reason, NULL AS span_id
+FROM spans WHERE event_id % 50 IN (3, 17, 29)
+UNION ALL SELECT NULL, NULL, span_id FROM spans WHERE event_id % 50 NOT IN (3, 17, 29)"""))
+def ingest_otlp_rejects(spark, sf_dir):
+    """Every line of an export is a record or a reject: cut lines, other signals, other JSON."""
+    line = (
+        "CASE event_id % 50 WHEN 3 THEN concat('{\"resourceSpans\": [{bad ', event_id) "
+        "WHEN 17 THEN concat('{\"resourceLogs\":[],\"n\":', event_id, '}') WHEN 29 THEN concat('[', event_id, ']') "
+        "ELSE concat('{\"resourceSpans\":[{\"scopeSpans\":[{\"spans\":[{\"spanId\":\"s', event_id, '\",\"startTimeUnixNano\":\"1\"}]}]}]}') END"
+    )
+    path = scratch_path(spark, "export")
+    views.table(spark, sf_dir, "events").selectExpr(f"{line} AS value").write.text(path)
+    records, rejects = otlp.read_otlp(spark, path, "traces")
+    none = F.lit(None).cast("string")
+    return rejects.select("line", "reason", none.alias("span_id")).unionByName(records.select(none.alias("line"), none.alias("reason"), "span_id"))
+
+
 @register("ingest_otlp_logs", over("spans", "logs", body="""
 SELECT timestamp, trace_id, span_id, severity_text, body, serviceName, 'production' AS environment FROM logs"""))
 def ingest_otlp_logs(spark, sf_dir):

@@ -2,6 +2,10 @@
 
 One line of a file is one export request; requests nest resource, scope and record. 64-bit numbers
 arrive as text in this format, so they are declared as strings and cast; text that is no number gives NULL.
+
+Values may also be lists, maps and bytes, and log bodies any value. They are read as VARIANT: with ``nested`` all attributes come as
+one VARIANT object, and a log's body as VARIANT too; without, lists and maps stand among the string attributes as JSON text.
+Lines that are no request are no records; ``split_otlp`` returns them, and records without a time, with the reason.
 """
 
 from __future__ import annotations
@@ -14,7 +18,12 @@ from spanops import schema as S
 from spanops.functions.scalars import resource_upsert
 from spanops.sources.tables import with_bucket_start
 
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+_VALUE = (
+    "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,"
+    "arrayValue:variant,kvlistValue:variant>"
+)
+# Values nested deeper than this stay as they were written.
+MAX_DEPTH = 4
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 _RESOURCE = f"struct<attributes:{_ATTRIBUTES}>"
 
@@ -23,7 +32,7 @@ _SPAN = (
     f"endTimeUnixNano:string,attributes:{_ATTRIBUTES},status:struct<code:string>>"
 )
 _LOG = (
-    "struct<timeUnixNano:string,severityNumber:int,severityText:string,body:struct<stringValue:string>,"
+    f"struct<timeUnixNano:string,severityNumber:int,severityText:string,body:{_VALUE},"
     f"attributes:{_ATTRIBUTES},traceId:string,spanId:string>"
 )
 _NUMBER_POINT = f"struct<attributes:{_ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string>"
@@ -71,21 +80,83 @@ def _time(nanos: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", nanos.try_cast("long"), F.lit(1000)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _attribute_map(attributes: Column, pick: Callable[[Column], Column]) -> Column:
     """Map of the attributes that have a value of one type; the last of equal keys wins."""
-    typed = F.filter(attributes, lambda a: pick(a["value"]).isNotNull())
-    pairs = F.transform(typed, lambda a: F.struct(a["key"].alias("key"), pick(a["value"]).alias("value")))
-    keys = F.transform(typed, lambda a: a["key"])
+    picked = F.transform(attributes, lambda a: F.struct(a["key"].alias("key"), pick(a["value"]).alias("value")))
+    pairs = F.filter(picked, lambda a: a["key"].isNotNull() & a["value"].isNotNull())
     # Repeated keys are rare; only then is every entry compared with the ones behind it.
-    last = F.filter(
-        pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda b: b["key"] == a["key"])
+    return _let(pairs, lambda p: F.map_from_entries(F.when(F.size(F.array_distinct(p["key"])) == F.size(p), p).otherwise(_last_of_key(p))))
+
+
+def _last_of_key(pairs: Column) -> Column:
+    return F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda b: b["key"] == a["key"]))
+
+
+def _get(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _object(entries: Column) -> Column:
+    """VARIANT object of (key, value) entries; the last of equal keys wins."""
+    return F.to_variant_object(_attribute_map(entries, lambda v: v))
+
+
+def _list_value(values: Column, depth: int) -> Column:
+    return F.to_variant_object(F.transform(values.cast("array<variant>"), lambda v: _plain(v, depth)))
+
+
+def _map_value(values: Column, depth: int) -> Column:
+    entry = lambda e: F.struct(_get(e, "$.key", "string").alias("key"), _plain(_get(e, "$.value", "variant"), depth).alias("value"))
+    return _object(F.filter(F.transform(values.cast("array<variant>"), entry), lambda e: e["key"].isNotNull()))
+
+
+def _plain(value: Column, depth: int) -> Column:
+    """A value that says its kind, as the bare value; lists and maps to the given depth."""
+    out = [
+        _get(value, "$.stringValue", "string").cast("variant"),
+        _get(value, "$.intValue", "string").try_cast("long").cast("variant"),
+        _get(value, "$.doubleValue", "double").cast("variant"),
+        _get(value, "$.boolValue", "boolean").cast("variant"),
+        _get(value, "$.bytesValue", "string").cast("variant"),
+    ]
+    if depth > 0:
+        out.append(_list_value(_get(value, "$.arrayValue.values", "variant"), depth - 1))
+        out.append(_map_value(_get(value, "$.kvlistValue.values", "variant"), depth - 1))
+    return F.coalesce(*out, value)
+
+
+def _nested(value: Column) -> Column:
+    """The list or map of a value as VARIANT; NULL for other kinds."""
+    return F.coalesce(
+        _list_value(_get(value["arrayValue"], "$.values", "variant"), MAX_DEPTH),
+        _map_value(_get(value["kvlistValue"], "$.values", "variant"), MAX_DEPTH),
     )
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.map_from_entries(F.when(unique, pairs).otherwise(last))
+
+
+def _any(value: Column) -> Column:
+    """A value of any kind as VARIANT."""
+    return F.coalesce(
+        value["stringValue"].cast("variant"),
+        value["intValue"].try_cast("long").cast("variant"),
+        value["doubleValue"].cast("variant"),
+        value["boolValue"].cast("variant"),
+        value["bytesValue"].cast("variant"),
+        _nested(value),
+    )
+
+
+def _text(value: Column) -> Column:
+    """Text, or bytes as they were written, or a list or map as JSON text."""
+    return F.coalesce(value["stringValue"], value["bytesValue"], F.to_json(_nested(value)))
 
 
 def _strings(attributes: Column) -> Column:
-    return _attribute_map(attributes, lambda v: v["stringValue"])
+    return _attribute_map(attributes, _text)
 
 
 def _numbers(attributes: Column) -> Column:
@@ -98,33 +169,34 @@ def _booleans(attributes: Column) -> Column:
 
 def _texts(attributes: Column) -> Column:
     """Any attribute as text, for metric labels."""
-    return _attribute_map(
-        attributes,
-        lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string")),
-    )
+    scalar = lambda v: F.coalesce(v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    return _attribute_map(attributes, lambda v: F.coalesce(v["stringValue"], scalar(v), _text(v)))
 
 
-def _records(requests: DataFrame, top: str, scope: str, records: str) -> DataFrame:
-    """One row per record with its resource attributes; empty levels yield none."""
+def _records(requests: DataFrame, top: str, scope: str, records: str, environment: str | None) -> DataFrame:
+    """One row per record with the map of its resource, which is built once per resource; empty levels yield none."""
     resources = requests.select(F.explode(top).alias("r"))
-    scopes = resources.select(
-        F.coalesce(F.col("r.resource.attributes"), F.array().cast(_ATTRIBUTES)).alias("ra"),
-        F.explode(F.col("r")[scope]).alias("s"),
-    )
-    return scopes.select("ra", F.explode(F.col("s")[records]).alias("x"))
+    attributes = F.coalesce(F.col("r.resource.attributes"), F.array().cast(_ATTRIBUTES))
+    scopes = resources.select(_upserted(attributes, environment).alias("resource"), F.col("r")[scope].alias("s"))
+    return scopes.select("resource", F.explode("s").alias("s")).select("resource", F.explode(F.col("s")[records]).alias("x"))
 
 
 def _list(column: str) -> Column:
     return F.coalesce(F.col(column), F.array().cast(_ATTRIBUTES))
 
 
-def _upserted(environment: str | None) -> Column:
-    resource = _strings(F.col("ra"))
+def _upserted(attributes: Column, environment: str | None) -> Column:
+    resource = _strings(attributes)
     return resource if environment is None else resource_upsert(resource, value=environment)
 
 
-def flatten_traces(requests: DataFrame, environment: str | None = "production") -> DataFrame:
-    x = _records(requests, "resourceSpans", "scopeSpans", "spans")
+def _all_attributes(nested: bool) -> list[Column]:
+    entries = F.transform(_list("x.attributes"), lambda a: F.struct(a["key"].alias("key"), _any(a["value"]).alias("value")))
+    return [_object(entries).alias("attributes")] if nested else []
+
+
+def flatten_traces(requests: DataFrame, environment: str | None = "production", nested: bool = False) -> DataFrame:
+    x = _records(requests, "resourceSpans", "scopeSpans", "spans", environment)
     start, end = F.col("x.startTimeUnixNano").try_cast("long"), F.col("x.endTimeUnixNano").try_cast("long")
     spans = x.select(
         _time(F.col("x.startTimeUnixNano")).alias("timestamp"),
@@ -138,35 +210,42 @@ def flatten_traces(requests: DataFrame, environment: str | None = "production")
         _strings(_list("x.attributes")).alias("attributes_string"),
         _numbers(_list("x.attributes")).alias("attributes_number"),
         _booleans(_list("x.attributes")).alias("attributes_bool"),
-        _upserted(environment).alias("resource"),
+        "resource",
+        *_all_attributes(nested),
     )
     named = spans.withColumn("serviceName", F.col("resource")["service.name"])
-    return with_bucket_start(named).select(*S.SPANS.names)
+    return with_bucket_start(named).select(*S.SPANS.names, *(["attributes"] if nested else []))
 
 
-def flatten_logs(requests: DataFrame, environment: str | None = "production") -> DataFrame:
-    x = _records(requests, "resourceLogs", "scopeLogs", "logRecords")
+def flatten_logs(requests: DataFrame, environment: str | None = "production", nested: bool = False) -> DataFrame:
+    """A body that is no text stands in ``body`` as text, with ``nested`` in ``body_value`` as VARIANT."""
+    x = _records(requests, "resourceLogs", "scopeLogs", "logRecords", environment)
+    body = F.col("x.body")
+    scalar = F.coalesce(body["intValue"], body["doubleValue"].cast("string"), body["boolValue"].cast("string"))
     logs = x.select(
         _time(F.col("x.timeUnixNano")).alias("timestamp"),
         F.col("x.traceId").alias("trace_id"),
         F.col("x.spanId").alias("span_id"),
         F.col("x.severityText").alias("severity_text"),
         F.col("x.severityNumber").alias("severity_number"),
-        F.col("x.body.stringValue").alias("body"),
+        F.coalesce(body["stringValue"], scalar, _text(body)).alias("body"),
         _strings(_list("x.attributes")).alias("attributes_string"),
         _numbers(_list("x.attributes")).alias("attributes_number"),
         _booleans(_list("x.attributes")).alias("attributes_bool"),
-        _upserted(environment).alias("resource"),
+        "resource",
+        *_all_attributes(nested),
+        *([_any(body).alias("body_value")] if nested else []),
     )
     # A log without a trace context of its own may still carry the id as an attribute.
     own = F.coalesce(F.nullif(F.col("trace_id"), F.lit("")), F.col("attributes_string")["trace_id"])
     named = logs.withColumn("trace_id", own).withColumn("serviceName", F.col("resource")["service.name"])
-    return named.select(*S.LOGS.names)
+    return named.select(*S.LOGS.names, *(["attributes", "body_value"] if nested else []))
 
 
-def flatten_metrics(requests: DataFrame, environment: str | None = "production") -> DataFrame:
-    metrics = _records(requests, "resourceMetrics", "scopeMetrics", "metrics").select(
-        _upserted(environment)["service.name"].alias("serviceName"), "x"
+def flatten_metrics(requests: DataFrame, environment: str | None = "production", nested: bool = False) -> DataFrame:
+    """Labels of metric points are text, whatever ``nested`` says."""
+    metrics = _records(requests, "resourceMetrics", "scopeMetrics", "metrics", environment).select(
+        F.col("resource")["service.name"].alias("serviceName"), "x"
     )
     none = F.lit(None)
 
@@ -225,15 +304,55 @@ _SIGNALS = {
     "logs": (LOGS, flatten_logs),
     "metrics": (METRICS, flatten_metrics),
 }
+_CORRUPT = "_corrupt_record"
+
+
+def _requests(lines: DataFrame, signal: str, column: str) -> DataFrame:
+    """The parsed request of each line next to the line itself; ``reason`` says why a line is none."""
+    schema, _ = _SIGNALS[signal]
+    top = schema.split(" ", 1)[0]
+    parsed = lines.select(
+        F.col(column).alias("line"), F.from_json(column, f"{schema}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}).alias("_j")
+    )
+    reason = F.when(F.col("_j").isNull() | F.col(f"_j.{_CORRUPT}").isNotNull(), F.lit("malformed")).when(
+        F.col(f"_j.{top}").isNull(), F.lit(f"no {top}")
+    )
+    return parsed.where(F.trim("line") != "").select("line", reason.alias("reason"), "_j.*")
+
+
+def parse_otlp(
+    lines: DataFrame, signal: str, column: str = "value", environment: str | None = "production", nested: bool = False
+) -> DataFrame:
+    """Records from lines of export JSON held in a text column, batch or stream; lines that are no request are left out."""
+    _, flatten = _SIGNALS[signal]
+    return flatten(_requests(lines, signal, column).where("reason IS NULL"), environment, nested)
 
 
-def parse_otlp(lines: DataFrame, signal: str, column: str = "value", environment: str | None = "production") -> DataFrame:
-    """Records from lines of export JSON held in a text column, batch or stream."""
-    schema, flatten = _SIGNALS[signal]
-    return flatten(lines.select(F.from_json(column, schema).alias("_j")).select("_j.*"), environment)
+def otlp_rejects(lines: DataFrame, signal: str, column: str = "value") -> DataFrame:
+    """``line, reason`` of the lines that are no request of this signal: malformed, or another one. Blank lines are none."""
+    return _requests(lines, signal, column).where("reason IS NOT NULL").select("line", "reason")
 
 
-def ingest_otlp_json(spark: SparkSession, path: str, signal: str, environment: str | None = "production") -> DataFrame:
+def split_otlp(
+    lines: DataFrame, signal: str, column: str = "value", environment: str | None = "production", nested: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Records with a time, and what could not be taken: ``line, reason``, records without a time as JSON of their fields."""
+    records = parse_otlp(lines, signal, column, environment, nested)
+    untimed = records.where(F.col("timestamp").isNull())
+    as_line = F.to_json(F.struct(*[c for c in records.columns if c not in ("attributes", "body_value")]))
+    rejects = otlp_rejects(lines, signal, column).unionByName(untimed.select(as_line.alias("line"), F.lit("no time").alias("reason")))
+    return records.where(F.col("timestamp").isNotNull()), rejects
+
+
+def ingest_otlp_json(
+    spark: SparkSession, path: str, signal: str, environment: str | None = "production", nested: bool = False
+) -> DataFrame:
     """Records of one signal (traces, logs or metrics) from export files."""
-    schema, flatten = _SIGNALS[signal]
-    return flatten(spark.read.schema(schema).json(path), environment)
+    return parse_otlp(spark.read.text(path), signal, environment=environment, nested=nested)
+
+
+def read_otlp(
+    spark: SparkSession, path: str, signal: str, environment: str | None = "production", nested: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``split_otlp`` over export files."""
+    return split_otlp(spark.read.text(path), signal, environment=environment, nested=nested)

@@ -109,3 +109,72 @@ def test_rollup_quantile_close(make_spans):
     rollup = tables.rollup_latency(spans)
     row = tables.rollup_quantile(rollup, ["name"], 0.95).first()
     assert row["spans"] == 2000 and abs(row["quantile_ms"] - 1900) < 60
+
+
+def _value(v):
+    if isinstance(v, list):
+        return {"arrayValue": {"values": [_value(x) for x in v]}}
+    if isinstance(v, dict):
+        return {"kvlistValue": {"values": [{"key": k, "value": _value(x)} for k, x in v.items()]}}
+    return _attrs(x=v)[0]["value"]
+
+
+def _trace(**attributes):
+    span = {"traceId": "t", "spanId": "s", "name": "n", "startTimeUnixNano": str(NANOS), "endTimeUnixNano": str(NANOS)}
+    span["attributes"] = [{"key": k, "value": _value(v)} for k, v in attributes.items()]
+    return {"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}
+
+
+def test_otlp_values_of_any_kind(spark):
+    values = {
+        "text": 'say "x"', "whole": 7, "part": 1.5, "flag": True, "empty": [], "none": {}, "list": ["a", 2, [True, {"deep": [1.5]}]],
+        "map": {"a": 1, "b": {"c": ["x", {"d": False}]}},
+    }
+    lines = spark.createDataFrame([(json.dumps(_trace(**values)),)], "value string")
+    row = otlp.parse_otlp(lines, "traces", nested=True).withColumn("attributes", F.to_json("attributes")).first()
+    assert json.loads(row["attributes"]) == values
+    strings = row["attributes_string"]
+    assert strings["text"] == 'say "x"' and json.loads(strings["list"]) == values["list"] and json.loads(strings["map"]) == values["map"]
+    assert row["attributes_number"] == {"whole": 7.0, "part": 1.5} and row["attributes_bool"] == {"flag": True}
+    assert "attributes" not in otlp.parse_otlp(lines, "traces").columns
+
+
+def test_otlp_values_beyond_the_depth_and_repeated_keys(spark):
+    deep = value = []
+    for _ in range(otlp.MAX_DEPTH + 2):
+        value.append(inner := [])
+        value = inner
+    request = _trace(deep=deep, again=1)
+    spans = request["resourceSpans"][0]["scopeSpans"][0]["spans"][0]
+    spans["attributes"] += _attrs(again=2) + [{"key": "m", "value": {"kvlistValue": {"values": _attrs(k=1) + _attrs(k=2)}}}]
+    lines = spark.createDataFrame([(json.dumps(request),)], "value string")
+    got = json.loads(otlp.parse_otlp(lines, "traces", nested=True).select(F.to_json("attributes")).first()[0])
+    assert got["again"] == 2 and got["m"] == {"k": 2}
+    text = json.dumps(got["deep"])
+    assert text.startswith("[" * (otlp.MAX_DEPTH + 1)) and "arrayValue" in text  # deeper values stay as written
+
+
+def test_otlp_structured_bodies(spark):
+    bodies = ["plain", 3, True, {"event": "refund", "ids": [1, 2]}, None]
+    logs = [{"timeUnixNano": str(NANOS), "spanId": str(i), "body": _value(b) if b is not None else {}} for i, b in enumerate(bodies)]
+    lines = spark.createDataFrame([(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": logs}]}]}),)], "value string")
+    rows = otlp.parse_otlp(lines, "logs", nested=True).withColumn("body_value", F.to_json("body_value")).orderBy("span_id").collect()
+    assert [r["body"] for r in rows] == ["plain", "3", "true", '{"event":"refund","ids":[1,2]}', None]
+    assert [r["body_value"] and json.loads(r["body_value"]) for r in rows] == bodies
+
+
+def test_otlp_rejects(spark, tmp_path):
+    good = json.dumps(_trace(k="v"))
+    untimed = json.dumps(_trace(k="v")).replace(str(NANOS), "soon")
+    bad = ["{bad", "[1, 2]", '"text"', '{"resourceLogs": []}', good[:-3], '{"resourceSpans": 3}']
+    (tmp_path / "x.json").write_text("\n".join([good, "", *bad, untimed, "   ", good]))
+    records, rejects = otlp.read_otlp(spark, str(tmp_path / "x.json"), "traces")
+    assert records.count() == 2
+    found = {r["line"]: r["reason"] for r in rejects.collect()}
+    assert {line: found.get(line) for line in bad} == {
+        "{bad": "malformed", "[1, 2]": "malformed", '"text"': "malformed", '{"resourceLogs": []}': "no resourceSpans", good[:-3]: "malformed",
+        '{"resourceSpans": 3}': "malformed",
+    }
+    (late,) = [line for line, reason in found.items() if reason == "no time"]
+    assert json.loads(late)["span_id"] == "s" and len(found) == len(bad) + 1
+    assert otlp.ingest_otlp_json(spark, str(tmp_path / "x.json"), "traces").count() == 3
