@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,21 +61,70 @@ def sensitivity(name: str) -> float:
     return next((weight for pattern, weight in _SENSITIVE if pattern.search(name)), 0.0)
 
 
-def randomness(value: str) -> float:
+class Value:
+    """Text put together from literals and other values, without writing it out.
+
+    Kept are the length, how often each character occurs, the first ``HEAD`` characters and the last one: all that scores look at.
+    A value that is used twice is one object, so values of any length take no more memory than the text that states them. Lengths
+    beyond 2^64 are scaled down together with the counts.
+    """
+
+    HEAD = 64
+    __slots__ = ("length", "counts", "head", "last", "parts", "literal")
+
+    def __init__(self, text: str = "", literal: tuple[int, int] | None = None):
+        self.length, self.counts = len(text), Counter(text)
+        self.head, self.last = text[: self.HEAD], text[-1:]
+        self.parts: tuple[Value, ...] | str = text
+        self.literal = literal
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls()
+        out.parts = tuple(parts)
+        for part in parts:
+            out.length += part.length
+            for c, n in part.counts.items():
+                out.counts[c] += n
+            if len(out.head) < cls.HEAD:
+                out.head = (out.head + part.head)[: cls.HEAD]
+            out.last = part.last or out.last
+        if out.length >> 64:
+            out.length >>= 32
+            out.counts = Counter({c: max(1, n >> 32) for c, n in out.counts.items()})
+        return out
+
+    def __str__(self) -> str:
+        return self.parts if isinstance(self.parts, str) else "".join(map(str, self.parts))
+
+    def sample(self) -> str:
+        """A short text that is a placeholder if and only if the whole is."""
+        if self.length <= len(self.head):
+            return self.head
+        return self.head + next((c for c in self.counts if c not in self.head), "") + self.last
+
+
+def randomness(value: str | Value) -> float:
     """Bits of Shannon entropy per character, scaled so that random letters and digits come near 1."""
-    if len(value) < 6:
+    value = Value(value) if isinstance(value, str) else value
+    n = value.length
+    if n < 6:
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / 3.5) * min(1.0, n / 12)
+    bits = -sum(c / n * math.log2(c / n) for c in value.counts.values())
+    return min(1.0, bits / 3.5) * (min(n, 12) / 12)
 
 
-def score(name: str, value: str) -> float:
+def score(name: str, value: str | Value) -> float:
     """Sensitivity of the name plus randomness of the value; 0 where the name says nothing or the value is a placeholder."""
     weight = sensitivity(name)
-    if not weight or len(value) < 6 or " " in value or _PLACEHOLDER.match(value):
+    if not weight:
+        return 0.0
+    value = Value(value) if isinstance(value, str) else value
+    if value.length < 6 or " " in value.counts or _PLACEHOLDER.match(value.sample()):
         return 0.0
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    mixed = any(c.isdigit() for c in value.counts) and any(c.isalpha() for c in value.counts)
     return weight * (0.6 + 0.4 * mixed) + 0.5 * randomness(value)
 
 
@@ -89,24 +140,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, tuple[tuple[int, int], ...]]]:
-    """(name, value, start, end of the right side, literals) of every assignment, constants already put in.
-
-    The literals are the (start, end) of all texts that the value is made of, without quotes, those of constants included.
-    """
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+def pairs(text: str) -> list[tuple[str, Value, int, int, list[Value]]]:
+    """(name, value, start, end of the right side, constants in it) of every assignment, constants already put in."""
+    known: dict[str, Value] = {}
     out = []
 
     def assign(name: str, start: int, end: int) -> None:
-        parts = []
+        parts, constants = [], []
         for term in _TERM.finditer(text, start, end):
             group = term.lastindex
             constant = known.get(term[4]) if group == 4 else None
-            parts.append(constant or (term[group], (term.span(group),)))
-        value = "".join(part for part, _ in parts)
-        literals = tuple(dict.fromkeys(x for _, of in parts for x in of if x[0] < x[1]))
-        known[name] = value, literals
-        out.append((name, value, start, end, literals))
+            if constant is not None:
+                constants.append(constant)
+            parts.append(constant or Value(term[group], term.span(group)))
+        value = Value.joined(parts)
+        known[name] = value
+        out.append((name, value, start, end, constants))
 
     for m in _PAIR.finditer(text):
         if m[2]:
@@ -119,36 +168,56 @@ def pairs(text: str) -> list[tuple[str, str, int, int, tuple[tuple[int, int], ..
     return out
 
 
-def _lexed(text: str, min_score: float, base: list[tuple[int, int, int]], sources: bool) -> list[tuple[int, int, int]]:
-    """Spans of kind ``lex``: right sides that are not covered by a base span, and on request the literals of their constants."""
-    more, literals = [], {}
+def _cover(base: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span lies inside one of the base spans, by bisection."""
+    base = sorted(base)
+    starts, furthest, end = [s for s, _, _ in base], [], 0
+    for _, _, e in base:
+        furthest.append(end := max(end, e))
+
+    def covered(start: int, end: int) -> bool:
+        at = bisect_right(starts, start)
+        return at > 0 and furthest[at - 1] >= end
+
+    return covered
+
+
+def _lexed(text: str, min_score: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of kind ``lex``: right sides of sensitive names and the literals of their constants, unless a base span covers them.
+
+    Each value's parts are followed once, however many names receive it.
+    """
+    found: dict[tuple[int, int], None] = {}
     if ":" in text or "=" in text:
-        covered = lambda start, end: any(s <= start and end <= e for s, _, e in base)
-        for name, value, start, end, of in pairs(text):
+        covered = _cover(base)
+        followed: set[int] = set()
+        for name, value, start, end, constants in pairs(text):
             if score(name, value) < min_score:
                 continue
-            literals.update(dict.fromkeys(x for x in of if x[1] <= start))
             if not covered(start, end):
                 if text[start] in "\"'`" and text.find(text[start], start + 1) == end - 1:
                     start, end = start + 1, end - 1
                 if not covered(start, end):
-                    more.append((start, 3, end))
-        if sources:
-            have = {(s, e) for s, _, e in more}
-            more += [(s, 3, e) for s, e in literals if (s, e) not in have and not covered(s, e)]
-    return more
-
-
-def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
-    """The spans of base patterns and right sides as (start, kind, end), in order."""
-    base = base_spans(text)
-    return sorted(base + _lexed(text, min_score, base, sources=False))
+                    found[start, end] = None
+            todo = constants
+            while todo:
+                part = todo.pop()
+                if id(part) in followed:
+                    continue
+                followed.add(id(part))
+                if isinstance(part.parts, tuple):
+                    todo.extend(part.parts)
+                elif part.literal and part.literal[0] < part.literal[1] and not covered(*part.literal):
+                    found[part.literal] = None
+    return [(start, 3, end) for start, end in found]
 
 
 def secret_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
-    """``spans`` and those of the literals that sensitive names receive through constants; what is reported and masked."""
+    """The spans of base patterns, of right sides and of the literals that sensitive names receive through constants, as
+    (start, kind, end) in order; what is reported and masked.
+    """
     base = base_spans(text)
-    return sorted(base + _lexed(text, min_score, base, sources=True))
+    return sorted(base + _lexed(text, min_score, base))
 
 
 def written(found: list[tuple[int, int, int]]) -> str:

@@ -19,7 +19,7 @@ def test_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rows = [(i, t) for i, t in rows if linecrf.measure(t, hashes, crf)[6]]
     first = {i for i, _, c in classes(rows, 80, 5) if i == c}
-    rows = [(i, secretscan.redact(t, secretscan.spans(t))) for i, t in rows if i in first]
+    rows = [(i, secretscan.redact(t, secretscan.secret_spans(t))) for i, t in rows if i in first]
     got = corpus_pipeline.run(spark, SF_DIR).collect()
     coder = pieces.codec(pieces.default_model())
     ids = {i: coder.encode(t) for i, t in rows}

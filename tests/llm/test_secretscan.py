@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -32,26 +34,26 @@ CASES = [
 @pytest.mark.parametrize("text", CASES)
 def test_base_spans(text):
     assert sorted(S.base_spans(text)) == brute(text)
-    assert set(brute(text)) <= set(S.spans(text))
+    assert set(brute(text)) <= set(S.secret_spans(text))
 
 
 def test_lexer_finds_names_and_literals():
     text = 'db = {"user": "bob", \'pwd\': "s3cr3tW0rd99"}\nexport AUTH_KEY=Zx81kQpL55a\nsize := 12\nprivate_key => `Qw12Er34Ty56`\n'
-    found = {(name, value) for name, value, *_ in S.pairs(text)}
+    found = {(name, str(value)) for name, value, *_ in S.pairs(text)}
     assert {("user", "bob"), ("pwd", "s3cr3tW0rd99"), ("AUTH_KEY", "Zx81kQpL55a"), ("size", "12"), ("private_key", "Qw12Er34Ty56")} <= found
-    taken = [text[a:b] for a, kind, b in S.spans(text) if S.KINDS[kind] == "lex"]
+    taken = [text[a:b] for a, kind, b in S.secret_spans(text) if S.KINDS[kind] == "lex"]
     assert taken == ["s3cr3tW0rd99", "Zx81kQpL55a", "Qw12Er34Ty56"]
 
 
 def test_constants_are_propagated():
     text = 'HEAD = "Zx81kQ"\nTAIL = "pL55a9"\nclient_credential = HEAD + TAIL\ncolor = HEAD\n'
-    assert ("client_credential", "Zx81kQpL55a9") in {(n, v) for n, v, *_ in S.pairs(text)}
-    assert [text[a:b] for a, _, b in S.spans(text)] == ["HEAD + TAIL"]
+    assert ("client_credential", "Zx81kQpL55a9") in {(n, str(v)) for n, v, *_ in S.pairs(text)}
+    assert [text[a:b] for a, _, b in S.secret_spans(text)] == ["Zx81kQ", "pL55a9", "HEAD + TAIL"]
 
 
 @pytest.mark.parametrize("text", ['pwd = "changeme"', "pwd: ${PASSWORD_FROM_ENV}", "author: Zx81kQpL55a is", 'credential = "two words here"', "a == b", "https://x.y/z"])
 def test_placeholders_and_plain_text_stay(text):
-    assert [x for x in S.spans(text) if x[1] == 3] == [] or "author" in text
+    assert [x for x in S.secret_spans(text) if x[1] == 3] == [] or "author" in text
 
 
 def test_columns(spark):
@@ -109,3 +111,77 @@ def test_forms_of_assignments(text):
 def test_types_and_long_runs_are_left_alone():
     for text in ('pwd: string = "x"', "size: int = 12", 'color: str = "S3cr3tW0rd99"', "-" * 100_000, "a." * 100_000, "a: b " * 20_000, "a[" * 50_000):
         assert S.secret_spans(text) == []
+
+
+def plain_lexer(text):
+    """Lexed spans of lines ``name = term + term`` with terms ``"literal"`` or names, by writing every value out."""
+    base, known, out, at = brute(text), {}, set(), 0
+    covered = lambda a, b: any(s <= a and b <= e for s, _, e in base)
+    for line in text.split("\n"):
+        if " = " in line:
+            name, right = line.split(" = ")
+            start = at + len(name) + 3
+            parts, place = [], start
+            for term in right.split(" + "):
+                if term.startswith('"'):
+                    parts.append((term[1:-1], {(place + 1, place + len(term) - 1)}, False))
+                elif term in known:
+                    parts.append((*known[term], True))
+                else:
+                    parts.append((term, {(place, place + len(term))}, False))
+                place += len(term) + 3
+            value = "".join(p[0] for p in parts)
+            known[name] = value, set().union(*(p[1] for p in parts))
+            if S.score(name, value) >= S.MIN_SCORE:
+                end = start + len(right)
+                quoted = len(parts) == 1 and right.startswith('"')
+                spans = {(start + 1, end - 1) if quoted else (start, end)} if not covered(start, end) else set()
+                spans |= {x for p in parts if p[2] for x in p[1] if x[0] < x[1]}
+                out |= {x for x in spans if not covered(*x)}
+        at += len(line) + 1
+    return sorted([*base, *((a, 3, b) for a, b in out)])
+
+
+def test_lexed_spans_against_a_plain_lexer():
+    rng = random.Random(6)
+    for _ in range(400):
+        names = ["pwd", "color", "K1", "K2", "auth_key", "password", "salt"]
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            terms = [
+                rng.choice(names) if rng.random() < 0.5 else '"' + "".join(rng.choice("ab12Zx") for _ in range(rng.choice([0, 2, 5, 9, 30]))) + '"'
+                for _ in range(rng.choice([1, 1, 2, 3]))
+            ]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        assert S.secret_spans(text) == plain_lexer(text), text
+
+
+def test_values_that_grow_without_bound():
+    doubling = 'a = "Zx81kQpL"\n' + "a = a + a\n" * 2000 + "pwd = a\n"
+    started = time.perf_counter()
+    assert [doubling[a:b] for a, _, b in S.secret_spans(doubling)] == ["Zx81kQpL", "a"]
+    sums = 'a0 = "Zx81kQpL"\n' + "".join(f'a{k} = a{k - 1} + "q{k}"\npwd{k} = a{k}\n' for k in range(1, 4000))
+    assert len(S.secret_spans(sums)) == 4000 + 3999
+    assert time.perf_counter() - started < 20
+
+
+def test_many_assignments_take_linear_time():
+    line = "password: hunter22x pwd = Zx81kQpL55a9\n"
+    times = []
+    for n in (3_000, 24_000):
+        started = time.perf_counter()
+        assert len(S.secret_spans(line * n)) == 2 * n
+        times.append(time.perf_counter() - started)
+    assert times[1] < 24 * times[0] + 1
+
+
+def test_value_summaries():
+    rng = random.Random(2)
+    for _ in range(200):
+        texts = ["".join(rng.choice("xX*$<>your1a ") for _ in range(rng.choice([0, 1, 7, 40, 90]))) for _ in range(rng.randrange(1, 5))]
+        value = S.Value.joined([S.Value(t) for t in texts])
+        whole = "".join(texts)
+        assert str(value) == whole and value.length == len(whole)
+        assert bool(S._PLACEHOLDER.match(value.sample())) == bool(S._PLACEHOLDER.match(whole))
+        assert S.score("pwd", value) == pytest.approx(S.score("pwd", whole))
