@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import logs, metric_points, orders_in, over, register, spans
+from checks.registry import ORACLES, logs, metric_points, orders_in, over, register, spans
 from spanops import schema as S
 from spanops.functions.predicates import latest
 from spanops.operators import explore, metrics
 from spanops.session import scratch_path
-from spanops.sources import otlp, tables
+from spanops.sources import locator, otlp, tables
 from spanops.sources.orders import parse_orders
 
 DAY = "time_bucket(INTERVAL '1 day', timestamp)"
@@ -339,6 +339,17 @@ def trace_details(spark, sf_dir):
     return explore.trace_details(s, newest, logs(spark, sf_dir))
 
 
+@register("trace_details_located", ORACLES["trace_details"])
+def trace_details_located(spark, sf_dir):
+    """The same trace from stored tables, by the locator."""
+    s = spans(spark, sf_dir)
+    newest = s.orderBy(F.desc("timestamp")).select("trace_id").first()[0]
+    path, index = scratch_path(spark, "spans"), scratch_path(spark, "locator")
+    locator.write_located(s, path, index, hourly=False)
+    stored_logs = _stored(spark, logs(spark, sf_dir), "logs")
+    return locator.located_trace_details(spark, path, index, newest, stored_logs, hourly=False, after="30 days")
+
+
 @register("builder_query", over("spans", body=f"""
 SELECT {DAY} AS ts, tier AS customer_tier, count(*) AS calls, round(avg(duration_nano), 2) AS mean,
   round(quantile_cont(duration_nano, 0.95), 2) AS slow, count(DISTINCT trace_id) AS traces FROM spans
