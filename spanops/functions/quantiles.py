@@ -3,10 +3,12 @@
 ``exact``
     Linear interpolation between order statistics, without ever holding a large group in one task.
     The largest group is counted first. Up to ``GROUP_ROWS`` the built-in ``percentile`` holds each
-    group in one buffer. Beyond it, one pass counts rows per value range (map-side combined, so a
-    hot group is only some thousand counters per task); the counts say which ranges hold the wanted
-    ranks, and a further pass looks at the rows of those ranges only. Ranges that are still large
-    are split again.
+    group in one buffer. Beyond it, ``group_stats`` takes two scans. The first makes the plain aggregates, counts and a KLL sketch per
+    group; the sketch brackets each wanted rank between two values. The second counts, combined before the shuffle, the values
+    inside the brackets one by one and those between brackets together, which gives true ranks. Sketches may err, ranks do not:
+    a group whose wanted rank fell outside its bracket is solved by ranges. ``exact_quantiles`` goes by ranges at once: one pass counts
+    rows per value range, a further pass looks at the rows of the ranges that hold the wanted ranks only, and ranges that are still
+    large are split again.
 ``approx``
     ``percentile_approx``: one pass, bounded buffer, also on streams.
 ``kll``
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanops.session import materialize
 
@@ -32,6 +34,11 @@ RANGE_ROWS = 4_000_000
 # Each split narrows a range 2048-fold, so a 64-bit value is resolved long before this.
 MAX_SPLITS = 8
 
+# Size parameter of the sketches that bracket ranks, and the share of ranks on both sides of a quantile that a bracket takes in: three
+# times the error that 99 in 100 such sketches keep.
+SKETCH_K = 2048
+BRACKET = 0.008
+
 Keys = Mapping[str, Column]
 
 
@@ -69,17 +76,104 @@ def group_stats(
     known = at_most is not None and at_most <= group_rows
     if known or fits_buffer(df, keys, value, group_rows):
         return df.groupBy(*columns).agg(*aggregates, *_buffered(value, quantiles))
-    found = _by_ranges(df, keys, value, quantiles, RANGE_ROWS)
-    # Groups without a value have no ranges, but a row of NULLs, as from the built-in aggregate.
-    plain = df.groupBy(*columns).agg(*aggregates) if aggregates else df.select(*columns).distinct() if keys else None
-    if plain is None:
-        return found
-    if not keys:
-        both = found.select(F.struct(*quantiles).alias("q")).scalar()
-        return plain.select("*", both.alias("_q")).select(
-            *plain.columns, *[F.col("_q")[name].alias(name) for name in quantiles]
-        )
-    return match_groups(plain, found, list(keys))
+    return _by_sketch(df, keys, value, quantiles, aggregates)
+
+
+def _by_sketch(df: DataFrame, keys: Keys, value: Column, quantiles: Mapping[str, float], aggregates: Sequence[Column]) -> DataFrame:
+    """Two scans: brackets of the wanted ranks from a sketch, then true ranks inside them; see the module text."""
+    group = [f"_k{i}" for i in range(len(keys))]
+    named = [c.alias(g) for g, c in zip(group, keys.values())]
+    whole = isinstance(df.select(value).schema[0].dataType, T.IntegralType)
+    number, kind = (value.cast("bigint"), "bigint") if whole else (value.cast("double"), "double")
+    sketch, read = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
+    points = list(quantiles.values())
+
+    # Aggregates get names of their own, as a result may be called like a column.
+    sides = [min(max(p + side * BRACKET, 0.0), 1.0) for p in points for side in (-1, 1)]
+    passed = df.groupBy(*named).agg(
+        *aggregates, F.count(number).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"),
+        sketch(number, F.lit(SKETCH_K)).alias("_sketch"),
+    )
+    guess = F.when(F.col("_n") > 0, read("_sketch", F.array(*[F.lit(side) for side in sides])))
+    small = F.col("_n") <= SKETCH_K
+    bounds = []
+    for i, _ in enumerate(points):
+        bounds.append(F.when(small | (F.lit(sides[2 * i]) <= 0), F.col("_low")).otherwise(F.col("_g")[2 * i]).alias(f"_a{i}"))
+        bounds.append(F.when(small | (F.lit(sides[2 * i + 1]) >= 1), F.col("_high")).otherwise(F.col("_g")[2 * i + 1]).alias(f"_b{i}"))
+    first = passed.withColumn("_g", guess).select(*passed.columns, *bounds).drop("_sketch", "_low", "_high")
+    first = materialize(first, "brackets")
+
+    ends = materialize(_inside_brackets(df.select(*named, number.alias("_v")), first, group, points), "ranks")
+    out = _interpolated(ends, group, quantiles)
+    missed = F.lit(False)
+    for i, _ in enumerate(points):
+        missed = missed | F.col(f"_lo{i}").isNull() | F.col(f"_hi{i}").isNull()
+    if ends.where(missed).limit(1).count():
+        again = match_groups(df.select("*", *named), ends.where(missed).select(*group, F.lit(True).alias("_again")), group).where("_again")
+        solved = _by_ranges(again, {g: F.col(g) for g in group}, number, quantiles, RANGE_ROWS)
+        out = _interpolated(ends.where(~missed), group, quantiles).unionByName(solved)
+    plain = first.drop("_n", *[f"_{s}{i}" for i, _ in enumerate(points) for s in "ab"])
+    if group:
+        joined = match_groups(plain, out, group)
+    else:
+        found = out.select(F.struct(*quantiles).alias("q")).scalar()
+        joined = plain.withColumn("_q", found).select(*plain.columns, *[F.col("_q")[name].alias(name) for name in quantiles])
+    renamed = [F.col(g).alias(name) for g, name in zip(group, keys)]
+    return joined.select(*renamed, *[c for c in joined.columns if c not in group])
+
+
+def _inside_brackets(rows: DataFrame, first: DataFrame, group: list[str], points: list[float]) -> DataFrame:
+    """The order statistics on both sides of every wanted rank, one row per group; NULL where one lies outside its bracket.
+
+    Values outside all brackets count together at the end of the bracket below them. What enters the window is the distinct values
+    inside the brackets.
+    """
+    sides = [f"_{s}{i}" for i, _ in enumerate(points) for s in "ab"]
+    present = rows.where(F.col("_v").isNotNull())
+    if group:
+        small = first.where("_n > 0").select(*[F.col(g).alias(f"_t{g}") for g in group], "_n", *sides)
+        same = F.lit(True)
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_t{g}"))
+        placed = present.join(small, same).drop(*[f"_t{g}" for g in group])
+    else:
+        row = first.select(F.struct("_n", *sides).alias("s")).scalar()
+        placed = present.withColumn("_s", row).select("_v", "_s.*")
+    inside = F.lit(False)
+    below = F.lit(None)
+    for i, _ in enumerate(points):
+        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+        inside = inside | ((F.col("_v") >= low) & (F.col("_v") <= high))
+        end = F.when(F.col("_v") > high, high)
+        below = end if i == 0 else F.greatest(below, end)
+    counted = placed.select(*group, "_n", inside.alias("_in"), F.when(inside, F.col("_v")).otherwise(below).alias("_v"))
+    counted = counted.groupBy(*group, "_n", "_in", "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v"), F.desc("_in")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_to", F.sum("_rows").over(upto)).withColumn("_from", F.col("_to") - F.col("_rows")).where("_in")
+    return _picked(ranked, group, points)
+
+
+def _picked(ranked: DataFrame, group: list[str], points: list[float]) -> DataFrame:
+    """From values with the ranks they take up: those at the ranks on both sides of each quantile."""
+    picked = []
+    for i, p in enumerate(points):
+        for side, rank in zip(("lo", "hi"), _ranks(p)):
+            hit = (F.col("_from") <= rank) & (rank < F.col("_to"))
+            picked.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
+    ends = ranked.groupBy(*group).agg(F.max("_n").alias("_n"), *picked)
+    return ends if group else ends.where(F.col("_n").isNotNull())
+
+
+def _interpolated(ends: DataFrame, group: list[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Quantiles from the order statistics on both sides."""
+    out = [F.col(g) for g in group]
+    for i, (name, p) in enumerate(quantiles.items()):
+        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        at = _position(p)
+        # The same steps in floating point as the built-in aggregate takes.
+        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise(between).alias(name))
+    return ends.select(*out)
 
 
 def fits_buffer(df: DataFrame, keys: Keys, value: Column, group_rows: int) -> bool:
@@ -154,22 +248,8 @@ def _by_ranges(df: DataFrame, keys: Keys, value: Column, quantiles: Mapping[str,
     ranked = solved[0]
     for part in solved[1:]:
         ranked = ranked.unionByName(part)
-    picked = []
-    for i, p in enumerate(points):
-        for side, rank in zip(("lo", "hi"), _ranks(p)):
-            hit = (F.col("_from") <= rank) & (rank < F.col("_to"))
-            picked.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    ends = ranked.groupBy(*group).agg(F.max("_n").alias("_n"), *picked)
-    if not group:
-        ends = ends.where(F.col("_n").isNotNull())
-    out = [F.col(g).alias(name) for g, name in zip(group, keys)]
-    for i, (name, p) in enumerate(quantiles.items()):
-        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        at = _position(p)
-        # The same steps in floating point as the built-in aggregate takes.
-        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
-        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise(between).alias(name))
-    return ends.select(*out)
+    found = _interpolated(_picked(ranked, group, points), group, quantiles)
+    return found.select(*[F.col(g).alias(name) for g, name in zip(group, keys)], *quantiles)
 
 
 def _position(p: float) -> Column:

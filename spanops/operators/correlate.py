@@ -187,7 +187,10 @@ def parent_child(spans: DataFrame) -> DataFrame:
 
 
 def span_depths(nodes: DataFrame) -> DataFrame:
-    """(trace_id, span_id, depth) by pointer doubling; runs its rounds when called."""
+    """(trace_id, span_id, depth) by pointer doubling; runs its rounds when called.
+
+    A round writes the spans that were still open, with how far they got; those that it closes are not touched again.
+    """
     ids = nodes.select("trace_id", F.col("span_id").alias("_to"), F.lit(True).alias("_found"))
     links = nodes.select("trace_id", "span_id", F.col("parent_span_id").alias("_to"))
     state = links.join(ids, ["trace_id", "_to"], "left").select(
@@ -196,22 +199,26 @@ def span_depths(nodes: DataFrame) -> DataFrame:
         F.when(F.col("_found"), F.col("_to")).alias("_to"),
         F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("_hops"),
     )
+    closed: DataFrame | None = None
     before = None
     for _ in range(MAX_ROUNDS):
         state = materialize(state, "depth")
-        still_open = state.agg(F.count("_to")).first()[0]
+        is_open = F.col("_to").isNotNull()
+        done, still = state.where(~is_open), state.where(is_open)
+        closed = done if closed is None else closed.unionByName(done)
+        left = still.count()
         # Every round closes the spans of some depth; where it closed none, only loops are left.
-        if still_open in (0, before):
+        if left in (0, before):
             break
-        before = still_open
-        ahead = state.select(
+        before = left
+        ahead = closed.unionByName(still).select(
             "trace_id", F.col("span_id").alias("_to"), F.col("_to").alias("_next"), F.col("_hops").alias("_more")
         )
-        moved = state.where(F.col("_to").isNotNull()).join(ahead, ["trace_id", "_to"]).select(
+        state = still.join(ahead, ["trace_id", "_to"]).select(
             "trace_id", "span_id", F.col("_next").alias("_to"), (F.col("_hops") + F.col("_more")).alias("_hops")
         )
-        state = state.where(F.col("_to").isNull()).unionByName(moved)
-    return state.select("trace_id", "span_id", F.when(F.col("_to").isNull(), F.col("_hops")).alias("depth"))
+    whole = closed.unionByName(still)
+    return whole.select("trace_id", "span_id", F.when(F.col("_to").isNull(), F.col("_hops")).alias("depth"))
 
 
 def cross_baseline(grouped: DataFrame, baseline: DataFrame, columns: list[str]) -> DataFrame:

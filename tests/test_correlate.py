@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from spanops import schema as S
 from spanops.functions.scalars import attribute_error
 from spanops.operators import correlate, explore, latency
+from spanops.session import materialize
 
 
 def test_logs_do_not_multiply_spans(make_spans, make_logs):
@@ -115,3 +116,18 @@ def test_failures_told_by_attributes_only(make_spans, make_logs):
     assert explore.top_operations(spans, S.WORKER_SERVICE, error=failed).first()["errors"] == 2
     silent = latency.silent_failure(spans, window=None, error=failed).first()
     assert silent["silent_spans"] == 1
+
+
+def test_rounds_write_only_open_spans(make_spans, monkeypatch):
+    written = []
+
+    def counting(frame, kind="table"):
+        written.append(frame.count())
+        return materialize(frame, kind)
+
+    monkeypatch.setattr(correlate, "materialize", counting)
+    rows = [r for k in range(20) for r in _chain(3, f"c{k}-")] + _chain(12, "long-")
+    depths = correlate.span_depths(make_spans(rows))
+    assert depths.groupBy("depth").count().count() == 12 and depths.count() == 72
+    # All spans once, then those that a round before left open.
+    assert written[:3] == [72, 51, 30] and written == sorted(written, reverse=True) and written[-1] < 12

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spanops.functions import quantiles
 from spanops.functions.quantiles import exact_quantiles, group_stats
 
 POINTS = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
@@ -89,3 +90,43 @@ def test_sketches_are_close_in_rank(spark, mode, tolerance):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         group_stats(spark.range(3), {}, F.col("id"), {"m": 0.5}, mode="guess")
+
+
+def _brute(pdf):
+    return {(None if isinstance(k, float) else k): v for k, v in _expected(pdf).items()}
+
+
+@pytest.mark.parametrize("kind", ["skewed", "doubles", "nulls", "huge", "large"])
+@pytest.mark.parametrize("bracket", [None, 0.0])
+def test_exact_by_sketch(spark, monkeypatch, kind, bracket):
+    """Brackets of no width miss some ranks; the result is exact all the same."""
+    if bracket is not None:
+        monkeypatch.setattr(quantiles, "BRACKET", bracket)
+        monkeypatch.setattr(quantiles, "SKETCH_K", 16)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": ["a"] * 30_000 + ["b"] * 500, "v": rng.integers(0, 10**12, 30_500)}) if kind == "large" else _frame(kind)
+    whole = kind in ("skewed", "huge", "large")
+    rows = [(k if isinstance(k, str) else None, None if v != v else (int(v) if whole else float(v))) for k, v in zip(pdf["k"], pdf["v"])]
+    df = spark.createDataFrame(rows, f"k string, v {'bigint' if whole else 'double'}").repartition(5)
+    got = group_stats(df, {"k": F.col("k")}, F.col("v"), POINTS, [F.count("*").alias("rows")], group_rows=0).collect()
+    expected = _brute(pdf)
+    assert {r["k"] for r in got} == {None if isinstance(k, float) else k for k in pdf["k"].unique()}
+    for r in got:
+        if r["k"] in expected:
+            np.testing.assert_allclose([r[q] for q in POINTS], expected[r["k"]], rtol=1e-12)
+        else:
+            assert [r[q] for q in POINTS] == [None] * len(POINTS)
+
+
+def test_two_scans(spark, monkeypatch):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 60_013).alias("v"))
+    written = []
+    real = quantiles.materialize
+
+    def counting(frame, kind="table"):
+        written.append(kind)
+        return real(frame, kind)
+
+    monkeypatch.setattr(quantiles, "materialize", counting)
+    group_stats(df, {"k": F.col("k")}, F.col("v"), POINTS, [F.sum("v").alias("total")], group_rows=0).collect()
+    assert written == ["brackets", "ranks"]
