@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from spanops.llm import common
 from spanops.session import materialize
@@ -32,9 +32,10 @@ SAMPLE_DOCS = 1500
 BUCKETS = 1 << 17
 CHI_SQUARED = 30.0
 GRID = 64
-STEPS = 60
-# Pull of every rate towards 1, so that no rate moves far for a trace of a domain in its posteriors.
-RIDGE = 0.02
+STEPS = 90
+# Pull of every rate towards 1, so that no rate moves far for a trace of a domain in its posteriors. It fades by FADE a step, and is
+# gone by the time the totals meet the targets to MET of each.
+RIDGE, FADE, MET = 0.02, 0.9, 0.005
 
 # Signs around a word: every ASCII byte but digits and (lower-case) letters.
 _EDGE = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
@@ -138,12 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return fit_classifier([np.array(f, np.int64) for _, _, f in rows], np.array([k for _, k, _ in rows]), prior / prior.sum())
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, keep_columns: bool = False, grid: int = GRID) -> DataFrame:
-    """``doc_id, n_tokens, p`` (counts that sum to ``grid``), after the input's own columns if ``keep_columns``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # bounded: BUCKETS x domains
-    source = docs if keep_columns else docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    kept = source.columns if keep_columns else ["doc_id"]
+def posteriors(docs: DataFrame, weights: np.ndarray, keep_row: bool = False, grid: int = GRID) -> DataFrame:
+    """``doc_id, mix_tokens, mix_p`` (counts that sum to ``grid``); with ``keep_row`` the input's row as one struct ``mix_row`` too,
+    so that none of its columns can clash with these.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # bounded: BUCKETS x domains
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("mix_row")] if keep_row else []
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *row)
+    kept = ["doc_id", "mix_row"] if keep_row else ["doc_id"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, make = shared.value, Features()
@@ -158,11 +161,11 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep_columns: bool = False,
                 whole[k] += 1
             counts.append(n)
             p.append(whole.tolist())
-        columns = [batch.column(batch.schema.names.index(c)) for c in kept]
+        columns = [batch.column(c) for c in kept]
         return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(p, pa.list_(pa.int32()))], [*kept, "mix_tokens", "mix_p"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept)
-    return common.map_arrow(source, work, f"{schema}, mix_tokens long, mix_p array<int>")
+    made = T.StructType([source.schema[c] for c in kept]).add("mix_tokens", "long").add("mix_p", T.ArrayType(T.IntegerType()))
+    return common.map_arrow(source, work, made)
 
 
 def rate_column(p: Column, gradients: list[list[float]], grid: int = GRID) -> Column:
@@ -184,7 +187,8 @@ def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS,
 
     Minimises |sum_i r_i t_i p_i - T|^2, each domain by its own size, plus RIDGE * sum_i t_i (r_i - 1)^2 over r >= 0 from
     r = 1, in the metric that weighs a rate by its tokens, with steps of 1 / L, L being the largest eigenvalue of
-    sum_i t_i p_i p_i^T (scaled) plus RIDGE. Each step is one aggregation to as many numbers as there are domains.
+    sum_i t_i p_i p_i^T (scaled) plus RIDGE; the pull fades from step to step. Each step is one aggregation to as many numbers as there
+    are domains.
     """
     k = len(DOMAINS)
     p, t = [F.col("mix_p")[i] / grid for i in range(k)], F.col("mix_tokens").cast("double")
@@ -204,15 +208,15 @@ def fit_rates(groups: DataFrame, targets: dict[str, float], steps: int = STEPS,
     step = 1.0 / (max(np.linalg.eigvalsh(scaled)[-1], 1e-12) + RIDGE)
     gradients: list[list[float]] = []
     now = have
-    for _ in range(steps):
+    for nth in range(steps):
         gap = now - want
-        if np.abs(gap).max() <= 1e-4 * size:
+        if (np.abs(gap) <= np.maximum(MET * want, 1e-6 * size)).all():
             break
-        gradients.append([*(step * scale * scale * gap).tolist(), step * RIDGE])
+        gradients.append([*(step * scale * scale * gap).tolist(), step * RIDGE * FADE**nth])
         rate = rate_column(F.col("mix_p"), gradients, grid)
         sums = groups.select(rate.alias("r"), "mix_p", "mix_tokens").agg(*[F.sum(F.col("r") * t * p[i]).alias(f"t{i}") for i in range(k)]).first()
         before, now = now, np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
-        if np.abs(now - before).max() <= 1e-5 * size:
+        if np.abs(now - before).max() <= 1e-7 * size:
             break
     return gradients
 
@@ -248,9 +252,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     weights = train(docs, labels)
     if weights is None:
         return docs
-    scored = posteriors(docs, weights, keep_columns=True)
-    gradients = fit_rates(_groups(scored, spark), targets or TARGETS)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rate = rate_column(F.col("mix_p"), gradients)
-    copies = (F.floor("mix_rate") + (draw < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("int")
-    return scored.withColumn("mix_rate", rate).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    scored = posteriors(docs, weights, keep_row=True)
+    gradients = fit_rates(_groups(posteriors(docs, weights), spark), targets or TARGETS)
+    draw = F.pmod(F.xxhash64("mix_row.doc_id", "mix_row.text"), F.lit(1 << 20)) / float(1 << 20)
+    rated = scored.select("mix_row", draw.alias("draw"), rate_column(F.col("mix_p"), gradients).alias("rate"))
+    copies = (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    return rated.select("mix_row", F.explode(F.array_repeat(F.lit(0), copies))).select("mix_row.*")

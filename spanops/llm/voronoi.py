@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     """``query_id, rank, vec_id, score``: the ``k`` best of all other rows for every row whose id divides by ``every``."""
     spark = common.prepare(vectors.sparkSession)
     rows = materialize(clean(vectors), "vectors")
-    length = F.aggregate("v", F.lit(0).cast("long"), lambda a, y: a + y * y)
+    length = F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))  # beyond what a long holds
     stats = rows.agg(F.max(length).alias("longest"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not stats["n"]:

@@ -76,3 +76,22 @@ def test_rows_and_columns(spark):
     assert mixing.rates(df.limit(0), known).count() == 0 and mixing.mix(df.limit(0), known).count() == 0
     none = mixing.rates(df, known.limit(0)).collect()
     assert {r.rate for r in none} == {1.0} and none[0].p_clean is None and len(none) == len(rows)
+
+
+def test_values_of_clashing_columns(spark):
+    rows = [(k, f"word{k} kind" if k % 2 else f"word{k} vile") for k in range(120)]
+    known = spark.createDataFrame([(k, 1, int(k % 2 == 0)) for k in range(100)], LABELS)
+    df = frames.docs(spark, rows).selectExpr("*", "doc_id * 2 as mix_p", "'a' as mix_rate", "array(doc_id) as mix_tokens", "struct(doc_id) as mix_row", "7 as rate", "8 as draw", "9 as `a.b`")
+    out = mixing.mix(df, known)
+    assert out.columns == df.columns
+    kept = [tuple(r) for r in out.collect()]
+    assert kept and set(map(repr, kept)) <= {repr(tuple(r)) for r in df.collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
+def test_totals_meet_the_targets(spark):
+    docs, known = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    out = mixing.rates(docs, known)
+    sums = out.selectExpr(*[f"sum(n_tokens * p_{d} * rate) / sum(n_tokens * p_{d}) as {d}" for d in mixing.DOMAINS]).first()
+    for d in mixing.DOMAINS:
+        assert abs(sums[d] / mixing.TARGETS[d] - 1) < 0.05, (d, sums)

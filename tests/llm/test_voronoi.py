@@ -68,3 +68,9 @@ def test_few_candidates_and_empty(spark):
     assert result(frame(spark, [])) == [] and result(frame(spark, [(0, [1.0])])) == []
     assert result(frame(spark, [(1, [1.0]), (2, [2.0])])) == []
     assert result(frame(spark, [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 1.0])])) == [(0, 1, 1, 256 * 256 * 3)]
+
+
+def test_large_components(spark):
+    """Squared lengths beyond 2^63; the inner products of the query fit."""
+    rows = [(0, [1.0, 0.5]), (1, [1e8, 0.0]), (2, [1e8, 3e7]), (3, [-1e8, 2.0]), (50, [0.25, -1.0]), (51, [0.0, 0.0]), (52, [2.0, 1e7])]
+    assert result(frame(spark, rows)) == brute(rows)
