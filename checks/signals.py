@@ -215,6 +215,21 @@ def ingest_otlp_metrics(spark, sf_dir):
     )
 
 
+@register("workflows_rollup", over("spans", body="""
+, weeks AS (SELECT time_bucket(INTERVAL '7 days', timestamp) AS week, name, count(DISTINCT trace_id) AS exact FROM spans GROUP BY 1, 2)
+SELECT week, name, exact, true AS within FROM weeks"""))
+def workflows_rollup(spark, sf_dir):
+    """Weekly distinct workflows merged from stored daily sketches: the exact number, and whether the estimate is within 5 % of it."""
+    s = spans(spark, sf_dir)
+    path = scratch_path(spark, "rollup")
+    tables.rollup_workflows(s, "1 day").write.parquet(path)
+    week = lambda c: F.window(c, "7 days", startTime="4 days").getField("start")  # noqa: E731  weeks start on Monday
+    guess = tables.rollup_distinct(spark.read.parquet(path).withColumn("week", week("ts")), ["week", "name"])
+    exact = s.groupBy(week("timestamp").alias("week"), "name").agg(F.count_distinct("trace_id").alias("exact"))
+    close = (F.abs(F.col("workflows") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("within")
+    return exact.join(guess, ["week", "name"]).select("week", "name", "exact", close)
+
+
 @register("parse_orders", over("orders_in", body="""
 SELECT CASE WHEN CAST(order_id AS BIGINT) % 97 = 13 THEN NULL ELSE order_id END AS order_id,
   CASE WHEN CAST(order_id AS BIGINT) % 97 <> 13 THEN 'order-' || order_id END AS workflow_id,

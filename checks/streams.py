@@ -21,14 +21,16 @@ def _spans(spark, sf_dir):
     return views.spans(views.stream(spark, sf_dir, "events"))
 
 
-def _with_closing(spark, sf_dir, kind, key, column, build, after: str = "60 days"):
+def _with_closing(spark, sf_dir, kind, key, column, build, after: str = "60 days", number: int = -1, **other):
     """The view that ``build`` makes of a table's stream, with one more row long after all others.
 
-    That row repeats the newest one under a key of its own; it moves the watermark past every window and timer, and stays open itself.
+    That row repeats the newest one under a key of its own (and with ``other`` values); it moves the watermark past every window and
+    timer, and stays open itself.
     """
     table = views.table(spark, sf_dir, kind)
     last = table.orderBy(F.desc(column), *table.columns).limit(1)
-    last = last.withColumn(column, F.col(column) + F.expr(f"INTERVAL {after}")).withColumn(key, F.lit(-1).cast("bigint"))
+    last = last.withColumn(column, F.col(column) + F.expr(f"INTERVAL {after}")).withColumn(key, F.lit(number).cast("bigint"))
+    last = last.withColumns({name: F.lit(value) for name, value in other.items()})
     path = scratch_path(spark, "closing")
     build(last).limit(1).write.parquet(path)
     stream = build(views.stream(spark, sf_dir, kind))
@@ -194,3 +196,21 @@ def st_drift_view(spark, sf_dir):
         sketch_k=65535,
     ).awaitTermination()
     return spark.read.parquet(report)
+
+
+@register("st_span_logs", over("spans", "logs", body="""
+, bad AS (SELECT * FROM logs WHERE severity_text IN ('ERROR', 'WARN')),
+placed AS (
+  SELECT l.trace_id, arg_min(s.span_id, (s.timestamp, s.span_id)) AS span_id, l.timestamp, l.severity_text, l.body
+  FROM bad l JOIN spans s ON s.trace_id = l.trace_id AND s.timestamp BETWEEN l.timestamp - INTERVAL 1 MINUTE AND l.timestamp
+  WHERE l.span_id IS NULL GROUP BY l.trace_id, l.timestamp, l.severity_text, l.body),
+every AS (SELECT trace_id, span_id, timestamp, severity_text, body FROM bad WHERE span_id IS NOT NULL UNION ALL SELECT * FROM placed)
+SELECT s.timestamp, s.trace_id, s.span_id, s.name, s.has_error, l.timestamp AS log_timestamp, l.severity_text, l.body
+FROM spans s LEFT JOIN every l ON l.trace_id = s.trace_id AND l.span_id = s.span_id AND l.timestamp BETWEEN s.timestamp AND s.timestamp + INTERVAL 1 MINUTE"""))
+def st_span_logs(spark, sf_dir):
+    """Both sides of the outer join: every span closes, as one span and one log without a span id come long after all others."""
+    # A key whose log is an error without a span id, so that it waits for a watermark that never comes.
+    closing = {"number": 159 * 10_000_000 + 3, "event_type": "signup"}
+    rows = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans, **closing)
+    entries = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.logs, **closing)
+    return run_available(joins.st_span_logs(rows, entries), "append")

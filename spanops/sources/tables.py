@@ -155,3 +155,19 @@ def rollup_quantile(rollup: DataFrame, keys: list[str], quantile: float) -> Data
     )
     value = F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(quantile))) / F.lit(1000000)
     return merged.select(*keys, "spans", "errors", F.round(value, 2).alias("quantile_ms"))
+
+
+def rollup_workflows(spans: DataFrame, step: str = "1 minute", lg_k: int = 12) -> DataFrame:
+    """A mergeable sketch of the distinct workflows per bucket and activity, to be stored; works on streams as well.
+
+    The relative error of an estimate is about 1.04 / sqrt(2^lg_k): 1.6 % at 12.
+    """
+    known = spans.where("trace_id != ''")
+    counted = known.groupBy(F.window("timestamp", step).alias("w"), "name").agg(F.hll_sketch_agg("trace_id", F.lit(lg_k)).alias("sketch"))
+    return counted.select(F.col("w.start").alias("ts"), "name", "sketch")
+
+
+def rollup_distinct(rollup: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct workflows over whole buckets of a stored rollup; a workflow in several buckets counts once."""
+    merged = rollup.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*keys, F.hll_sketch_estimate("sketch").alias("workflows"))
