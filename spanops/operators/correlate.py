@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops import schema as S
-from spanops.functions.predicates import select_spans
-from spanops.functions.scalars import attribute_error, field
+from spanops.functions.predicates import instant, lookback, select_spans
+from spanops.functions.scalars import attribute_error, field, interval
 from spanops.session import materialize
 
 # Severities that mark a failure.
@@ -24,6 +24,17 @@ def _bad() -> Column:
     return F.col("severity_text").isin(*BAD_SEVERITIES)
 
 
+def _since(rows: DataFrame, window: str | None, as_of: object | None) -> DataFrame:
+    """Rows not older than the window, so that older files are not opened. Later ones stay: a log may follow its span."""
+    if window is None:
+        return rows
+    return rows.where(F.col("timestamp") >= instant(rows, as_of) - interval(window))
+
+
+def _within(rows: DataFrame, window: str | None, as_of: object | None) -> DataFrame:
+    return rows if window is None else rows.where(lookback(rows, window, as_of))
+
+
 def _has_span(column: str = "span_id") -> Column:
     return F.coalesce(F.col(column) != "", F.lit(False))
 
@@ -42,15 +53,18 @@ def trace_log_correlation(
     as_of: object | None = None,
     window: str | None = "1 hour",
     step: str = "5 minutes",
+    error: Column | None = None,
     **base: object,
 ) -> DataFrame:
     """Failed spans and ERROR/WARN logs side by side per bucket and activity.
 
     A log with a span id belongs to that span. One without belongs to its trace and is counted with
-    the trace's first span, so every log counts once however many spans the trace has.
+    the trace's first span, so every log counts once however many spans the trace has. ``error`` says which spans failed
+    (default ``has_error``). Logs older than the window are not read.
     """
+    logs = _since(logs, window, as_of)
     rows = select_spans(spans, as_of=as_of, window=window, **base).select(
-        "timestamp", "trace_id", "span_id", F.col("name").alias("activity"), _failed().alias("failed")
+        "timestamp", "trace_id", "span_id", F.col("name").alias("activity"), _failed(error).alias("failed")
     )
     per_span = _logs_per_span(logs)
     loose = logs.where(_bad() & ~_has_span()).groupBy("trace_id").agg(
@@ -93,21 +107,36 @@ def _failed_traces(spans: DataFrame, error: Column | None = None) -> DataFrame:
     return spans.where(_failed(error)).select("trace_id").distinct()
 
 
-def error_logs_for_failed(spans: DataFrame, logs: DataFrame, error: Column | None = None) -> DataFrame:
-    """ERROR/WARN logs of workflows with a failed span; ``error`` says which spans failed (default ``has_error``)."""
-    return logs.where(_bad()).join(_failed_traces(spans, error), "trace_id", "left_semi")
+def error_logs_for_failed(
+    spans: DataFrame, logs: DataFrame, error: Column | None = None, *, window: str | None = None, as_of: object | None = None
+) -> DataFrame:
+    """ERROR/WARN logs of workflows with a failed span; ``error`` says which spans failed (default ``has_error``).
 
+    With a window: of the spans in it, and logs not older than it.
+    """
+    failed = _failed_traces(_within(spans, window, as_of), error)
+    return _since(logs, window, as_of).where(_bad()).join(failed, "trace_id", "left_semi")
 
-def unlogged_failures(spans: DataFrame, logs: DataFrame, error: Column | None = None) -> DataFrame:
-    """Failed spans of workflows without any ERROR/WARN log."""
-    logged = logs.where(_bad()).select("trace_id").distinct()
-    return spans.where(_failed(error)).join(logged, "trace_id", "left_anti")
+
+def unlogged_failures(
+    spans: DataFrame, logs: DataFrame, error: Column | None = None, *, window: str | None = None, as_of: object | None = None
+) -> DataFrame:
+    """Failed spans of workflows without any ERROR/WARN log; with a window, of the spans in it, and logs not older than it."""
+    logged = _since(logs, window, as_of).where(_bad()).select("trace_id").distinct()
+    return _within(spans, window, as_of).where(_failed(error)).join(logged, "trace_id", "left_anti")
 
 
-def effective_error(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:
-    """Add ``effective_error``: reported, or told by a failure attribute or an ERROR/WARN log of the span."""
+def effective_error(
+    spans: DataFrame, logs: DataFrame | None = None, *, window: str | None = None, as_of: object | None = None
+) -> DataFrame:
+    """Add ``effective_error``: reported, or told by a failure attribute or an ERROR/WARN log of the span.
+
+    With a window: the spans in it, and logs not older than it.
+    """
+    spans = _within(spans, window, as_of)
     if logs is None:
         return spans.withColumn("effective_error", attribute_error())
+    logs = _since(logs, window, as_of)
     bad = logs.where(_bad() & _has_span()).select("trace_id", "span_id").distinct().withColumn("_logged", F.lit(True))
     joined = spans.join(bad, ["trace_id", "span_id"], "left")
     flag = attribute_error() | F.coalesce("_logged", F.lit(False))

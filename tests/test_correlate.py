@@ -1,9 +1,12 @@
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from spanops import schema as S
 from spanops.functions.scalars import attribute_error
 from spanops.operators import correlate, explore, latency
 from spanops.session import materialize
+from tests.conftest import START
 
 
 def test_logs_do_not_multiply_spans(make_spans, make_logs):
@@ -131,3 +134,17 @@ def test_rounds_write_only_open_spans(make_spans, monkeypatch):
     assert depths.groupBy("depth").count().count() == 12 and depths.count() == 72
     # All spans once, then those that a round before left open.
     assert written[:3] == [72, 51, 30] and written == sorted(written, reverse=True) and written[-1] < 12
+
+
+def test_time_ranges_of_log_joins(make_spans, make_logs):
+    spans = make_spans([{"trace": "old", "error": True, "sec": -7200}, {"trace": "a", "error": True, "sec": 0}, {"trace": "b", "error": True, "sec": 10}])
+    logs = make_logs([{"trace": "old", "sec": -7100}, {"trace": "a", "sec": 5}, {"trace": "b", "sec": -7000}])
+    at = {"window": "1 hour", "as_of": START + timedelta(seconds=60)}
+    assert [r["trace_id"] for r in correlate.error_logs_for_failed(spans, logs, **at).collect()] == ["a"]
+    assert {r["trace_id"] for r in correlate.error_logs_for_failed(spans, logs).collect()} == {"old", "a", "b"}
+    assert [r["trace_id"] for r in correlate.unlogged_failures(spans, logs, **at).collect()] == ["b"]
+    flags = correlate.effective_error(spans.withColumn("has_error", F.lit(False)), logs.withColumn("span_id", F.lit("s1")), **at)
+    assert {r["trace_id"]: r["effective_error"] for r in flags.collect()} == {"a": True, "b": False}
+    # The bound reaches the scan of the logs as a plain comparison of the column.
+    row = correlate.trace_log_correlation(spans.withColumn("has_error", F.lit(False)), logs, error=F.col("trace_id") == "b", **at).collect()
+    assert sum(r["error_spans"] for r in row) == 1 and sum(r["bad_logs"] for r in row) == 1
