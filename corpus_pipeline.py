@@ -1,7 +1,13 @@
 """From raw documents to token ids: quality rules, near copies, secrets, mixing, encoding.
 
 Every stage works on all rows that its predecessor kept, and is written as Parquet in the shared folder before the next one
-reads it, so a lost executor costs tasks, not stages. All stages but the last return the columns of ``documents``.
+reads it, so a lost executor costs tasks, not stages. All stages but the last return the columns of ``documents``, extra ones included.
+
+Defined results: a null or empty text has too few words and goes with the quality rules. Of rows with the same id and text one stays (where other columns differ, the first as JSON text), and one of each
+class of near copies: the smallest id, null ids last, then the smallest hash of the text. Secrets are masked in the text, and
+``n_chars``, where there is one, follows. A document whose rate is over 1 comes out more than once, equal rows alike; without labels
+of two domains every rate is 1, and without labelled documents of both qualities the base rule alone decides. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
