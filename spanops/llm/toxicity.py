@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops.llm import common
 from spanops.session import materialize
@@ -60,6 +60,9 @@ _JOINED = re.compile(r"(?:^|(?<=[^\w]))\w(?:[.\-_*~,/]\w){2,}(?!\w)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+_STEM = zlib.crc32(b"\0")
+
+
 def fold(text: str) -> str:
     """Lower case, accented and wide letters as plain ones."""
     text = text.lower()
@@ -67,7 +70,21 @@ def fold(text: str) -> str:
 
 
 def codes(folded: str) -> np.ndarray:
-    return np.frombuffer(folded.encode("ascii", "replace").translate(_CODES), np.uint8)
+    points = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.frombuffer(_CODES, np.uint8)
+    return np.where(points < 256, table[points & 255], np.uint8(OTHER))
+
+
+# Each Latin-1 character, folded; those that become several letters count as one sign.
+_LATIN = bytes(codes(f)[0] if len(f := fold(chr(c))) == 1 else OTHER for c in range(256))
+
+
+def letter_codes(text: str) -> np.ndarray:
+    """``codes(fold(text))``, by one table where the text has Latin letters only."""
+    try:
+        return np.frombuffer(text.lower().encode("latin-1").translate(_LATIN), np.uint8)
+    except UnicodeEncodeError:
+        return codes(fold(text))
 
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
@@ -76,10 +93,13 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**ORDER, np.int64)
+        gap = np.zeros(ORDER - 1, np.uint8)
         for batch in batches:
-            if any(found := common.texts(batch)):
-                c = codes(f"   {fold('   '.join(found))} ").astype(np.int32)
-                total += np.bincount(((c[:-3] * LETTERS + c[1:-2]) * LETTERS + c[2:-1]) * LETTERS + c[3:], minlength=LETTERS**ORDER)
+            found = [part for t in common.texts(batch) if t for part in (gap, letter_codes(t))]
+            if found:
+                c = np.concatenate([*found, gap[:1]]).astype(np.int32)
+                at = c[:-3] * LETTERS**3 + c[1:-2] * LETTERS**2 + c[2:-1] * LETTERS + c[3:]
+                total += np.bincount(at, minlength=LETTERS**ORDER)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
@@ -172,7 +192,8 @@ class Words(dict):
     def __init__(self, costs: np.ndarray, weights: np.ndarray | None = None):
         """With weights, buckets without weight are left out."""
         super().__init__()
-        self.costs, self.weights = costs, weights
+        self.costs = costs
+        self.used = None if weights is None else (weights != 0).tobytes()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
@@ -194,14 +215,17 @@ class Words(dict):
 
     def buckets(self, plain: str) -> tuple[int, ...]:
         """Buckets of the words and of their beginnings, which stand for the stems of inflected and compound words."""
-        found = set()
+        found = []
         for part in plain.split():
             if word := part.strip(_EDGE):
-                found.add(zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS)
-                for k in STEMS:
-                    if len(word) > k:
-                        found.add(zlib.crc32(b"\0" + word[:k].encode("utf-8", "surrogatepass")) % BUCKETS)
-        return tuple(sorted(found if self.weights is None else {b for b in found if self.weights[b]}))
+                raw = word.encode("utf-8", "surrogatepass")
+                found.append(zlib.crc32(raw) % BUCKETS)
+                if len(raw) != len(word):
+                    found += [zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), _STEM) % BUCKETS for k in STEMS if k < len(word)]
+                else:
+                    found += [zlib.crc32(raw[:k], _STEM) % BUCKETS for k in STEMS if k < len(raw)]
+        used = self.used
+        return tuple(found if used is None else [b for b in found if used[b]])
 
     def of(self, text: str) -> np.ndarray:
         """Distinct buckets of the words of a text, restored."""
@@ -220,13 +244,14 @@ def restored(text: str, costs: np.ndarray) -> str:
     return re.sub(r"\S+", lambda m: m.group().lower() if m.group().strip(_EDGE).isalpha() and not _REPEAT.search(m.group()) else make.plain(m.group().lower()), text)
 
 
-def telling(flat: np.ndarray, label: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether a bucket occurs in the two classes' documents more unevenly than chance, by a chi-squared score."""
-    hits = np.bincount(flat[label == 1], minlength=BUCKETS)
-    total = hits + np.bincount(flat[label == 0], minlength=BUCKETS)
-    share = total / sizes.sum()
-    spread = share * (1 - share) * sizes[0] * sizes[1] / sizes.sum()
-    return ((hits - share * sizes[1]) ** 2 > CHI_SQUARED * np.maximum(spread, 1e-9)) & (total >= 4)
+def telling(hits: Column, total: Column, sizes: tuple[int, int]) -> Column:
+    """Whether a bucket (``hits`` of ``total`` documents with label 1) occurs more unevenly than chance, by a chi-squared score.
+
+    ``sizes``: documents with label 0 and 1.
+    """
+    share = total / F.lit(float(sum(sizes)))
+    spread = share * (1 - share) * F.lit(sizes[0] * sizes[1] / sum(sizes))
+    return (total >= 4) & (F.pow(hits - share * sizes[1], F.lit(2.0)) > F.lit(CHI_SQUARED) * spread)
 
 
 def fit(parts: list[np.ndarray], labels: np.ndarray, share: float, l2: float = 1e-4) -> np.ndarray:
@@ -237,8 +262,6 @@ def fit(parts: list[np.ndarray], labels: np.ndarray, share: float, l2: float = 1
     flat = np.concatenate(parts)
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     sizes = np.bincount(labels, minlength=2)
-    useful = telling(flat, labels[doc], sizes)[flat]
-    flat, doc = flat[useful], doc[useful]
     weight = np.where(labels == 1, share / sizes[1], (1 - share) / sizes[0])
     used, flat = np.unique(flat, return_inverse=True)
     w = np.zeros(len(used) + 1)
@@ -256,7 +279,7 @@ def fit(parts: list[np.ndarray], labels: np.ndarray, share: float, l2: float = 1
     return out
 
 
-def held_out(doc_id: F.Column) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     """Whether labels of a document are kept back, by a hash of its id."""
     every, rest = HELD_OUT
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % every == rest, F.lit(False))
@@ -281,7 +304,14 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, sample_docs: in
         ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
         return pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("label"), common.lists(np.concatenate(found), ends, pa.int32())], ["k_id", "label", "features"])
 
-    rows = sorted((r.k_id, r.label, r.features) for r in common.map_arrow(sample, work, "k_id long, label int, features array<int>").collect())
+    features = materialize(common.map_arrow(sample, work, "k_id long, label int, features array<int>"), "features")
+    sizes = {r["label"]: r["count"] for r in features.groupBy("label").count().collect()}
+    counted = features.select("label", F.explode("features").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("hits"), F.count("*").alias("total"))
+    # Only telling buckets leave the tasks, and the driver learns from those alone.
+    useful = counted.where(telling(F.col("hits"), F.col("total"), (sizes.get(0, 0), sizes.get(1, 0)))).select("bucket")
+    kept = features.select("k_id", "label", F.explode("features").alias("bucket")).join(F.broadcast(useful), "bucket")  # at most BUCKETS rows
+    told_of = kept.groupBy("k_id").agg(F.collect_set("bucket").alias("features"))
+    rows = sorted((r.k_id, r.label, sorted(r.features or [])) for r in features.select("k_id", "label").distinct().join(told_of, "k_id", "left").collect())
     return fit([np.array(f, np.int64) for _, _, f in rows], np.array([k for _, k, _ in rows]), have[1] / (have[0] + have[1]))
 
 
