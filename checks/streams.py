@@ -156,9 +156,9 @@ SELECT trace_id, tier, spans, status, total_charged, fraud_score, shipping_eta,
 FROM outcome JOIN shipped USING (trace_id)"""))
 def st_workflow_close(spark, sf_dir):
     """Every workflow is closed; one row long after the others moves the watermark."""
-    workflows.use_state_store(spark)
     stream = _with_closing(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", views.workflow_spans)
-    return run_available(workflows.st_workflow_close(stream), "append")
+    with workflows.state_store(spark):
+        return run_available(workflows.st_workflow_close(stream), "append")
 
 
 @register("st_sliding_budget_panes", ORACLES["st_sliding_budget"])

@@ -143,21 +143,29 @@ def _plain_aggregate(aggregation: str, value: Column | None) -> Column:
 def aggregate(
     rows: DataFrame, keys: Mapping[str, Column], aggregations: Mapping[str, tuple[str, Column | None]], quantile_mode: str = "exact"
 ) -> DataFrame:
-    """Named aggregations side by side; quantiles of each value and distinct counts run apart from the rest.
+    """Named aggregations side by side. All quantiles of one value are one pass, which takes the plain aggregates along; distinct
+    counts run apart.
 
     A distinct count in the same aggregate would first spread every group by the counted value.
     """
     columns = [column.alias(name) for name, column in keys.items()]
-    plain = {n: a for n, a in aggregations.items() if a[0] not in QUANTILES and a[0] != "count_distinct"}
+    plain = [
+        _plain_aggregate(kind, v).alias(n) for n, (kind, v) in aggregations.items() if kind not in QUANTILES and kind != "count_distinct"
+    ]
+    by_value: dict[str, tuple[Column, dict[str, float]]] = {}
+    for name, (kind, value) in aggregations.items():
+        if kind in QUANTILES:
+            by_value.setdefault(str(value), (value, {}))[1][name] = QUANTILES[kind]
     parts = []
+    for value, wanted in by_value.values():
+        found = group_stats(rows, keys, value, wanted, plain or [F.count(F.lit(1)).alias("_n")], quantile_mode)
+        parts.append(found if plain else found.drop("_n"))
+        plain = []
     if plain:
-        parts.append(rows.groupBy(*columns).agg(*[_plain_aggregate(kind, v).alias(n) for n, (kind, v) in plain.items()]))
+        parts.append(rows.groupBy(*columns).agg(*plain))
     for name, (kind, value) in aggregations.items():
         if kind == "count_distinct":
             parts.append(rows.groupBy(*columns).agg(F.countDistinct(value).alias(name)))
-        elif kind in QUANTILES:
-            found = group_stats(rows, keys, value, {name: QUANTILES[kind]}, [F.count(F.lit(1)).alias("_n")], quantile_mode)
-            parts.append(found.drop("_n"))
     out = parts[0]
     for part in parts[1:]:
         if keys:
@@ -293,10 +301,10 @@ def builder_query(
         flat = name.replace(".", "_")
         picked.append(field(table, name).alias(flat))
         keys[flat] = F.col(flat)
-    wanted = {}
+    wanted, place = {}, {on: f"_v{k}" for k, on in enumerate(dict.fromkeys(on for _, on in aggregations.values()))}
+    picked += [(F.lit(1) if on is None else field(table, on)).alias(name) for on, name in place.items()]
     for out_name, (kind, on) in aggregations.items():
-        picked.append((F.lit(1) if on is None else field(table, on)).alias(f"_v_{out_name}"))
-        wanted[out_name] = (kind, F.col(f"_v_{out_name}"))
+        wanted[out_name] = (kind, F.col(place[on]))
     out = aggregate(rows.select(*picked), keys, wanted, quantile_mode)
     if having is not None:
         out = out.where(_condition(having))

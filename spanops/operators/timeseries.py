@@ -120,7 +120,7 @@ def gap_fill(
     end: object | None = None,
     fill: object = 0,
 ) -> DataFrame:
-    """Every bucket of the range for every series; missing ones hold ``fill``.
+    """Every bucket of the range for every series; missing ones hold ``fill``, a NULL that is there stays one.
 
     Each row also emits the empty buckets up to the next row of its series, so nothing is joined.
     ``start`` and ``end`` may lie anywhere in a bucket; where absent they are the ends of the data.
@@ -149,7 +149,7 @@ def gap_fill(
     grid = placed.withColumn("_at", F.explode(F.sequence(first, last, width)))
     own = F.col("_at") == F.col(ts)
     filled = F.when(own, F.col(value)).otherwise(F.lit(fill)).cast(series.schema[value].dataType)
-    out = grid.select(F.col("_at").alias(ts), *keys, F.coalesce(filled, F.lit(fill)).alias(value))
+    out = grid.select(F.col("_at").alias(ts), *keys, filled.alias(value))
     return out.orderBy(ts, *keys)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -116,7 +117,7 @@ def st_workflow_close(
 
     Retries that come within ``grace`` count. Later ones, up to ``gap`` after the last span, give the workflow's row once more with
     the next ``revision``; the last revision equals the batch report. A workflow that goes on after that starts again. State is one
-    row per open workflow. The session needs the state store ``STATE_STORE`` (``use_state_store``).
+    row per open workflow. It must be started with the state store ``STATE_STORE`` (``state_store``).
     """
     rows = watermarked(spans, delay).where("trace_id != ''")
     place = F.lit(None).cast("int")
@@ -147,6 +148,13 @@ def st_workflow_close(
     return closed.select("*", *flags).select(F.timestamp_millis("closed_ms").alias("closed_at"), "revision", *outcome_columns())
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Let streams started from now on keep state where values with timers can live."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep state where values with timers can live; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

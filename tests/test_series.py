@@ -71,3 +71,10 @@ def test_tag_is_removed_afterwards(spark):
     with panels.tag_query(spark, "a, b"):
         assert "a; b" in spark.getTags()
     assert "a; b" not in spark.getTags()
+
+
+def test_a_value_that_is_null_stays(spark):
+    rows = [(START, "a", 1), (START + timedelta(minutes=1), "a", None), (START + timedelta(minutes=3), "a", 4)]
+    series = spark.createDataFrame(rows, "ts timestamp_ntz, k string, v int")
+    out = timeseries.gap_fill(series, keys=["k"], value="v", step="1 minute")
+    assert [r["v"] for r in out.collect()] == [1, None, 0, 4]

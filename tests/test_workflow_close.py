@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanops.operators import workflow
 from spanops.operators.correlate import attribute_error
 from spanops.streaming.run import run_available
-from spanops.streaming.workflows import st_workflow_close, use_state_store
+from spanops.streaming.workflows import st_workflow_close, state_store
 from tests.conftest import START
 from tests.test_streaming import _feed, _rows
 
@@ -16,9 +16,8 @@ STEPS = [f"activity.{n}" for n in ("validate_order", "check_fraud", "process_pay
 
 @pytest.fixture(autouse=True)
 def store(spark):
-    use_state_store(spark)
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with state_store(spark):
+        yield
 
 
 def flow(trace, sec, upto=5, **more):
