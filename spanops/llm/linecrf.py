@@ -1,7 +1,9 @@
 """Quality rules: a linear-chain CRF labels every line as content or boilerplate; the share of content decides.
 
-Fitting uses a bounded sample of labelled documents (``SAMPLE_DOCS`` of each class, ``SAMPLE_LINES`` lines of each);
-a line of a good document is taken as content, one of a bad document as boilerplate. Labelling reads whole texts.
+Fitting uses a bounded sample of labelled documents (``SAMPLE_DOCS`` of each class; of each up to ``SAMPLE_PIECES`` pieces of
+``SAMPLE_LINES`` lines, taken by hash from the whole text). A line of a good document is taken as content, one of a bad document as
+boilerplate, and pages are composed of both in turn, so that the chain learns to change its label inside a page. Labelling reads
+whole texts.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; a null id stays null; equal
 rows get equal results; an empty table gives an empty result; without labelled documents of both classes the CRF
@@ -11,6 +13,7 @@ abstains (every line is content) and the base rule alone decides. Other columns
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,9 @@ from spanops.llm import common
 
 SAMPLE_DOCS = 400
 SAMPLE_LINES = 40
+SAMPLE_PIECES = 8
+# Lines of one kind that follow each other in a composed page.
+STRETCH = 8
 MIN_CONTENT = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
@@ -145,20 +151,47 @@ def _lines(text: str) -> list[str]:
     return [line for line in text.split("\n") if _WORD.search(line)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineCRF | None:
-    """CRF from the labelled documents with the smallest id hashes, as many of each class."""
+def _pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Line features, one number of bits a line, of up to ``SAMPLE_PIECES`` pieces of each text, the pieces with the smallest hashes."""
+    k_id, good, bits = [], [], []
+    weights = 1 << np.arange(17)
+    for doc, label, text in zip(batch.column("k_id").to_pylist(), batch.column("good").to_pylist(), common.texts(batch), strict=True):
+        features = line_features(_lines(text))
+        starts = list(range(0, len(features), SAMPLE_LINES))
+        for start in sorted(sorted(starts, key=lambda s: zlib.crc32(f"{doc}:{s}".encode()))[:SAMPLE_PIECES]):
+            k_id.append(doc)
+            good.append(label)
+            bits.append((features[start : start + SAMPLE_LINES] @ weights).astype(int).tolist())
+    return pa.RecordBatch.from_arrays([pa.array(k_id, pa.int64()), pa.array(good, pa.int32()), pa.array(bits, pa.list_(pa.int32()))], ["k_id", "good", "bits"])
+
+
+def composed(pieces: list[tuple[np.ndarray, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pages and their line labels: stretches of good and bad documents in turn, each line once; what is left stays by itself."""
+    stretches: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for features, good in pieces:
+        stretches[good].extend(features[k : k + STRETCH] for k in range(0, len(features), STRETCH))
+    pages, labels = [], []
+    most = max(map(len, stretches))
+    for k in range(0, most, 2):
+        parts = [(s, good) for j in (k, k + 1) for good in (1, 0) for s in stretches[good][j : j + 1]]
+        pages.append(np.concatenate([s for s, _ in parts]))
+        labels.append(np.concatenate([np.full(len(s), good) for s, good in parts]))
+    return pages, labels
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineCRF | None:
+    """CRF from the labelled documents with the smallest id hashes, as many of each class; the driver gets line features only."""
     told = labels.select(labels["doc_id"].cast("long").alias("k_id"), labels["quality"].cast("int").alias("good"))
     told = told.where("k_id is not null and good in (0, 1)").groupBy("k_id").agg(F.max("good").alias("good"))
     rank = F.xxhash64("k_id")
     picks = [told.where(F.col("good") == g).orderBy(rank, "k_id").limit(sample_docs) for g in (0, 1)]
-    sample = docs.select(docs["doc_id"].cast("long").alias("k_id"), docs["text"]).where("text is not null")
-    lines = F.slice(F.split("text", "\n"), 1, sample_lines)
-    rows = sample.join(picks[0].unionByName(picks[1]), "k_id").select("k_id", "good", lines.alias("lines")).collect()
-    rows = sorted((r.k_id, "\n".join(r.lines), r.good) for r in rows)
-    found = [(line_features(kept), good) for _, text, good in rows if (kept := _lines(text))]
+    texts = docs.select(docs["doc_id"].cast("long").alias("k_id"), docs["text"].cast("string").alias("text")).where("text is not null")
+    sample = texts.join(picks[0].unionByName(picks[1]), "k_id").select("k_id", "good", "text")
+    rows = sorted(map(tuple, common.map_arrow(sample, _pieces, "k_id long, good int, bits array<int>").collect()))
+    found = [((np.array(bits)[:, None] >> np.arange(17) & 1).astype(float), good) for _, good, bits in rows if bits]
     if {good for _, good in found} != {0, 1}:
         return None
-    return LineCRF.fit([f for f, _ in found], [np.full(len(f), good) for f, good in found])
+    return LineCRF.fit(*composed(found))
 
 
 def measure(text: str, hashes: common.WordHashes, crf: LineCRF | None, min_content: float = MIN_CONTENT) -> tuple:

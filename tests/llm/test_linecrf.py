@@ -82,3 +82,43 @@ def test_filter_keeps_rows_and_columns(spark):
     assert 0 < kept.count() < len(rows)
     assert linecrf.keep_good(df.limit(0), known).count() == 0
     assert linecrf.quality(df.limit(0), known).count() == 0
+
+
+def test_every_part_of_a_text_can_be_in_the_fit(spark):
+    """Pieces come from the whole text, its end included, and hold each line's features as bits."""
+    lines = [f"line number {k} has some words in it." if k % 3 else "| menu | #" for k in range(2000)]
+    sample = frames.docs(spark, [(k, "\n".join(lines)) for k in range(30)]).selectExpr("doc_id as k_id", "1 as good", "text")
+    rows = linecrf.common.map_arrow(sample, linecrf._pieces, "k_id long, good int, bits array<int>").collect()
+    assert len(rows) == 30 * linecrf.SAMPLE_PIECES
+    whole = (linecrf.line_features(lines) @ (1 << np.arange(17))).astype(int).tolist()
+    starts = [k for k in range(0, 2000, linecrf.SAMPLE_LINES)]
+    found = {tuple(whole[k : k + linecrf.SAMPLE_LINES]) for k in starts}
+    assert {tuple(r.bits) for r in rows} <= found and any(tuple(r.bits) == tuple(whole[k : k + 40]) for r in rows for k in starts[-15:])
+
+
+def test_composed_pages():
+    good, bad = np.ones((20, 2)), np.zeros((9, 2))
+    pages, labels_ = linecrf.composed([(good, 1), (bad, 0)])
+    assert sum(map(len, pages)) == 29 and all(len(p) == len(t) for p, t in zip(pages, labels_, strict=True))
+    assert all((p[:, 0] == t).all() for p, t in zip(pages, labels_, strict=True))
+    assert labels_[0].tolist() == [1] * 8 + [0] * 8 + [1] * 8 + [0] and labels_[1].tolist() == [1] * 4
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF_DIR), reason="test tables are not there")
+def test_bad_lines_in_good_pages_are_marked(spark):
+    """Lines are labelled, not pages: three lines of a bad document under, and between the lines of, a good one."""
+    docs, known = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    crf = linecrf.train(docs, known.where("doc_id % 4 != 1"))
+    held = docs.join(known.where("doc_id % 4 = 1"), "doc_id").where("length(text) < 5000").orderBy("doc_id").collect()
+    lines = {q: [x for r in held if r.quality == q and (x := linecrf._lines(r.text))] for q in (0, 1)}
+    marked = kept = total = 0
+    for good, bad in zip(lines[1], lines[0], strict=False):
+        bad, half = bad[:3], len(good) // 2
+        for page, at in ((good + bad, len(good)), (good[:half] + bad + good[half:], half)):
+            content = crf.viterbi(linecrf.line_features(page))
+            marked += int((~content[at : at + len(bad)]).sum())
+            kept += int(content[:at].sum() + content[at + len(bad) :].sum())
+            total += len(bad)
+    pages = min(len(lines[0]), len(lines[1]))
+    assert pages > 50 and marked > 0.75 * total
+    assert kept > 0.97 * 2 * sum(map(len, lines[1][:pages]))
