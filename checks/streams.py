@@ -163,14 +163,14 @@ def st_workflow_close(spark, sf_dir):
 
 @register("st_sliding_budget_panes", ORACLES["st_sliding_budget"])
 def st_sliding_budget_panes(spark, sf_dir):
-    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans)
+    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans, event_type="signup", user_id=0)
     return run_available(panes.budget_panes(stream, window="7 days", slide="1 day"), "append")
 
 
 @register("st_anomaly_panes", ORACLES["st_anomaly"])
 def st_anomaly_panes(spark, sf_dir):
     """With sketches large enough to be exact on the given tables."""
-    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans)
+    stream = _with_closing(spark, sf_dir, "events", "event_id", "ts", views.spans, event_type="signup", user_id=0)
     return run_available(panes.anomaly_panes(stream, window="7 days", slide="1 day", sketch_k=32768), "append")
 
 
