@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanops.llm import common
-from spanops.session import materialize
 
 MIN_COUNT = 8
 MIN_SHARE = 0.0  # the floor does not rise with the input
@@ -108,26 +107,41 @@ def _count_grams(shared, size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         good = may[third] & may[third - 1]
         at = third[good]
         keys, context, rest = triple[good], pair[at - 1], pair[at]
-    keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([_signed(keys), _signed(context[first]), _signed(rest[first]), pa.array(counts)], ["k", "ctx", "rest", "c"])
+    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([_signed(context[first]), _signed(rest[first]), pa.array(counts)], ["ctx", "rest", "c"])
 
 
-def _frequent_grams(docs: DataFrame, lower: DataFrame, size: int) -> DataFrame:
+def _with_key(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The key of a gram from its parts: a pair's from its words; a triple's from its first pair and, of the second, the last word."""
+    context, rest = batch.column("ctx").to_numpy().view(np.uint64), batch.column("last" if size == 3 else "rest").to_numpy().view(np.uint64)
+    return pa.RecordBatch.from_arrays(
+        [_signed(_joined(context, rest)), *[batch.column(c) for c in ("ctx", "rest", "c")]], ["k", "ctx", "rest", "c"]
+    )
+
+
+def _frequent_grams(docs: DataFrame, lower: DataFrame, size: int, keep: common.Scratch) -> DataFrame:
+    """(k, ctx, rest, c) of the frequent grams. Only context, rest and count are sent; keys are made for what is left."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(lower))
-    rows = common.map_arrow(docs.select("text"), partial(_count_grams, shared, size), "k long, ctx long, rest long, c long")
-    counted = rows.groupBy("k", "ctx", "rest").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-    return materialize(counted, "grams")
+    rows = common.map_arrow(docs.select("text"), partial(_count_grams, shared, size), "ctx long, rest long, c long")
+    counted = rows.groupBy("ctx", "rest").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    if size == 3:
+        counted = counted.join(lower.select(F.col("k").alias("rest"), "last"), "rest")
+    found = keep.write(common.map_arrow(counted, partial(_with_key, size), "k long, ctx long, rest long, c long"), "grams")
+    keep.forget()
+    return found
 
 
-def retain(found: DataFrame, lower: DataFrame, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """The level of ``found`` (k, ctx, rest, c) over ``lower`` (k, c, p): rows (k, c, p, delta) and states (ctx, passed).
+def retain(found: DataFrame, lower: DataFrame, n: int, kind: str, keep: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """The level of ``found`` (k, ctx, rest, c) over ``lower`` (k, c, p): rows (k, c, p, delta, last) and states (ctx, passed).
 
     ``p`` is log10 P of the last word after the context, the parent's where the context is not retained; ``delta`` is what
     a listed word adds to the mass passed on and the parent's ``p``. Contexts are retained that diverge from their parent.
     """
     total = lower.select(F.col("k").alias("ctx"), F.col("c").alias("total"))
     below = lower.select(F.col("k").alias("rest"), F.col("p").alias("below"))
-    rows = materialize(found.join(total, "ctx").join(below, "rest").drop("rest"), kind)
+    rows = keep.write(found.join(total, "ctx").join(below, "rest").withColumnRenamed("rest", "last"), kind)
+    keep.drop(found)
+    keep.forget()
     sums = rows.groupBy("ctx").agg(
         F.max("total").alias("t"), F.sum("c").alias("listed"), F.count("*").alias("size"), F.sum(F.col("c") - DISCOUNT).alias("own"),
     )
@@ -140,26 +154,32 @@ def retain(found: DataFrame, lower: DataFrame, n: int, kind: str) -> tuple[DataF
     )
     gain = F.col("gain") + F.greatest(F.col("t") - F.col("listed"), F.lit(0)) * F.log("spread")
     kept = coded.join(sums, "ctx").where(gain > 0.5 * math.log(max(2, n)) * (F.col("size") + 1))
-    states = materialize(kept.select("ctx", "spread"), kind)
+    states = keep.write(kept.select("ctx", "spread"), kind)
     own = F.log10(p)
     level = rows.join(states, "ctx", "left").select(
-        "k", "c", F.coalesce(own, F.col("below")).alias("p"),
+        "k", "c", "last", F.coalesce(own, F.col("below")).alias("p"),
         F.coalesce(own - F.log10("spread") - F.col("below"), F.lit(0.0)).alias("delta"),
     )
-    return materialize(level, kind), states.select("ctx", F.log10("spread").alias("passed"))
+    level = keep.write(level, kind)
+    keep.drop(rows)
+    keep.forget()
+    return level, states.select("ctx", F.log10("spread").alias("passed"))
 
 
 def learn(docs: DataFrame) -> tuple[DataFrame, int, float]:
     """What each word, pair and triple adds to the scores (k, c, known, base, model), the training tokens and the base's divisor."""
     counted = common.map_arrow(docs.select("text"), _count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    words = materialize(counted.withColumnRenamed("w", "k"), "words")
+    keep = common.Scratch(docs.sparkSession)
+    words = keep.write(counted.withColumnRenamed("w", "k"), "words")
+    keep.forget()
+    counts = words
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
     base_den = math.log10(n + 0.5 * (v + 1))
     words = words.withColumn("p", F.log10(F.col("c") + 0.5) - F.lit(base_den))
     frequent = words.where(F.col("c") >= MIN_COUNT)
-    pairs, states = retain(_frequent_grams(docs, frequent, 2), frequent, n, "pairs")
-    triples, deep = retain(_frequent_grams(docs, pairs, 3), pairs, n, "triples")
+    pairs, states = retain(_frequent_grams(docs, frequent, 2, keep), frequent, n, "pairs", keep)
+    triples, deep = retain(_frequent_grams(docs, pairs, 3, keep), pairs, n, "triples", keep)
     passed = F.coalesce(F.col("passed"), F.lit(0.0))
     none = F.lit(0.0).alias("base")
     adds = (
@@ -167,7 +187,10 @@ def learn(docs: DataFrame) -> tuple[DataFrame, int, float]:
         .union(pairs.join(deep.withColumnRenamed("ctx", "k"), "k", "left").select("k", "c", F.lit(0), none, (F.col("delta") + passed).alias("model")).where("model <> 0"))
         .union(triples.select("k", "c", F.lit(0), none, F.col("delta").alias("model")).where("model <> 0"))
     )
-    return materialize(adds, "adds"), n, base_den
+    out = keep.write(adds, "adds")
+    keep.drop(counts, pairs, triples)
+    keep.forget()
+    return out, n, base_den
 
 
 def _combined(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
