@@ -6,6 +6,7 @@ its text. Rows that agree in both are the same document read twice and get the s
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanops.session import configure
+from spanops.session import configure, scratch_path
 
 # Bounds of a batch handed to Python, whichever comes first; very long texts or sets make short batches.
 BATCH_ROWS = 2000
@@ -109,3 +110,55 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values).cast(kind))
+
+
+class Scratch:
+    """Tables that one job writes to the shared folder and deletes as soon as it is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, kind: str) -> DataFrame:
+        """Write and read back: the lineage ends on storage that outlives executors, and the planner knows the size."""
+        path = scratch_path(self.spark, kind)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((found, path))
+        return found
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables of these frames; frames made from others' columns have none and are passed over."""
+        for frame in frames:
+            for at, (known, path) in enumerate(self.paths):
+                if known is frame:
+                    name = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                    name.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+                    del self.paths[at]
+                    break
+
+    def forget(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.java.lang.System.gc()
+
+
+# Bits of a bitmap that goes to all tasks (16 MB); it saves shuffling and decides nothing.
+BITMAP_BITS = 1 << 27
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """A bitmap by the low bits of a column of hashes, combined in the tasks; the driver gets a fixed size."""
+    low = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    made = F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")
+    parts = rows.groupBy(F.shiftright(low, 15).alias("b")).agg(made).toArrow()
+    out = np.zeros((BITMAP_BITS >> 15, 4096), np.uint8)
+    for b, bits in zip(parts.column("b").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        out[b] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether hashes may be among those of a bitmap; false for certain where they are not."""
+    at = values.view(np.int64) & (BITMAP_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
