@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -12,6 +13,18 @@ from spanops import schema as S
 from spanops.functions.scalars import field, interval, ns_to_ms
 
 
+@dataclass(frozen=True)
+class Now:
+    """The present, read once for a report of several passes; like no ``as_of``, it is no upper bound."""
+
+    at: datetime
+
+
+def settled(df: DataFrame, as_of: object | None) -> object | None:
+    """``as_of`` as it is to be passed on by a report that looks at the table more than once. A stream asks the clock for every batch."""
+    return Now(datetime.now(timezone.utc)) if as_of is None and not df.isStreaming else as_of
+
+
 def instant(df: DataFrame, value: object | None, column: str = "timestamp") -> Column:
     """A point in time with the type of the table's own time column, so that no cast lands on the column.
 
@@ -19,6 +32,7 @@ def instant(df: DataFrame, value: object | None, column: str = "timestamp") -> C
     the clock again for every batch.
     """
     kind = df.schema[column].dataType
+    value = value.at if isinstance(value, Now) else value
     if value is None:
         return (F.current_timestamp() if df.isStreaming else F.lit(datetime.now(timezone.utc))).cast(kind)
     return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
@@ -47,7 +61,7 @@ def lookback(
     end = instant(df, as_of, column)
     first = end - interval(span)
     since = F.col(column) >= (first if slack is None else first - interval(slack))
-    return since if as_of is None else since & (F.col(column) <= end)
+    return since if as_of is None or isinstance(as_of, Now) else since & (F.col(column) <= end)
 
 
 def between(df: DataFrame, start: object, end: object, column: str = "timestamp") -> Column:

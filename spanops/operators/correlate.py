@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops import schema as S
-from spanops.functions.predicates import instant, lookback, select_spans
+from spanops.functions.predicates import instant, lookback, select_spans, settled
 from spanops.functions.scalars import attribute_error, field, interval
 from spanops.session import materialize
 
@@ -62,6 +62,7 @@ def trace_log_correlation(
     the trace's first span, so every log counts once however many spans the trace has. ``error`` says which spans failed
     (default ``has_error``). Logs older than the window are not read.
     """
+    as_of = settled(spans, as_of)
     logs = _since(logs, window, as_of)
     rows = select_spans(spans, as_of=as_of, window=window, **base).select(
         "timestamp", "trace_id", "span_id", F.col("name").alias("activity"), _failed(error).alias("failed")
@@ -114,6 +115,7 @@ def error_logs_for_failed(
 
     With a window: of the spans in it, and logs not older than it.
     """
+    as_of = settled(spans, as_of)
     failed = _failed_traces(_within(spans, window, as_of), error)
     return _since(logs, window, as_of).where(_bad()).join(failed, "trace_id", "left_semi")
 
@@ -122,6 +124,7 @@ def unlogged_failures(
     spans: DataFrame, logs: DataFrame, error: Column | None = None, *, window: str | None = None, as_of: object | None = None
 ) -> DataFrame:
     """Failed spans of workflows without any ERROR/WARN log; with a window, of the spans in it, and logs not older than it."""
+    as_of = settled(spans, as_of)
     logged = _since(logs, window, as_of).where(_bad()).select("trace_id").distinct()
     return _within(spans, window, as_of).where(_failed(error)).join(logged, "trace_id", "left_anti")
 
@@ -133,6 +136,7 @@ def effective_error(
 
     With a window: the spans in it, and logs not older than it.
     """
+    as_of = settled(spans, as_of)
     spans = _within(spans, window, as_of)
     if logs is None:
         return spans.withColumn("effective_error", attribute_error())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanops import schema as S
-from spanops.functions.predicates import attr_nonempty, lookback, select_spans, slower_than
+from spanops.functions.predicates import attr_nonempty, lookback, select_spans, settled, slower_than
 from spanops.functions.quantiles import group_stats, match_groups
 from spanops.functions.scalars import epoch_nanos, field, ns_to_ms, rate_pct, ratio, threshold_label
 from spanops.session import materialize
@@ -109,6 +109,7 @@ def latency_drift(
     **base: object,
 ) -> DataFrame:
     """P99 per tier in the live window against the P99 of every span in the longer baseline window."""
+    as_of = settled(spans, as_of)
     failed = F.coalesce(F.col("has_error") if error is None else error, F.lit(False))
     fleet = select_spans(spans, as_of=as_of, window=baseline, **base)
     now = select_spans(spans, as_of=as_of, window=live, **base).where(attr_nonempty(spans, dim))
@@ -146,6 +147,7 @@ def rolling_drift(
 
     The rows behind the trailing windows reach back by ``baseline`` beyond ``window``, so the first slots compare with whole ones.
     """
+    as_of = settled(spans, as_of)
     rows = select_spans(spans, as_of=as_of, window=window, **base)
     behind = select_spans(spans, **base)
     if window is not None:
@@ -279,6 +281,7 @@ def workflow_latency(
     Workflows count by their start, which must lie in ``window``; their spans are read from ``longest`` before it on, so a
     workflow that began earlier is neither cut nor counted.
     """
+    as_of = settled(spans, as_of)
     rows = select_spans(spans, **base)
     if window is not None:
         rows = rows.where(lookback(spans, window, as_of, slack=longest))

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanops import schema as S
-from spanops.functions.predicates import instant, select_spans
+from spanops.functions.predicates import instant, select_spans, settled
 from spanops.functions.scalars import field, interval
 from spanops.operators import latency, slo, timeseries
 
@@ -67,7 +67,8 @@ def panel_pack(
     quantile_mode: str = "exact",
     icons: bool = True,
 ) -> dict[str, DataFrame]:
-    """Panel name to DataFrame, in layout order. ``spans`` may be a cached ``panel_base``."""
+    """Panel name to DataFrame, in layout order, all as of the same instant. ``spans`` may be a cached ``panel_base``."""
+    as_of = settled(spans, as_of)
     shown = PANEL_WINDOWS | (windows or {})
     mode = {"quantile_mode": quantile_mode}
 

@@ -78,3 +78,16 @@ def test_a_value_that_is_null_stays(spark):
     series = spark.createDataFrame(rows, "ts timestamp_ntz, k string, v int")
     out = timeseries.gap_fill(series, keys=["k"], value="v", step="1 minute")
     assert [r["v"] for r in out.collect()] == [1, None, 0, 4]
+
+
+def test_all_panels_share_one_instant(make_spans):
+    """Without an ``as_of`` the clock is read once: every panel's lower bound comes from the same present."""
+    import re
+
+    spans = make_spans([{"sec": 0, "tier": "pro"}])
+    found = set()
+    for frame in panels.panel_pack(spans, windows={name: "1 hour" for name in panels.PANEL_WINDOWS}, baseline="1 hour").values():
+        mode = frame._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        plan = frame._jdf.queryExecution().explainString(mode)
+        found |= set(re.findall(r"timestamp#\d+ >= (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?)", plan))
+    assert len(found) == 1
