@@ -27,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanops.llm import common
-from spanops.session import materialize
 
 SIMILARITY_PCT = 90
 SHINGLE = 3
@@ -112,43 +112,58 @@ def set_hash(items: np.ndarray) -> int:
 
 
 def _nodes(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, rows = common.WordHashes(), []
+    """Size, hash, parities and packed set of every document; of equal sets in a batch the first alone is kept."""
+    hashes, rows, seen = common.WordHashes(), [], set()
     for text in common.texts(batch):
-        items = shingles(text, size, hashes)
-        rows.append((len(items), set_hash(items) if len(items) else None, parity(items)))
-    count, node, bits = zip(*rows, strict=True)
+        items = np.unique(shingles(text, size, hashes) & _SIX_BYTES)
+        node = set_hash(items) if len(items) else None
+        first = node is not None and node not in seen
+        rows.append((len(items), node, packed(items) if first else None, sketch(items).tobytes() if first else None, parity(items)))
+        seen.add(node)
+    count, node, sets, sketches, bits = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
-            batch.column("k_id"), batch.column("k_hash"), pa.array(count, pa.int64()), pa.array(node, pa.int64()),
-            *[pa.array(np.ascontiguousarray(word)) for word in np.stack(bits).T],
+            batch.column("k_id"), batch.column("k_hash"), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(sets, pa.binary()),
+            pa.array(sketches, pa.binary()), *[pa.array(np.ascontiguousarray(word)) for word in np.stack(bits).T],
         ],
-        ["k_id", "k_hash", "n", "node", *_PARITY],
+        ["k_id", "k_hash", "n", "node", "items", "sketch", *_PARITY],
     )
 
 
-def _signed(size: int, pct: int, ends: list[int], batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, sigs, nodes = common.WordHashes(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    seen = set()
-    for text in common.texts(batch):
-        items = shingles(text, size, hashes)
-        if len(items) and (node := set_hash(items)) not in seen:  # copies in a batch sign once
-            seen.add(node)
-            sigs.append(signatures(items, ends, pct))
-            nodes.append(np.full(len(sigs[-1]), node, np.int64))
+def _signed(pct: int, ends: list[int], turns: int, turn: int, bits: Broadcast | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(sig, node) of the sets of a batch: the signatures of one of several turns, with a bitmap only those that it may hold."""
+    sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
+        made = signatures(unpacked(items), ends, pct)
+        if turns > 1:
+            made = made[(made >> np.uint64(32)) % np.uint64(turns) == turn]
+        if bits is not None:
+            made = made[common.in_bitmap(bits.value, made)]
+        sigs.append(made)
+        nodes.append(np.full(len(made), node, np.int64))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
 
 
-def _sets(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes = common.WordHashes()
-    found = [shingles(t, size, hashes) for t in common.texts(batch)]
-    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("node"), common.lists(np.concatenate(found).view(np.int64), ends, pa.int64()),
-            pa.array([sketch(f).tobytes() for f in found], pa.binary()),
-        ],
-        ["node", "items", "sketch"],
-    )
+def _sets(bits: Broadcast, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The sets that may be wanted, by a bitmap of their hashes."""
+    return batch.filter(pa.array(common.in_bitmap(bits.value, batch.column("node").to_numpy())))
+
+
+# Elements are told apart by six bytes of their hash.
+_SIX_BYTES = np.uint64((1 << 48) - 1)
+
+
+def packed(items: np.ndarray) -> bytes:
+    """A set as six bytes of each element."""
+    return np.ascontiguousarray(items, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The elements of a packed set, sorted."""
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(parts), 8), np.uint8)
+    whole[:, :6] = parts
+    return whole.view("<u8").ravel()
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -171,30 +186,34 @@ def _plausible(pct: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _verified(pct: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     """The candidate pairs that link: 100 * |a and b| >= pct * |a or b|."""
-    a, b = batch.column("items_a"), batch.column("items_b")
-    keep = []
-    for x, y in zip(a, b, strict=True):
-        p, q = np.asarray(x.values), np.asarray(y.values)
+    keep, last, q = [], None, None
+    for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist(), strict=True):
+        if y != last:  # pairs come by their second node, whose set serves all its partners
+            last, q = y, unpacked(y)
+        p = unpacked(x)
         both = len(np.intersect1d(p, q, assume_unique=True))
         keep.append(100 * both >= pct * (len(p) + len(q) - both))
     return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: common.Scratch | None = None) -> DataFrame:
     """``node, comp``: the smallest node reachable, for every node that has a link.
 
     Labels spread to neighbours and are then followed one step further (pointer jumping), so the rounds grow with the logarithm
-    of a component's length; every round is a written table.
+    of a component's length; every round is a written table, deleted once the next stands.
     """
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    keep = keep or common.Scratch(links.sparkSession)
+    edges = keep.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = keep.write(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
         spread = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         closer = labels.join(spread, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
         after = closer.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), (F.col("comp") != F.col("low")).alias("moved"))
-        labels = materialize(after, "labels")
+        before, labels = labels, keep.write(after, "labels")
+        keep.drop(before)
         if not labels.where("moved").limit(1).count():
+            keep.drop(edges)
             return labels.select("node", "comp")
 
 
@@ -206,72 +225,103 @@ def _possible(pct: int) -> F.Column:
 
 
 def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int | None, pct: int) -> DataFrame:
-    """Pairs (a < b) from signature cells (sig, node) whose members are not all of one component.
+    """Pairs (a, b) from signature cells (sig, node) whose members are not all of one component.
 
-    With an order: each member with the first of the cell. Without: pairs of members of different components. Pairs that
+    With an order: each member (a) with the first of the cell (b). Without: pairs of members of different components. Pairs that
     sizes or parities rule out are never formed.
     """
     if labels is None:
         known = cells.withColumn("comp", F.col("node"))
     else:
         known = cells.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by_sig = Window.partitionBy("sig")
-    spread = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    open_cells = known.join(spread, "sig").join(info, "node")
-    traits = ["n", *_PARITY]
+    traits, info = ["n", *_PARITY], info.drop("sketch")
+    # One row for each open cell, combined before the shuffle, so a cell of very many members is no hot task.
+    rank = F.xxhash64("node", F.lit(order or 0)).alias("h")
+    open_cells = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(rank, "node", "comp")).alias("first"))
+    open_cells = open_cells.where("lo != hi").select("sig", F.col("first.node").alias("other"), F.col("first.comp").alias("comp2"))
     if order is not None:
-        rank = F.struct(F.xxhash64("node", F.lit(order)).alias("h"), "node", "comp", *traits)
-        pairs = open_cells.withColumn("first", F.min(rank).over(by_sig)).where("comp != first.comp")
-        pairs = pairs.select("node", F.col("first.node").alias("other"), *traits, *[F.col(f"first.{c}").alias(f"{c}2") for c in traits]).where(_possible(pct))
+        second = info.select(F.col("node").alias("other"), *[F.col(c).alias(f"{c}2") for c in traits])
+        pairs = known.join(open_cells, "sig").where("comp != comp2").select("node", "other").distinct()
+        pairs = pairs.join(info, "node").join(second, "other").where(_possible(pct))
     else:
-        left = open_cells.select("sig", "node", "comp", *traits)
-        right = open_cells.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in traits])
+        members = known.join(open_cells.select("sig"), "sig").join(info, "node")
+        left = members.select("sig", "node", "comp", *traits)
+        right = members.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in traits])
         same = left["sig"] == right["sig"]
         pairs = left.join(right, same & (left["comp"] < right["comp2"]) & _possible(pct))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE) -> DataFrame:
-    """``k_id, k_hash, n_shingles, component_id, comp`` of every row (``comp``: key of its class, null without words); links join documents of similarity >= pct %."""
+def _cells(sets: DataFrame, pct: int, ends: list[int], turns: int, keep: common.Scratch) -> DataFrame:
+    """(sig, node) of the signatures that two nodes share.
+
+    Signatures are made again and again: first, in turns that keep the shuffle small, combined to the least and greatest node of each, so
+    that one that a third of all documents have is a row a task; then only those that may be shared by a bitmap of fixed size are
+    sent, and joined exactly.
+    """
+    shared: DataFrame | None = None
+    for turn in range(turns):
+        signed = common.map_arrow(sets, partial(_signed, pct, ends, turns, turn, None), "sig long, node long")
+        ranges = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        part = keep.write(ranges.where("lo != hi").select("sig"), "shared")
+        shared = part if shared is None else shared.unionByName(part)
+        keep.forget()
+    bits = sets.sparkSession.sparkContext.broadcast(common.bitmap(shared, "sig"))  # fixed size
+    again = common.map_arrow(sets, partial(_signed, pct, ends, 1, 0, bits), "sig long, node long")
+    cells = keep.write(again.join(shared, "sig", "left_semi").distinct(), "cells")
+    keep.forget()
+    return cells
+
+
+def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns: int = 1) -> DataFrame:
+    """``k_id, k_hash, n_shingles, component_id, comp`` of every row (``comp``: key of its class, null without words); links join documents of similarity >= pct %.
+
+    A set has about 4 (1 - J) / (1 + J) signatures for each element; they are worked off in ``turns``, of which each has its share of the
+    shuffle and of the tasks' hash tables. The result does not depend on them.
+    """
     spark: SparkSession = common.prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES // 2))  # what comes back is larger
+    keep = common.Scratch(spark)
     source = common.keyed(docs)
-    nodes = materialize(common.map_arrow(source, partial(_nodes, size), "k_id long, k_hash long, n long, node long, " + ", ".join(f"{p} long" for p in _PARITY)), "nodes")
+    node_schema = "k_id long, k_hash long, n long, node long, items binary, sketch binary, " + ", ".join(f"{p} long" for p in _PARITY)
+    nodes = keep.write(common.map_arrow(source, partial(_nodes, size), node_schema), "nodes")
     ends = bands(max(1, nodes.agg(F.max("n")).first()[0] or 1), pct)
     ends += [max(ends[-1] + 1, (ends[-1] + 1) * 100 // pct)]
-    signed = common.map_arrow(source.select("text"), partial(_signed, size, pct, ends), "sig long, node long")
-    by_sig = Window.partitionBy("sig")
-    shared = signed.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).where("lo != hi")
-    cells = materialize(shared.select("sig", "node").distinct(), "cells")
-    # The sets of the nodes that share a signature: from one document each, the smallest of its node.
-    wanted = cells.select("node").distinct()
-    first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("k"))
-    reps = first.select("node", F.col("k.k_id").alias("k_id"), F.col("k.k_hash").alias("k_hash"))
-    picked = source.join(reps, ["k_id", "k_hash"]).select("node", "text")
-    sets = materialize(common.map_arrow(picked, partial(_sets, size), "node long, items array<long>, sketch binary").dropDuplicates(["node"]), "sets")
-    first = F.first(F.struct("n", *_PARITY)).alias("t")
-    info = materialize(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(first).select("node", "t.*"), "traits")
+    all_sets = nodes.where("items is not null").select("node", "items")
+    cells = _cells(all_sets, pct, ends, turns, keep)
+    one = F.first(F.struct("n", "sketch", *_PARITY)).alias("t")
+    info = keep.write(nodes.where("items is not null").groupBy("node").agg(one).select("node", "t.*"), "traits")
+    keep.forget()
     links: DataFrame | None = None
     done: DataFrame | None = None
     labels: DataFrame | None = None
     for order in (1, 2, None):
-        pairs = _candidates(cells, info, labels, order, pct)
+        pairs = _candidates(cells, info, labels, order, pct).select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = pairs.join(done, ["p", "q"], "left_anti")
+        pairs = keep.write(pairs, "pairs")
         if not pairs.limit(1).count():
             continue  # a later round looks at other pairs
-        done = pairs if done is None else done.unionByName(pairs)
-        a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-        sketches = sets.select("node", "sketch").join(info.select("node", "n"), "node")
-        x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
-        y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
+        done = pairs.select("p", "q") if done is None else done.unionByName(pairs.select("p", "q"))
+        x = info.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
+        y = info.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
         sketched = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("both"))
-        left = materialize(common.map_arrow(sketched, partial(_plausible, pct), "a long, b long"), "plausible")
+        left = keep.write(common.map_arrow(sketched, partial(_plausible, pct), "a long, b long"), "plausible")
+        keep.forget()
+        # The set of a, the member, travels; that of b, the first of many cells, is sent once to where its partners are.
+        ends_of = left.select(F.col("a").alias("node")).union(left.select("b"))
+        bits = spark.sparkContext.broadcast(common.bitmap(ends_of, "node"))  # fixed size; keeps other sets from being sent
+        sets = common.map_arrow(all_sets, partial(_sets, bits), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+        a, b = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
         tested = left.join(a, "a").join(b, "b")
-        found = materialize(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
+        found = keep.write(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
+        keep.drop(left)
+        keep.forget()
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        before, labels = labels, components(links, keep)
+        if before is not None:
+            keep.drop(before)
+    keep.drop(cells, info)
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
     # The component of a document: smallest id over all documents of all nodes of its node's component.
@@ -288,18 +338,19 @@ def link_classes(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE
     return join(docs, pct, size).select(common.shown_id().alias("doc_id"), "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, pct: int = 80, size: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, pct: int = 80, size: int = 5, turns: int = 5) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id; all columns of ``docs``.
 
     Null ids come last, and of different texts with the same id the one with the smallest hash stays.
 
-    Documents without words link with nothing and stay. Of rows with the same id and text one stays.
+    Documents without words link with nothing and stay. Of rows with the same id and text one stays: where other columns
+    differ, the one whose columns come first as JSON text.
     """
-    classes = join(docs, pct, size).select("k_id", "k_hash", "comp")
+    classes = join(docs, pct, size, turns).select("k_id", "k_hash", "comp")
     null_last = F.struct((F.col("k_id") == common.NULL_ID).alias("no_id"), "k_id", "k_hash")
     first = classes.where("comp is not null").groupBy("comp").agg(F.min(null_last).alias("k")).select("k.k_id", "k.k_hash")
     kept = classes.where("comp is null").select("k_id", "k_hash").distinct().union(first)
     k_id, k_hash = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("r")
     rows = docs.select(k_id.alias("k_id"), k_hash.alias("k_hash"), row).join(kept, ["k_id", "k_hash"])
-    return rows.groupBy("k_id", "k_hash").agg(F.first("r").alias("r")).select("r.*")
+    return rows.groupBy("k_id", "k_hash").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
