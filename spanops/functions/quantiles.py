@@ -88,10 +88,11 @@ def _by_sketch(df: DataFrame, keys: Keys, value: Column, quantiles: Mapping[str,
     sketch, read = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
     points = list(quantiles.values())
 
-    # Aggregates get names of their own, as a result may be called like a column.
+    # The plain aggregates travel as one struct, as a result may be called like a column or like one of the counters here.
+    carried = [F.struct(*aggregates).alias("_plain")] if aggregates else []
     sides = [min(max(p + side * BRACKET, 0.0), 1.0) for p in points for side in (-1, 1)]
     passed = df.groupBy(*named).agg(
-        *aggregates, F.count(number).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"),
+        *carried, F.count(number).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"),
         sketch(number, F.lit(SKETCH_K)).alias("_sketch"),
     )
     guess = F.when(F.col("_n") > 0, read("_sketch", F.array(*[F.lit(side) for side in sides])))
@@ -113,13 +114,10 @@ def _by_sketch(df: DataFrame, keys: Keys, value: Column, quantiles: Mapping[str,
         solved = _by_ranges(again, {g: F.col(g) for g in group}, number, quantiles, RANGE_ROWS)
         out = _interpolated(ends.where(~missed), group, quantiles).unionByName(solved)
     plain = first.drop("_n", *[f"_{s}{i}" for i, _ in enumerate(points) for s in "ab"])
-    if group:
-        joined = match_groups(plain, out, group)
-    else:
-        found = out.select(F.struct(*quantiles).alias("q")).scalar()
-        joined = plain.withColumn("_q", found).select(*plain.columns, *[F.col("_q")[name].alias(name) for name in quantiles])
+    found = out.select(*group, F.struct(*quantiles).alias("_q"))
+    joined = match_groups(plain, found, group) if group else plain.withColumn("_q", found.scalar())
     renamed = [F.col(g).alias(name) for g, name in zip(group, keys)]
-    return joined.select(*renamed, *[c for c in joined.columns if c not in group])
+    return joined.select(*renamed, *(["_plain.*"] if aggregates else []), *[F.col("_q")[name].alias(name) for name in quantiles])
 
 
 def _inside_brackets(rows: DataFrame, first: DataFrame, group: list[str], points: list[float]) -> DataFrame:

@@ -158,8 +158,7 @@ def aggregate(
             by_value.setdefault(str(value), (value, {}))[1][name] = QUANTILES[kind]
     parts = []
     for value, wanted in by_value.values():
-        found = group_stats(rows, keys, value, wanted, plain or [F.count(F.lit(1)).alias("_n")], quantile_mode)
-        parts.append(found if plain else found.drop("_n"))
+        parts.append(group_stats(rows, keys, value, wanted, plain, quantile_mode))
         plain = []
     if plain:
         parts.append(rows.groupBy(*columns).agg(*plain))

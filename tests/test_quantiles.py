@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanops.functions import quantiles
 from spanops.functions.quantiles import exact_quantiles, group_stats
+from spanops.operators import explore
 
 POINTS = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -130,3 +131,16 @@ def test_two_scans(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "materialize", counting)
     group_stats(df, {"k": F.col("k")}, F.col("v"), POINTS, [F.sum("v").alias("total")], group_rows=0).collect()
     assert written == ["brackets", "ranks"]
+
+
+@pytest.mark.parametrize("group_by", [["customer.tier"], []])
+def test_a_single_quantile_of_large_groups(make_spans, monkeypatch, group_by):
+    """A lone quantile has no plain aggregates beside it, and results may be called like the counters of the pass."""
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 0)
+    spans = make_spans([{"ms": i, "tier": "pro" if i % 2 else None} for i in range(10)])
+    rows = explore.aggregate_traces(spans, "p50", "duration_nano", group_by=group_by).collect()
+    assert [r["value"] for r in rows] == ([5_000_000, 4_000_000] if group_by else [4_500_000])
+    wanted = {"_n": ("count", None), "_low": ("min", "duration_nano"), "mid": ("p50", "duration_nano")}
+    rows = explore.builder_query(spans, wanted, group_by=group_by).collect()
+    found = {(r["_n"], r["_low"], r["mid"]) for r in rows}
+    assert found == ({(5, 0, 4_000_000), (5, 1_000_000, 5_000_000)} if group_by else {(10, 0, 4_500_000)})
