@@ -87,3 +87,21 @@ def test_last_revision_equals_the_batch_report(spark, make_spans, tmp_path, erro
 def test_empty_and_null_traces(spark, make_spans, tmp_path):
     odd = make_spans([{"trace": "", "sec": 0}, {"trace": None, "sec": 0}])
     assert closed(_feed(spark, tmp_path / "in", odd, make_spans(flow("end", 7200)))).collect() == []
+
+
+def test_one_bucket_holds_many_workflows(spark, make_spans, tmp_path):
+    """Workflows that share a state and a timer: equal and different times due, one state row, NaN kept apart from NULL."""
+    nan = {"numbers": {"order.amount": float("nan"), "fraud.score": float("nan")}}
+    first = make_spans(flow("a", 0) + flow("b", 0) + flow("c", 1, 2) + flow("d", 2, 3, **nan) + [{"trace": "u", "sec": 3, "at": None}])
+    later = make_spans(flow("x", 200) + [{"trace": "b", "span": "again", "name": STEPS[0], "sec": 199, "tier": "free"}])
+    end = make_spans(flow("end", 20_000))
+    stream = st_workflow_close(_feed(spark, tmp_path / "in", first, later, end), buckets=1)
+    out = str(tmp_path / "out")
+    query = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(out)
+    query.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress} == {1}
+    found = spark.read.parquet(out)
+    got = found.groupBy("trace_id").agg(F.max("revision").alias("revision"), F.max_by("spans", "revision").alias("spans"))
+    assert {r["trace_id"]: (r["revision"], r["spans"]) for r in got.collect()} == {"a": (1, 5), "b": (1, 6), "c": (1, 2), "d": (1, 3), "x": (1, 5)}
+    scores = {r["trace_id"]: r["fraud_score"] for r in found.where("revision = 1").collect()}
+    assert scores["a"] is None and scores["d"] != scores["d"]
