@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,13 @@ class Pieces:
         # Every beginning of a piece: (score, ids) where it is one itself, else False; a search ends where there is none.
         self.table: dict[str, tuple[float, tuple[int, ...]] | bool] = {p[:k]: False for p in self.scores for k in range(1, len(p))}
         self.table |= {p: (score, (k,)) for p, (score, k) in self.scores.items()}
+        # The same as a tree by characters: {character: (further characters, score, ids or ())}.
+        self.tree: dict[str, tuple] = {}
+        for piece, (score, k) in sorted(self.scores.items()):  # a beginning comes before what it begins
+            inner = self.tree
+            for character in piece[:-1]:
+                inner = inner.setdefault(character, ({}, 0.0, ()))[0]
+            inner[piece[-1]] = ({}, score, (k,))
         # No piece goes past a space mark that follows another character, nor past a character in no piece.
         self.marks_lead = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.line_alone = not any("\n" in p for p in self.scores)
@@ -108,6 +116,35 @@ class Pieces:
                 # Paths that do not meet are looked at ever more rarely, so that the search stays linear.
                 check = end + max(2 * longest, end - done)
 
+    def short(self, text: str) -> list[int]:
+        """The ids that ``stream`` gives, with the whole text's boundaries kept: less work for each character of a short one."""
+        tree, scores, n = self.tree, self.scores, len(text)
+        best = [-float("inf")] * (n + 1)
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            score, inner, end = best[start], tree, start
+            for character in text[start:]:
+                found = inner.get(character)
+                if found is None:
+                    break
+                end += 1
+                inner, value, ids = found
+                if ids:
+                    value += score
+                    if value > best[end]:
+                        best[end], back[end] = value, (start, ids)
+            if text[start] not in scores:
+                raw = text[start].encode("utf-8", "surrogatepass")
+                value = score + BYTE_SCORE * len(raw)
+                if value > best[start + 1]:
+                    best[start + 1], back[start + 1] = value, (start, tuple(self.byte_ids[c] for c in raw))
+        run: list[tuple[int, ...]] = []
+        while n:
+            n, ids = back[n]
+            run.append(ids)
+        return [k for ids in reversed(run) for k in ids]
+
     @staticmethod
     def _meeting(back: dict[int, tuple[int, tuple[int, ...]]], live: dict[int, float]) -> int:
         """The latest boundary on the best paths to all of ``live``."""
@@ -130,8 +167,13 @@ class Codec:
         self.cut = re.compile(rf"{mark}*[^{mark}\n]+|{mark}+{line}") if mark and line else None
 
     def _segment(self, segment: str) -> list[int]:
-        ids = [k for run in self.pieces.stream(segment) for k in run]
-        if len(segment) <= CACHE_LENGTH:
+        ids = self.known.get(segment)
+        if ids is not None:
+            return ids
+        if len(segment) > CACHE_LENGTH:
+            ids = [k for run in self.pieces.stream(segment) for k in run]
+        else:
+            ids = self.pieces.short(segment)
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[segment] = ids
@@ -146,9 +188,11 @@ class Codec:
             if k:
                 out += literal
             part = part.replace(" ", SPACE)
-            for segment in self.cut.findall(part) if self.cut else [part] if part else []:
-                ids = self.known.get(segment)
-                out += self._segment(segment) if ids is None else ids
+            segments = self.cut.findall(part) if self.cut else [part] if part else []
+            found = list(map(self.known.get, segments))
+            out += chain.from_iterable(
+                found if None not in found else [self._segment(s) if ids is None else ids for s, ids in zip(segments, found)]
+            )
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -75,3 +75,14 @@ def test_columns(spark):
     assert all(r.decoded_equal and len(r.ids) == r.n_tokens for r in got)
     assert [r.text for r in pieces.decode(out).collect()] == [t or "" for _, t in rows]
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_short_segments_take_the_paths_of_the_stream(coder):
+    """Ties and bytes included; a text of new, known and long segments stays the same when encoded again."""
+    rng, p = random.Random(5), coder.pieces
+    for _ in range(500):
+        text = "".join(rng.choice("abcdeinorst" + pieces.SPACE + "=é語\n") for _ in range(rng.randrange(1, 40)))
+        assert p.short(text) == [k for run in p.stream(text) for k in run]
+    fresh = pieces.Codec(p)
+    text = "new words new words " + "y" * 60 + " words"
+    assert fresh.encode(text) == fresh.encode(text) == coder.encode(text)
