@@ -21,7 +21,7 @@ gives an empty result; other columns play no part. Fewer words than a shingle co
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -224,31 +224,66 @@ def _possible(pct: int) -> F.Column:
     return size & (differ * (100 + pct) <= (F.col("n") + F.col("n2")) * (100 - pct))
 
 
-def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int | None, pct: int) -> DataFrame:
-    """Pairs (a, b) from signature cells (sig, node) whose members are not all of one component.
+def _met(cells: DataFrame, labels: DataFrame | None, order: int) -> DataFrame:
+    """Distinct (node, other): each member of a cell whose members are not all of one component, with the first of the cell."""
+    known, open_cells = _open(cells, labels, order)
+    return known.join(open_cells, "sig").where("comp != comp2").select("node", "other").distinct()
 
-    With an order: each member (a) with the first of the cell (b). Without: pairs of members of different components. Pairs that
-    sizes or parities rule out are never formed.
-    """
+
+def _open(cells: DataFrame, labels: DataFrame | None, order: int | None) -> tuple[DataFrame, DataFrame]:
+    """Cells with the components of their members, and one row for each cell that holds several components."""
     if labels is None:
         known = cells.withColumn("comp", F.col("node"))
     else:
         known = cells.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    traits, info = ["n", *_PARITY], info.drop("sketch")
     # One row for each open cell, combined before the shuffle, so a cell of very many members is no hot task.
     rank = F.xxhash64("node", F.lit(order or 0)).alias("h")
     open_cells = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(rank, "node", "comp")).alias("first"))
-    open_cells = open_cells.where("lo != hi").select("sig", F.col("first.node").alias("other"), F.col("first.comp").alias("comp2"))
+    return known, open_cells.where("lo != hi").select("sig", F.col("first.node").alias("other"), F.col("first.comp").alias("comp2"))
+
+
+def _in_turn(rows: DataFrame, turns: int, turn: int, *columns: str) -> DataFrame:
+    return rows if turns == 1 else rows.where(F.pmod(F.xxhash64(*columns), F.lit(turns)) == turn)
+
+
+def _pairs_in_turns(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int, pct: int, turns: int, keep: common.Scratch) -> DataFrame:
+    """``_candidates`` with its shuffles in turns: first by signature, then, with sizes and parities, by pair. Every pair is in one turn."""
+    met: list[DataFrame] = []
+    for turn in range(turns):
+        met.append(keep.write(_met(_in_turn(cells, turns, turn, "sig"), labels, order), "met"))
+        keep.forget()
+    pairs: DataFrame | None = None
+    for turn in range(turns):
+        some = reduce(DataFrame.unionByName, [_in_turn(part, turns, turn, "node", "other") for part in met]).distinct()
+        part = keep.write(_left_possible(some, info, pct), "possible")
+        keep.forget()
+        pairs = part if pairs is None else pairs.unionByName(part)
+    keep.drop(*met)
+    return pairs
+
+
+def _left_possible(pairs: DataFrame, info: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) that sizes and parities do not rule out."""
+    traits = ["n", *_PARITY]
+    second = info.select(F.col("node").alias("other"), *[F.col(c).alias(f"{c}2") for c in traits])
+    kept = pairs.join(info.select("node", *traits), "node").join(second, "other").where(_possible(pct))
+    return kept.select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+
+def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int | None, pct: int) -> DataFrame:
+    """Pairs (a, b) from signature cells (sig, node) whose members are not all of one component.
+
+    With an order: each member (a) with the first of the cell (b). Without: pairs of members of different components. Pairs that
+    sizes or parities rule out are never formed.
+    """
     if order is not None:
-        second = info.select(F.col("node").alias("other"), *[F.col(c).alias(f"{c}2") for c in traits])
-        pairs = known.join(open_cells, "sig").where("comp != comp2").select("node", "other").distinct()
-        pairs = pairs.join(info, "node").join(second, "other").where(_possible(pct))
-    else:
-        members = known.join(open_cells.select("sig"), "sig").join(info, "node")
-        left = members.select("sig", "node", "comp", *traits)
-        right = members.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in traits])
-        same = left["sig"] == right["sig"]
-        pairs = left.join(right, same & (left["comp"] < right["comp2"]) & _possible(pct))
+        return _left_possible(_met(cells, labels, order), info, pct).distinct()
+    traits, (known, open_cells) = ["n", *_PARITY], _open(cells, labels, order)
+    members = known.join(open_cells.select("sig"), "sig").join(info.drop("sketch"), "node")
+    left = members.select("sig", "node", "comp", *traits)
+    right = members.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in traits])
+    same = left["sig"] == right["sig"]
+    pairs = left.join(right, same & (left["comp"] < right["comp2"]) & _possible(pct))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -296,7 +331,11 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns:
     done: DataFrame | None = None
     labels: DataFrame | None = None
     for order in (1, 2, None):
-        pairs = _candidates(cells, info, labels, order, pct).select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+        if order is not None and turns > 1:
+            pairs = _pairs_in_turns(cells, info, labels, order, pct, turns, keep)
+        else:
+            pairs = _candidates(cells, info, labels, order, pct)
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
         if done is not None:
             pairs = pairs.join(done, ["p", "q"], "left_anti")
         pairs = keep.write(pairs, "pairs")

@@ -123,3 +123,18 @@ def test_one_document_stays_of_classes_with_null_or_equal_ids(spark):
     assert sum(common_part in (t or "") for _, t in kept) == 1
     assert [i for i, t in kept if other in (t or "")] == [7]
     assert len(kept) == 4 and (8, " ") in kept
+
+
+def test_pairs_in_turns_are_those_of_one_turn(spark):
+    """Cells of several members, pairs that meet in several cells, sizes that rule a pair out; tables in between are deleted."""
+    cells = spark.createDataFrame([(s, n) for s in range(12) for n in range(1 + s % 4, 9, 1 + s % 3)], "sig long, node long")
+    columns = ["node long", "n long", "sketch binary", *[f"{p} long" for p in partenum._PARITY]]
+    traits = [(n, 1000 if n == 5 else 20, b"", *[0] * len(partenum._PARITY)) for n in range(1, 9)]
+    info = spark.createDataFrame(traits, ", ".join(columns))
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, comp long")
+    for known in (None, labels):
+        keep = common.Scratch(spark)
+        want = sorted(map(tuple, partenum._candidates(cells, info, known, 1, 80).collect()))
+        got = sorted(map(tuple, partenum._pairs_in_turns(cells, info, known, 1, 80, 3, keep).collect()))
+        assert got == want and want and not any(5 in pair for pair in want)
+        assert len(keep.paths) == 3
