@@ -33,6 +33,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """An eighth of the usual batch, for operators that run after others in one session, when the executors' heaps are full already."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS // 8))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES // 8))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,21 +85,15 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
+class WordHashes:
+    """64-bit hashes of words (bytes). Nothing is remembered: a hash is made sooner than found among very many, and takes no memory."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def words(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
     def of(self, text: str) -> np.ndarray:
         """Hashes of the words of ``text`` with A-Z in lower case."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.words(text.encode("utf-8", "surrogatepass").lower().split())
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -202,7 +202,7 @@ def measure(text: str, hashes: common.WordHashes, crf: LineCRF | None, min_conte
     symbols = sum(text.count(c) for c in _SYMBOLS)
     lines = _lines(text)
     duplicates = len(lines) - len(set(lines))
-    repeats = repeat_words(np.fromiter(map(hashes.__getitem__, words), np.uint64, n))
+    repeats = repeat_words(hashes.words(words))
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PCT * n
     share = 1.0 if lines else 0.0
     if crf is not None and lines:
@@ -232,6 +232,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose content share and base rule pass, with all their columns and rows."""
     common.prepare(docs.sparkSession)
     crf = train(docs, labels)
+    common.small_batches(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = common.WordHashes()

@@ -304,6 +304,7 @@ def _cells(sets: DataFrame, pct: int, ends: list[int], turns: int, keep: common.
     bits = sets.sparkSession.sparkContext.broadcast(common.bitmap(shared, "sig"))  # fixed size
     again = common.map_arrow(sets, partial(_signed, pct, ends, 1, 0, bits), "sig long, node long")
     cells = keep.write(again.join(shared, "sig", "left_semi").distinct(), "cells")
+    bits.destroy()
     keep.forget()
     return cells
 
@@ -315,7 +316,7 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns:
     shuffle and of the tasks' hash tables. The result does not depend on them.
     """
     spark: SparkSession = common.prepare(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES // 2))  # what comes back is larger
+    common.small_batches(spark)  # what comes back is larger
     keep = common.Scratch(spark)
     source = common.keyed(docs)
     node_schema = "k_id long, k_hash long, n long, node long, items binary, sketch binary, " + ", ".join(f"{p} long" for p in _PARITY)
@@ -354,6 +355,7 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns:
         a, b = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
         tested = left.join(a, "a").join(b, "b")
         found = keep.write(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
+        bits.destroy()
         keep.drop(left)
         keep.forget()
         links = found if links is None else links.unionByName(found)
