@@ -25,7 +25,7 @@ scores are log10(0.5 / 0.5) = 0; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,9 @@ DISCOUNT = 0.5
 END = 0x5E0E0E0E0E0E0E0E  # stands for the end token among word hashes
 BITS = 27  # log2 of the bits of a bitmap
 CACHE = 1 << 18
+# Pairs are counted and documents are scored in turns, each with its share of the shuffle files; results do not depend on them.
+PAIR_TURNS = 2
+SCORE_TURNS = 3
 
 
 def is_training(id_text) -> F.Column:
@@ -93,8 +96,8 @@ def _count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(words), pa.array(counts)], ["w", "c"])
 
 
-def _count_grams(shared, size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Pairs of words, or triples of pairs, that may be frequent: key, key of the context, key of what the parent predicts."""
+def _count_grams(shared, size: int, turns: int, turn: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs of words, or triples of pairs, of this turn that may be frequent: key of the context, key of what the parent predicts, count."""
     bits = shared.value
     tokens, lengths = tokens_of(common.texts(batch), common.WordHashes())
     second, third, pair, triple = grams(tokens, lengths)
@@ -107,6 +110,9 @@ def _count_grams(shared, size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         good = may[third] & may[third - 1]
         at = third[good]
         keys, context, rest = triple[good], pair[at - 1], pair[at]
+    if turns > 1:
+        here = (keys >> np.uint64(32)) % np.uint64(turns) == turn
+        keys, context, rest = keys[here], context[here], rest[here]
     _, first, counts = np.unique(keys, return_index=True, return_counts=True)
     return pa.RecordBatch.from_arrays([_signed(context[first]), _signed(rest[first]), pa.array(counts)], ["ctx", "rest", "c"])
 
@@ -119,28 +125,32 @@ def _with_key(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _frequent_grams(docs: DataFrame, lower: DataFrame, size: int, keep: common.Scratch) -> DataFrame:
-    """(k, ctx, rest, c) of the frequent grams. Only context, rest and count are sent; keys are made for what is left."""
+def _frequent_grams(docs: DataFrame, lower: DataFrame, size: int, keep: common.Scratch, turns: int = 1) -> list[DataFrame]:
+    """(k, ctx, rest, c) of the frequent grams, a table for each turn. Only context, rest and count are sent; keys are made for what is left."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(lower))
-    rows = common.map_arrow(docs.select("text"), partial(_count_grams, shared, size), "ctx long, rest long, c long")
-    counted = rows.groupBy("ctx", "rest").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-    if size == 3:
-        counted = counted.join(lower.select(F.col("k").alias("rest"), "last"), "rest")
-    found = keep.write(common.map_arrow(counted, partial(_with_key, size), "k long, ctx long, rest long, c long"), "grams")
-    keep.forget()
+    found = []
+    for turn in range(turns):
+        rows = common.map_arrow(docs.select("text"), partial(_count_grams, shared, size, turns, turn), "ctx long, rest long, c long")
+        counted = rows.groupBy("ctx", "rest").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+        if size == 3:
+            counted = counted.join(lower.select(F.col("k").alias("rest"), "last"), "rest")
+        found.append(keep.write(common.map_arrow(counted, partial(_with_key, size), "k long, ctx long, rest long, c long"), "grams"))
+        keep.forget()
+    shared.destroy()
     return found
 
 
-def retain(found: DataFrame, lower: DataFrame, n: int, kind: str, keep: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """The level of ``found`` (k, ctx, rest, c) over ``lower`` (k, c, p): rows (k, c, p, delta, last) and states (ctx, passed).
+def retain(parts: list[DataFrame], lower: DataFrame, n: int, kind: str, keep: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """The level of the grams in ``parts`` (k, ctx, rest, c) over ``lower`` (k, c, p): rows (k, c, p, delta, last) and states (ctx, passed).
 
     ``p`` is log10 P of the last word after the context, the parent's where the context is not retained; ``delta`` is what
     a listed word adds to the mass passed on and the parent's ``p``. Contexts are retained that diverge from their parent.
     """
     total = lower.select(F.col("k").alias("ctx"), F.col("c").alias("total"))
     below = lower.select(F.col("k").alias("rest"), F.col("p").alias("below"))
+    found = reduce(DataFrame.unionByName, parts)
     rows = keep.write(found.join(total, "ctx").join(below, "rest").withColumnRenamed("rest", "last"), kind)
-    keep.drop(found)
+    keep.drop(*parts)
     keep.forget()
     sums = rows.groupBy("ctx").agg(
         F.max("total").alias("t"), F.sum("c").alias("listed"), F.count("*").alias("size"), F.sum(F.col("c") - DISCOUNT).alias("own"),
@@ -166,10 +176,9 @@ def retain(found: DataFrame, lower: DataFrame, n: int, kind: str, keep: common.S
     return level, states.select("ctx", F.log10("spread").alias("passed"))
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, int, float]:
+def learn(docs: DataFrame, keep: common.Scratch, pair_turns: int = PAIR_TURNS) -> tuple[DataFrame, int, float]:
     """What each word, pair and triple adds to the scores (k, c, known, base, model), the training tokens and the base's divisor."""
     counted = common.map_arrow(docs.select("text"), _count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    keep = common.Scratch(docs.sparkSession)
     words = keep.write(counted.withColumnRenamed("w", "k"), "words")
     keep.forget()
     counts = words
@@ -178,7 +187,7 @@ def learn(docs: DataFrame) -> tuple[DataFrame, int, float]:
     base_den = math.log10(n + 0.5 * (v + 1))
     words = words.withColumn("p", F.log10(F.col("c") + 0.5) - F.lit(base_den))
     frequent = words.where(F.col("c") >= MIN_COUNT)
-    pairs, states = retain(_frequent_grams(docs, frequent, 2, keep), frequent, n, "pairs", keep)
+    pairs, states = retain(_frequent_grams(docs, frequent, 2, keep, pair_turns), frequent, n, "pairs", keep)
     triples, deep = retain(_frequent_grams(docs, pairs, 3, keep), pairs, n, "triples", keep)
     passed = F.coalesce(F.col("passed"), F.lit(0.0))
     none = F.lit(0.0).alias("base")
@@ -235,34 +244,47 @@ def _score_rows(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+_HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _SCORED = "k_id long, k_hash long, k long, copies long, times long, words long, n_tokens long, n_known long, base_sum double, model_sum double"
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, pair_turns: int = PAIR_TURNS, score_turns: int = SCORE_TURNS) -> DataFrame:
     """Token counts, base and model score of every document; learnt from the training documents of the same table."""
     spark: SparkSession = common.prepare(docs.sparkSession)
-    source = common.keyed(docs)
+    source, keep = common.keyed(docs), common.Scratch(spark)
     training = is_training(F.coalesce(common.shown_id().cast("string"), F.lit("")))
-    adds, n, base_den = learn(source.where(training))
-    top = adds.orderBy(F.desc("c"), "k").limit(CACHE).toArrow()
-    keys = np.asarray(top["k"].to_numpy()).astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    cached = keys[order], *(np.asarray(top[x].to_numpy()).astype(float)[order] for x in ("known", "base", "model"))
-    shared = spark.sparkContext.broadcast((cached, bitmap(adds.where("known = 0"))))
-    rows = common.map_arrow(source, partial(_score_rows, shared), _SCORED)
-    joined = rows.join(adds.select("k", "known", "base", "model"), "k", "left")
-    # Words that no training document has; pairs and triples without a number add nothing.
-    unseen = F.when(F.col("known").isNull(), F.col("words") * F.lit(math.log10(0.5) - base_den)).otherwise(0.0)
-    add = lambda x: F.coalesce(F.col("times") * F.col(x), unseen)
-    sums = joined.groupBy("k_id", "k_hash").agg(
-        F.sum("copies").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.coalesce(F.col("known") * F.col("words"), F.lit(0))).alias("n_known"),
-        F.sum(F.col("base_sum") + add("base")).alias("base_score"),
-        F.sum(F.col("model_sum") + add("model")).alias("score"),
-    )
+    before = spark.conf.get(_HASHED)
+    spark.conf.set(_HASHED, "32m")  # joins whose partitions are all this small need no sorting
+    try:
+        adds, n, base_den = learn(source.where(training), keep, pair_turns)
+        top = adds.orderBy(F.desc("c"), "k").limit(CACHE).toArrow()
+        keys = np.asarray(top["k"].to_numpy()).astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        cached = keys[order], *(np.asarray(top[x].to_numpy()).astype(float)[order] for x in ("known", "base", "model"))
+        shared = spark.sparkContext.broadcast((cached, bitmap(adds.where("known = 0"))))
+        # Words that no training document has; pairs and triples without a number add nothing.
+        unseen = F.when(F.col("known").isNull(), F.col("words") * F.lit(math.log10(0.5) - base_den)).otherwise(0.0)
+        add = lambda x: F.coalesce(F.col("times") * F.col(x), unseen)
+        done = []
+        for turn in range(score_turns):
+            some = source.where(F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(score_turns)) == turn)
+            rows = common.map_arrow(some, partial(_score_rows, shared), _SCORED)
+            joined = rows.join(adds.select("k", "known", "base", "model"), "k", "left")
+            sums = joined.groupBy("k_id", "k_hash").agg(
+                F.sum("copies").alias("copies"),
+                F.sum("n_tokens").alias("n_tokens"),
+                F.sum(F.col("n_known") + F.coalesce(F.col("known") * F.col("words"), F.lit(0))).alias("n_known"),
+                F.sum(F.col("base_sum") + add("base")).alias("base_score"),
+                F.sum(F.col("model_sum") + add("model")).alias("score"),
+            )
+            done.append(keep.write(sums, "scores"))
+            keep.forget()
+    finally:
+        spark.conf.set(_HASHED, before)
+    shared.destroy()
+    keep.drop(adds)
     # Equal rows were added up; each gets its share back.
-    each = sums.select(
+    each = reduce(DataFrame.unionByName, done).select(
         common.shown_id().alias("doc_id"), (~training).alias("held_out"),
         *[(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")],
         F.lit(n).cast("long").alias("train_tokens"),

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanops.llm import pst
@@ -119,3 +120,25 @@ def test_keys_outside_the_cache_are_joined(spark, monkeypatch):
     monkeypatch.setattr(pst, "BITS", 15)  # crowded bitmaps let keys through that add nothing
     rows = frames.mixed(n=64) + [(600 + k, "one two three four five six seven " * 3) for k in range(9)]
     same([tuple(r) for r in pst.score(frames.docs(spark, rows).repartition(3)).collect()], brute(rows)[0])
+
+
+def test_turns_change_no_result_and_leave_only_the_scores(spark):
+    """Each turn's shuffle files and all tables but the scores go, so at no time do all of them lie on disk."""
+    rows = [(k, t) for k, (_, t) in enumerate(frames.mixed(5, 30))] * 2
+    df = frames.docs(spark, rows).repartition(3)
+    once = sorted(tuple(r) for r in pst.score(df, pair_turns=1, score_turns=1).collect())
+    many = pst.score(df, pair_turns=3, score_turns=4)
+    same([tuple(r) for r in many.collect()], once)
+    assert {f.rsplit("/", 2)[1].rsplit("-", 1)[0] for f in many.inputFiles()} == {"scores"}
+    assert len({f.rsplit("/", 2)[1] for f in many.inputFiles()}) == 4
+
+
+def test_every_pair_is_counted_in_one_turn():
+    class Shared:
+        value = np.full(1 << 10, 255, np.uint8)
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c a b d e", "a b a c", None, "e"]})
+    parts = [pst._count_grams(Shared, 2, 3, turn, batch).to_pylist() for turn in range(3)]
+    whole = pst._count_grams(Shared, 2, 1, 0, batch).to_pylist()
+    plain = lambda rows: sorted((r["ctx"], r["rest"], r["c"]) for r in rows)
+    assert plain(sum(parts, [])) == plain(whole) and all(parts)
