@@ -55,6 +55,33 @@ def test_segments_give_the_library_s_ids():
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_library_together():
+    """Thousands of new words are a few texts to the library; those with inner white space of any kind go by themselves."""
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch(self, texts, **more):
+            self.texts += len(texts)
+            return self.inner.encode_batch(texts, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    coder, whole = bytebpe.ByteBPE(bytebpe.default_file()), Tokenizer.from_file(bytebpe.default_file())
+    coder.tokenizer = spy = Spy(coder.tokenizer)
+    odd = [f"q{c}r {c}s t{c} {c}{c} u" for c in "\x00\x1c\x1f\x85\xa0\u1680\u180e\u200b\u2028\u3000\ufeff\r\n"] + ["a <|endoftext|> b<|endoftext|>c", "\n", " \n x"]
+    texts = [" ".join(f"word{k}x{j}" for k in range(500)) for j in range(8)]
+    for text, ids in zip(texts, coder.encode_all(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert spy.texts <= 8
+    coder.LIMIT = 50  # what is known goes between calls
+    for text, ids in zip(odd + texts, coder.encode_all(odd + texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def brute(rows):
     t = Tokenizer.from_file(bytebpe.default_file())
     coded = [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
