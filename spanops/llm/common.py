@@ -137,6 +137,10 @@ class Scratch:
                     del self.paths[at]
                     break
 
+    def drop_kind(self, kind: str) -> None:
+        """Delete all tables written under this name."""
+        self.drop(*[frame for frame, path in self.paths if path.rpartition("/")[2].startswith(f"{kind}-")])
+
     def forget(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
         gc.collect()

@@ -21,6 +21,8 @@ gives an empty result; other columns play no part. Fewer words than a shingle co
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import partial, reduce
 from itertools import combinations
 
@@ -66,33 +68,65 @@ def distance(size: int, pct: int = SIMILARITY_PCT) -> int:
 
 
 def plan(k: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for distance k."""
+    """(n1, n2, k2) for distance k. A quarter more parts than the pigeonhole needs, as some have too few elements to count."""
     if k == 0:
         return 1, 1, 0
     if k <= ENUMERATED:
-        return (k + 2) // 2, 3, 1
-    return k + 1, 1, 0
+        return (k + 2) // 2 + (k + 7) // 8, 3, 1
+    return k + 1 + k // 4, 1, 0
 
 
 def signatures(items: np.ndarray, ends: list[int], pct: int = SIMILARITY_PCT) -> np.ndarray:
     """PartEnum signatures of a set (sorted hashes) for the pair of bands below and the pair above its size."""
-    band = int(np.searchsorted(ends, len(items)))
-    out = []
+    return np.unique(signatures_of(items, np.array([len(items)]), ends, pct)[0])
+
+
+def signatures_of(items: np.ndarray, counts: np.ndarray, ends: list[int], pct: int, turns: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of several sets, whose elements stand one after the other, and for each the number of its set.
+
+    Of several turns each makes the signatures of its own parts; elements of other parts are not summed up.
+
+    Signatures of no elements are what unrelated sets share, so they are left out where they are not needed: a part is good if it
+    is not empty whatever k2 of its subsets are left out. If (k2 + 1) times the good parts are more than k, any set within k agrees on a good
+    part up to k2 subsets, and so on elements. Of two sets that both have fewer good parts, both keep the signatures of no elements.
+    """
+    plans = np.array([(*plan(distance(end, pct)), distance(end, pct)) for end in ends])
+    band, number = np.searchsorted(ends, counts), np.arange(len(counts))
+    of, out, owners = np.repeat(number, counts), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
         for top in (band, band + 1):
-            n1, n2, k2 = plan(distance(ends[top], pct))
-            salted = common.mix(items ^ common.mix(np.array([top + 1], np.uint64))[0])
-            part = (salted >> np.uint64(8)) % np.uint64(n1 * n2)
-            sums = np.zeros(n1 * n2, np.uint64)
-            np.add.at(sums, part, common.mix(salted))
-            sums = sums.reshape(n1, n2)
-            number = np.arange(n1, dtype=np.uint64)
-            for nth, chosen in enumerate(combinations(range(n2), n2 - k2)):
-                h = number * np.uint64(64) + np.uint64(nth) + np.uint64(top) * np.uint64(1 << 40)
-                for c in chosen:
-                    h = common.mix(h * np.uint64(0x9E3779B97F4A7C15) + sums[:, c])
-                out.append(h)
-    return np.unique(np.concatenate(out))
+            n1, n2, k2, most = plans[top].T
+            salted = common.mix(items ^ common.mix((top + 1).astype(np.uint64))[of])
+            part = ((salted >> np.uint64(8)) % (n1 * n2).astype(np.uint64)[of]).astype(np.int64)
+            first, whose = np.cumsum(n1 * n2) - n1 * n2, np.repeat(number, n1)
+            nth_part = np.arange(len(whose)) - (np.cumsum(n1) - n1)[whose]
+            at = first[of] + part
+            filled = np.zeros(int((n1 * n2).sum()), bool)
+            filled[at] = True
+            once, owner = np.flatnonzero(filled), np.repeat(number, n1 * n2)[filled]
+            row = (np.cumsum(n1) - n1)[owner] + (once - first[owner]) // n2[owner]
+            good = np.bincount(row, minlength=len(whose)) > k2[whose]
+            enough = (k2 + 1) * np.bincount(whose, good, minlength=len(counts)) > most
+            if turns > 1:
+                mine = (part // n2[of] + top[of]) % turns == turn
+                salted, at = salted[mine], at[mine]
+                mine = (nth_part + top[whose]) % turns == turn
+                whose, nth_part = whose[mine], nth_part[mine]
+            sums = np.zeros(len(filled), np.uint64)
+            np.add.at(sums, at, common.mix(salted))
+            for parts, left_out in {(int(x), int(y)) for x, y in zip(n2, k2, strict=True)}:
+                these = (n2[whose] == parts) & (k2[whose] == left_out)
+                own, nth_own = whose[these], nth_part[these]
+                start = first[own] + nth_own * parts
+                base = nth_own.astype(np.uint64) * np.uint64(64) + top[own].astype(np.uint64) * np.uint64(1 << 40)
+                for nth, chosen in enumerate(combinations(range(parts), parts - left_out)):
+                    h, some = base + np.uint64(nth), ~enough[own]
+                    for c in chosen:
+                        h = common.mix(h * np.uint64(0x9E3779B97F4A7C15) + sums[start + c])
+                        some |= filled[start + c]
+                    out.append(h[some])
+                    owners.append(own[some])
+    return np.concatenate(out), np.concatenate(owners)
 
 
 PARITY_WORDS = 8
@@ -130,18 +164,66 @@ def _nodes(size: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _signed(pct: int, ends: list[int], turns: int, turn: int, bits: Broadcast | None, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(sig, node) of the sets of a batch: the signatures of one of several turns, with a bitmap only those that it may hold."""
-    sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
-        made = signatures(unpacked(items), ends, pct)
-        if turns > 1:
-            made = made[(made >> np.uint64(32)) % np.uint64(turns) == turn]
-        if bits is not None:
-            made = made[common.in_bitmap(bits.value, made)]
+# Signatures that a task holds before it sends them, and those that meet in one group at most (about).
+SENT_AT_ONCE = 250_000
+
+
+def _signed(pct: int, ends: list[int], turns: int, turn: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part, sigs, nodes``: signatures of one turn with their nodes, eight bytes each, cut by ranges of the signature."""
+    sigs: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    seen: set[int] = set()
+    for batch in batches:
+        found = [(n, unpacked(x)) for n, x in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True)]
+        sets = {n: x for n, x in found if n not in seen}
+        if not sets:
+            continue
+        seen.update(sets)
+        made, own = signatures_of(np.concatenate([*sets.values()]), np.array([len(x) for x in sets.values()]), ends, pct, turns, turn)
         sigs.append(made)
-        nodes.append(np.full(len(made), node, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        nodes.append(np.array([*sets], np.int64)[own])
+        if sum(map(len, sigs)) >= SENT_AT_ONCE:
+            yield _cut(np.concatenate(sigs), np.concatenate(nodes), parts)
+            sigs, nodes, seen = [], [], set()
+    if sum(map(len, sigs)):
+        yield _cut(np.concatenate(sigs), np.concatenate(nodes), parts)
+
+
+def _cut(sigs: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each part. Of a signature that several of these nodes have, one goes to its part, with the lowest bit set.
+
+    All of them go, as they are, to one more part, so a signature of very many nodes is a row of each call and no hot group.
+    """
+    sigs = sigs >> np.uint64(1)
+    order = np.argsort(sigs, kind="stable")
+    sigs, nodes = sigs[order], nodes[order]
+    start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+    size = np.diff(np.r_[start, len(sigs)])
+    whole = np.repeat(size > 1, size)
+    part = ((sigs[start] >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32)
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = np.r_[edge, len(start), len(start) + np.count_nonzero(whole)].astype(np.int32) * np.int32(8)
+    marked = np.r_[(sigs[start] << np.uint64(1)) | (size > 1), sigs[whole] << np.uint64(1)]
+    number = np.r_[part[edge].astype(np.int64), parts + int(sigs[0] % np.uint64(parts))]
+    cut = lambda x: pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([pa.array(number), cut(marked), cut(np.r_[nodes[start], nodes[whole]])], ["part", "sigs", "nodes"])
+
+
+def _shared(parts: int, table: pa.Table) -> pa.Table:
+    """(sig, node) of the signatures of a part that two nodes have; those marked were sent whole already."""
+    sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint64)
+    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+    marked, sigs = sigs & np.uint64(1) == 1, (sigs >> np.uint64(1)).view(np.int64)
+    if table.column("part")[0].as_py() < parts and len(sigs):
+        order = np.lexsort((nodes, sigs))
+        marked, sigs, nodes = marked[order], sigs[order], nodes[order]
+        fresh = np.r_[True, sigs[1:] != sigs[:-1]]
+        other = fresh | np.r_[True, nodes[1:] != nodes[:-1]]
+        cell = np.cumsum(fresh) - 1
+        shared = (np.bincount(cell, other) > 1) | (np.bincount(cell, marked) > 0)
+        kept = shared[cell] & other & ~marked
+        sigs, nodes = sigs[kept], nodes[kept]
+    return pa.table({"sig": sigs, "node": nodes})
 
 
 def _sets(bits: Broadcast, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,16 +328,18 @@ def _in_turn(rows: DataFrame, turns: int, turn: int, *columns: str) -> DataFrame
     return rows if turns == 1 else rows.where(F.pmod(F.xxhash64(*columns), F.lit(turns)) == turn)
 
 
-def _pairs_in_turns(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int, pct: int, turns: int, keep: common.Scratch) -> DataFrame:
+def _pairs_in_turns(cells: DataFrame, info: DataFrame, labels: DataFrame | None, order: int | None, pct: int, turns: int, keep: common.Scratch) -> DataFrame:
     """``_candidates`` with its shuffles in turns: first by signature, then, with sizes and parities, by pair. Every pair is in one turn."""
     met: list[DataFrame] = []
     for turn in range(turns):
-        met.append(keep.write(_met(_in_turn(cells, turns, turn, "sig"), labels, order), "met"))
+        some = _in_turn(cells, turns, turn, "sig")
+        met.append(keep.write(_candidates(some, info, labels, None, pct) if order is None else _met(some, labels, order), "met"))
         keep.forget()
+    by = ("a", "b") if order is None else ("node", "other")
     pairs: DataFrame | None = None
     for turn in range(turns):
-        some = reduce(DataFrame.unionByName, [_in_turn(part, turns, turn, "node", "other") for part in met]).distinct()
-        part = keep.write(_left_possible(some, info, pct), "possible")
+        some = reduce(DataFrame.unionByName, [_in_turn(part, turns, turn, *by) for part in met]).distinct()
+        part = keep.write(some if order is None else _left_possible(some, info, pct), "possible")
         keep.forget()
         pairs = part if pairs is None else pairs.unionByName(part)
     keep.drop(*met)
@@ -287,28 +371,57 @@ def _candidates(cells: DataFrame, info: DataFrame, labels: DataFrame | None, ord
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _cells(sets: DataFrame, pct: int, ends: list[int], turns: int, keep: common.Scratch) -> DataFrame:
-    """(sig, node) of the signatures that two nodes share.
+def _cells(sets: DataFrame, elements: int, pct: int, ends: list[int], turns: int, keep: common.Scratch) -> DataFrame:
+    """(sig, node) of the signatures that two nodes share. A row may come more than once.
 
-    Signatures are made again and again: first, in turns that keep the shuffle small, combined to the least and greatest node of each, so
-    that one that a third of all documents have is a row a task; then only those that may be shared by a bitmap of fixed size are
-    sent, and joined exactly.
+    Signatures are made in turns, sixteen bytes each with its node, and only those that are shared are written.
     """
-    shared: DataFrame | None = None
+    parts = max(2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // turns // SENT_AT_ONCE + 1)
+    cells: DataFrame | None = None
     for turn in range(turns):
-        signed = common.map_arrow(sets, partial(_signed, pct, ends, turns, turn, None), "sig long, node long")
-        ranges = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        part = keep.write(ranges.where("lo != hi").select("sig"), "shared")
-        shared = part if shared is None else shared.unionByName(part)
+        signed = sets.mapInArrow(partial(_signed, pct, ends, turns, turn, parts), "part long, sigs binary, nodes binary")
+        part = keep.write(signed.groupBy("part").applyInArrow(lambda table: _shared(parts, table), "sig long, node long"), "cells")
+        cells = part if cells is None else cells.unionByName(part)
         keep.forget()
-    bits = sets.sparkSession.sparkContext.broadcast(common.bitmap(shared, "sig"))  # fixed size
-    again = common.map_arrow(sets, partial(_signed, pct, ends, 1, 0, bits), "sig long, node long")
-    cells = keep.write(again.join(shared, "sig", "left_semi").distinct(), "cells")
-    bits.destroy()
-    keep.forget()
     return cells
 
 
+def _turns(wanted: float, rows: int, least: int) -> int:
+    """So many turns, but none for less than so many rows."""
+    return max(1, min(math.ceil(wanted), rows // least))
+
+
+def _linked(pairs: DataFrame, info: DataFrame, all_sets: DataFrame, sets: int, pct: int, turns: int, keep: common.Scratch) -> DataFrame:
+    """The pairs that link. Where the whole join has turns, so many pairs are tested at once that a share of the sets is sent at most."""
+    x = info.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
+    y = info.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
+    left: DataFrame | None = None
+    count = pairs.count()
+    several = 1 if turns == 1 else _turns(turns * count / (8 * sets), count, 100_000)  # sketches are a sixteenth of the sets
+    for turn in range(several):
+        some = _in_turn(pairs, several, turn, "a", "b")
+        sketched = some.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("both"))
+        part = keep.write(common.map_arrow(sketched, partial(_plausible, pct), "a long, b long"), "plausible")
+        left = part if left is None else left.unionByName(part)
+        keep.forget()
+    found: DataFrame | None = None
+    count = left.count()
+    several = 1 if turns == 1 else _turns(2 * turns * count / sets, count, 10_000)
+    for turn in range(several):
+        some = _in_turn(left, several, turn, "a", "b")
+        # The set of a, the member, travels; that of b, the first of many cells, is sent once to where its partners are.
+        ends_of = some.select(F.col("a").alias("node")).union(some.select("b"))
+        bits = pairs.sparkSession.sparkContext.broadcast(common.bitmap(ends_of, "node"))  # fixed size; keeps other sets from being sent
+        sent = common.map_arrow(all_sets, partial(_sets, bits), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+        a, b = sent.toDF("a", "items_a"), sent.toDF("b", "items_b")
+        part = keep.write(common.map_arrow(some.join(a, "a").join(b, "b"), partial(_verified, pct), "a long, b long"), "links")
+        bits.destroy()
+        found = part if found is None else found.unionByName(part)
+        keep.forget()
+    keep.drop_kind("plausible")
+    return found
+
+
 def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns: int = 1) -> DataFrame:
     """``k_id, k_hash, n_shingles, component_id, comp`` of every row (``comp``: key of its class, null without words); links join documents of similarity >= pct %.
 
@@ -320,49 +433,43 @@ def join(docs: DataFrame, pct: int = SIMILARITY_PCT, size: int = SHINGLE, turns:
     keep = common.Scratch(spark)
     source = common.keyed(docs)
     node_schema = "k_id long, k_hash long, n long, node long, items binary, sketch binary, " + ", ".join(f"{p} long" for p in _PARITY)
-    nodes = keep.write(common.map_arrow(source, partial(_nodes, size), node_schema), "nodes")
+    whole = keep.write(common.map_arrow(source, partial(_nodes, size), node_schema), "nodes")
+    nodes = keep.write(whole.select("k_id", "k_hash", "n", "node"), "rows")  # what is needed to the end
     ends = bands(max(1, nodes.agg(F.max("n")).first()[0] or 1), pct)
     ends += [max(ends[-1] + 1, (ends[-1] + 1) * 100 // pct)]
-    all_sets = nodes.where("items is not null").select("node", "items")
-    cells = _cells(all_sets, pct, ends, turns, keep)
+    all_sets = whole.where("items is not null").select("node", "items")
     one = F.first(F.struct("n", "sketch", *_PARITY)).alias("t")
-    info = keep.write(nodes.where("items is not null").groupBy("node").agg(one).select("node", "t.*"), "traits")
+    info = keep.write(whole.where("items is not null").groupBy("node").agg(one).select("node", "t.*"), "traits")
     keep.forget()
+    sets, elements = info.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cells = _cells(all_sets, elements, pct, ends, turns, keep)
+    count = cells.count()
+    several = 1 if turns == 1 else _turns(7 * turns * count / max(1, elements), count, 1_000_000)  # some 40 bytes a row, six an element
     links: DataFrame | None = None
     done: DataFrame | None = None
     labels: DataFrame | None = None
     for order in (1, 2, None):
-        if order is not None and turns > 1:
-            pairs = _pairs_in_turns(cells, info, labels, order, pct, turns, keep)
+        if several > 1:
+            pairs = _pairs_in_turns(cells, info, labels, order, pct, several, keep)
         else:
             pairs = _candidates(cells, info, labels, order, pct)
         pairs = pairs.select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
         if done is not None:
             pairs = pairs.join(done, ["p", "q"], "left_anti")
         pairs = keep.write(pairs, "pairs")
+        keep.drop_kind("possible")
+        keep.forget()
         if not pairs.limit(1).count():
             continue  # a later round looks at other pairs
         done = pairs.select("p", "q") if done is None else done.unionByName(pairs.select("p", "q"))
-        x = info.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
-        y = info.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
-        sketched = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("both"))
-        left = keep.write(common.map_arrow(sketched, partial(_plausible, pct), "a long, b long"), "plausible")
-        keep.forget()
-        # The set of a, the member, travels; that of b, the first of many cells, is sent once to where its partners are.
-        ends_of = left.select(F.col("a").alias("node")).union(left.select("b"))
-        bits = spark.sparkContext.broadcast(common.bitmap(ends_of, "node"))  # fixed size; keeps other sets from being sent
-        sets = common.map_arrow(all_sets, partial(_sets, bits), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
-        a, b = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
-        tested = left.join(a, "a").join(b, "b")
-        found = keep.write(common.map_arrow(tested, partial(_verified, pct), "a long, b long"), "links")
-        bits.destroy()
-        keep.drop(left)
-        keep.forget()
+        found = _linked(pairs.select("a", "b"), info, all_sets, sets, pct, turns, keep)
         links = found if links is None else links.unionByName(found)
         before, labels = labels, components(links, keep)
         if before is not None:
             keep.drop(before)
-    keep.drop(cells, info)
+        keep.forget()
+    keep.drop(info, whole)
+    keep.drop_kind("cells")
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
     # The component of a document: smallest id over all documents of all nodes of its node's component.

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from spanops.llm import common, partenum
 from tests.llm import frames
@@ -138,3 +139,87 @@ def test_pairs_in_turns_are_those_of_one_turn(spark):
         got = sorted(map(tuple, partenum._pairs_in_turns(cells, info, known, 1, 80, 3, keep).collect()))
         assert got == want and want and not any(5 in pair for pair in want)
         assert len(keep.paths) == 3
+
+
+def test_signatures_in_turns_are_all_of_each_set():
+    rng = np.random.default_rng(4)
+    ends = partenum.bands(3000, 80) + [4000]
+    sets = [np.unique(rng.integers(0, 2**48, n).astype(np.uint64)) for n in (1, 2, 3, 9, 40, 300, 2500)]
+    made: list[list[np.ndarray]] = [[] for _ in sets]
+    for turn in range(3):
+        sigs, own = partenum.signatures_of(np.concatenate(sets), np.array([len(x) for x in sets]), ends, 80, 3, turn)
+        for k in range(len(sets)):
+            made[k].append(sigs[own == k])
+    for items, parts in zip(sets, made, strict=True):
+        assert sorted(np.concatenate(parts)) == sorted(partenum.signatures(items, ends, 80))
+
+
+def test_shared_signatures_sent_in_several_pieces():
+    """Nodes that are sent twice, one signature that all have, some that two have; the frequent one is a row of each piece."""
+    rng, parts = random.Random(6), 3
+    has = {node: {2 * s for s in rng.sample(range(1, 2**62), 40)} | {2**60} for node in range(-100, 100)}
+    for _ in range(300):
+        a, b = rng.sample(sorted(has), 2)
+        has[a].add(min(has[b]))
+    met, hot = {}, 0
+    for piece in range(5):
+        nodes = [n for n in has if n % 5 == piece or n % 7 == piece]
+        sigs, owners = zip(*[(s, n) for n in nodes for s in has[n]], strict=True)
+        cut = partenum._cut(np.array(sigs, np.uint64), np.array(owners, np.int64), parts)
+        for row in cut.to_pylist():
+            met.setdefault(row["part"] if row["part"] < parts else parts, []).append(row)
+            hot += row["part"] < parts and sum(int(x) >> 1 == 2**59 for x in np.frombuffer(row["sigs"], np.uint64))
+    found = set()
+    for part, rows in met.items():
+        table = pa.table({"part": [r["part"] for r in rows], "sigs": [r["sigs"] for r in rows], "nodes": [r["nodes"] for r in rows]})
+        found |= {(r["sig"], r["node"]) for r in partenum._shared(parts, table).to_pylist()}
+    of = {}
+    for node, sigs in has.items():
+        for s in sigs:
+            of.setdefault(s >> 1, set()).add(node)
+    assert found == {(s, n) for s, nodes in of.items() if len(nodes) > 1 for n in nodes} and hot == 5
+
+
+def test_a_share_of_the_sets_is_sent_at_once(spark, monkeypatch):
+    """Pairs are tested in turns: each written table of links comes from a part of the pairs, and the sets go before the result is made."""
+    written = []
+    write = common.Scratch.write
+
+    def spy(self, df, kind):
+        found = write(self, df, kind)
+        written.append((kind, found.count() if kind == "links" else 0))
+        return found
+
+    monkeypatch.setattr(common.Scratch, "write", spy)
+    monkeypatch.setattr(partenum, "_turns", lambda wanted, rows, least: 3 if rows > 10 else 1, raising=False)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: 100 + k % 20], f"x{k}"])) for k in range(30)]
+    assert sorted(r.doc_id for r in partenum.keep_one(frames.docs(spark, rows), turns=2).collect()) == sorted({c for _, _, c in brute(rows, 80, 5)})
+    links = [n for kind, n in written if kind == "links"]
+    assert max(links) < 0.7 * sum(links[:3])
+
+
+def test_unrelated_sets_share_no_signature():
+    """Parts without elements are no signature where enough parts have some."""
+    rng = np.random.default_rng(8)
+    ends = partenum.bands(4000, 80) + [5000]
+    for n in (60, 250, 290, 700, 2000):
+        sets = [np.unique(rng.integers(0, 2**48, n).astype(np.uint64)) for _ in range(60)]
+        made, own = partenum.signatures_of(np.concatenate(sets), np.array([len(x) for x in sets]), ends, 80)
+        cells = np.bincount(np.unique(made, return_inverse=True)[1])
+        assert len(own) == len(made) and (cells * (cells - 1) // 2).sum() < 60 * 59 // 2 // 4
+
+
+def test_near_random_sets_share_a_signature():
+    """Sets that differ as much as they may, of all sizes with several plans."""
+    rng = np.random.default_rng(9)
+    for pct in (80, 90):
+        ends = partenum.bands(2000, pct) + [9000]
+        for n in [*range(1, 400, 3), 700, 1500]:
+            a = np.unique(rng.integers(0, 2**48, n).astype(np.uint64))
+            both = -(-2 * n * pct // (100 + pct))
+            for b in (a[: -(-n * pct // 100)], np.concatenate([a[:both], rng.integers(0, 2**48, n - both).astype(np.uint64)])):
+                b = np.unique(b)
+                same = len(np.intersect1d(a, b))
+                if 100 * same >= pct * (len(a) + len(b) - same):
+                    assert len(np.intersect1d(partenum.signatures(a, ends, pct), partenum.signatures(b, ends, pct)))
